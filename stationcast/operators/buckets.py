@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from stationcast.functions.names import ref
 
-BUCKET_STEPS = 4_320  # grid rows per bucket: 30 days of 10-minute steps
+# Rows per bucket on a grid, 25 days of ten-minute steps.  With its halo a bucket stays
+# under the 4,096 rows that a Spark window keeps in memory as plain rows.
+BUCKET_STEPS = 3_600
 BUCKET_SECONDS = 30 * 86_400
 SALTS = 32
 _CHUNK = 4_096  # buckets per chunk in the two-level running total

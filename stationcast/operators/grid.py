@@ -34,8 +34,11 @@ def time_axis(
         "_last",
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("_last") / F.lit(size)))).alias("_b"),
     )
-    # One long series becomes many short stretches before it is written out.
-    spread = buckets.repartition(*[F.col(k) for k in keys], F.col("_b"))
+    # One long series becomes many short stretches before it is written out.  The
+    # number is given, since Spark would else merge partitions by their size here,
+    # which is thousands of times smaller than what they unfold to.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = buckets.repartition(parts, *[F.col(k) for k in keys], F.col("_b"))
     start = F.col("_b") * bucket_steps
     stop = F.least(start + (bucket_steps - 1), F.col("_last"))
     return spread.select(*keys, "_lo", F.explode(F.sequence(start, stop)).alias("_s")).select(

@@ -87,7 +87,7 @@ def _direct_state(spec: WindowSpec, column: str, window: int, spread: bool, extr
     value = ref(column)
     out = [
         F.count(value).over(frame).alias(_state("n", window, column)),
-        F.sum(value).over(frame).alias(_state("s", window, column)),
+        F.avg(value).over(frame).alias(_state("m", window, column)),
     ]
     if spread:
         out.append((F.var_pop(value).over(frame) * F.count(value).over(frame)).alias(_state("q", window, column)))
@@ -100,26 +100,27 @@ def _direct_state(spec: WindowSpec, column: str, window: int, spread: bool, extr
 def _joined_state(spec: WindowSpec, column: str, window: int, part: int, spread: bool, extremes: bool) -> list[Column]:
     """State of a window from the states of its consecutive shorter parts.
 
-    Counts and sums add up; squared deviations combine with the between-part
-    term, which loses no precision to cancellation; extremes nest.
+    Counts add up, means are weighted by them; squared deviations combine with
+    the between-part term, which loses no precision to cancellation; extremes nest.
     """
 
     def parts(kind: str) -> list[Column]:
         state = ref(_state(kind, part, column))
         return [state if j == 0 else F.lag(state, j * part).over(spec) for j in range(window // part)]
 
-    counts = [F.coalesce(n, F.lit(0)) for n in parts("n")]
-    sums = parts("s")
-    n = sum(counts[1:], counts[0])
-    filled = [F.coalesce(s, F.lit(0.0)) for s in sums]
-    total = sum(filled[1:], filled[0])
-    out = [n.alias(_state("n", window, column)), F.when(n > 0, total).alias(_state("s", window, column))]
+    counts, means = parts("n"), parts("m")
+    known = [F.coalesce(n, F.lit(0)) for n in counts]
+    n = sum(known[1:], known[0])
+    weighted = [F.coalesce(c * m, F.lit(0.0)) for c, m in zip(counts, means, strict=True)]
+    mean = sum(weighted[1:], weighted[0]) / F.nullif(n, F.lit(0))
+    out = [n.alias(_state("n", window, column)), mean.alias(_state("m", window, column))]
     if spread:
-        terms = []
-        for c, s, q in zip(counts, sums, parts("q"), strict=True):
-            apart = s / c - total / n
-            terms.append(F.when(c > 0, q + c * apart * apart).otherwise(0.0))
-        out.append(F.when(n > 0, sum(terms[1:], terms[0])).alias(_state("q", window, column)))
+        # No branches here: Spark computes a shared term once only outside of them.
+        terms = [
+            F.coalesce(q + c * (m - mean) * (m - mean), F.lit(0.0))
+            for c, m, q in zip(counts, means, parts("q"), strict=True)
+        ]
+        out.append(sum(terms[1:], terms[0]).alias(_state("q", window, column)))
     if extremes:
         out.append(F.least(*parts("lo")).alias(_state("lo", window, column)))
         out.append(F.greatest(*parts("hi")).alias(_state("hi", window, column)))
@@ -159,7 +160,7 @@ def apply_rolling(
         n = ref(_state("n", w, c))
         enough = n >= F.lit(w if min_periods is None else min_periods)
         value = {
-            "mean": lambda: ref(_state("s", w, c)) / F.nullif(n, F.lit(0)),
+            "mean": lambda: ref(_state("m", w, c)),
             "std": lambda: F.when(n > 1, F.sqrt(ref(_state("q", w, c)) / (n - 1))),
             "min": lambda: ref(_state("lo", w, c)),
             "max": lambda: ref(_state("hi", w, c)),
