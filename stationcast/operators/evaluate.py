@@ -71,7 +71,7 @@ def attach_skill(
 def _cell(field: T.StructField) -> Column:
     column = ref(field.name)
     if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-        text = F.when(~F.isnan(column), F.format_string("%.4f", column))
+        text = F.when(column.isNotNull() & ~F.isnan(column), F.format_string("%.4f", column))
     else:
         text = column.cast("string")
     return F.coalesce(text, F.lit(""))
