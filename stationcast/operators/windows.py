@@ -97,34 +97,57 @@ def _direct_state(spec: WindowSpec, column: str, window: int, spread: bool, extr
     return out
 
 
-def _joined_state(spec: WindowSpec, column: str, window: int, part: int, spread: bool, extremes: bool) -> list[Column]:
+def _join_parts(
+    df: DataFrame,
+    spec: WindowSpec,
+    columns: Sequence[str],
+    window: int,
+    part: int,
+    spread: bool,
+    extremes: bool,
+) -> DataFrame:
     """State of a window from the states of its consecutive shorter parts.
 
     Counts add up, means are weighted by them; squared deviations combine with
     the between-part term, which loses no precision to cancellation; extremes nest.
     """
+    kinds = ["n", "m", *(["q"] if spread else []), *(["lo", "hi"] if extremes else [])]
+    shifts = range(1, window // part)
 
-    def parts(kind: str) -> list[Column]:
-        state = ref(_state(kind, part, column))
-        return [state if j == 0 else F.lag(state, j * part).over(spec) for j in range(window // part)]
+    def name(kind: str, column: str, j: int) -> str:
+        return _state(kind, part, column) + (f"_{j}" if j else "")
 
-    counts, means = parts("n"), parts("m")
-    known = [F.coalesce(n, F.lit(0)) for n in counts]
-    n = sum(known[1:], known[0])
-    weighted = [F.coalesce(c * m, F.lit(0.0)) for c, m in zip(counts, means, strict=True)]
-    mean = sum(weighted[1:], weighted[0]) / F.nullif(n, F.lit(0))
-    out = [n.alias(_state("n", window, column)), mean.alias(_state("m", window, column))]
-    if spread:
-        # No branches here: Spark computes a shared term once only outside of them.
+    def parts(kind: str, column: str) -> list[Column]:
+        return [ref(name(kind, column, j)) for j in (0, *shifts)]
+
+    def total(values: Sequence[Column]) -> Column:
+        return sum(values[1:], values[0])
+
+    def first_states(c: str) -> list[Column]:
+        n = total([F.coalesce(v, F.lit(0)) for v in parts("n", c)])
+        weighted = [F.coalesce(k * m, F.lit(0.0)) for k, m in zip(parts("n", c), parts("m", c), strict=True)]
+        out = [n.alias(_state("n", window, c)), (total(weighted) / F.nullif(n, F.lit(0))).alias(_state("m", window, c))]
+        if extremes:
+            out.append(F.least(*parts("lo", c)).alias(_state("lo", window, c)))
+            out.append(F.greatest(*parts("hi", c)).alias(_state("hi", window, c)))
+        return out
+
+    def squares(c: str) -> Column:
+        mean = ref(_state("m", window, c))
         terms = [
-            F.coalesce(q + c * (m - mean) * (m - mean), F.lit(0.0))
-            for c, m, q in zip(counts, means, parts("q"), strict=True)
+            F.coalesce(q + k * (m - mean) * (m - mean), F.lit(0.0))
+            for k, m, q in zip(parts("n", c), parts("m", c), parts("q", c), strict=True)
         ]
-        out.append(sum(terms[1:], terms[0]).alias(_state("q", window, column)))
-    if extremes:
-        out.append(F.least(*parts("lo")).alias(_state("lo", window, column)))
-        out.append(F.greatest(*parts("hi")).alias(_state("hi", window, column)))
-    return out
+        return total(terms).alias(_state("q", window, c))
+
+    lagged = df.select(
+        "*", *[F.lag(ref(_state(k, part, c)), j * part).over(spec).alias(name(k, c, j)) for j in shifts for k in kinds for c in columns]
+    )
+    # The new mean is used once per part below, so it gets a column of its own first.
+    joined = lagged.select("*", *[e for c in columns for e in first_states(c)])
+    if spread:
+        joined = joined.select("*", *[squares(c) for c in columns])
+    return joined.drop(*[name(k, c, j) for j in shifts for k in kinds for c in columns])
 
 
 def apply_rolling(
@@ -154,7 +177,7 @@ def apply_rolling(
     )
     for w, part in order:
         if part is not None:
-            out = out.select("*", *[e for c in columns for e in _joined_state(spec, c, w, part, spread, extremes)])
+            out = _join_parts(out, spec, columns, w, part, spread, extremes)
 
     def result(c: str, w: int, stat: str) -> Column:
         n = ref(_state("n", w, c))

@@ -873,7 +873,7 @@ def evaluate_saved(spark, sf_dir):
     path = new_path(spark, "metrics")
     scores = evaluate.evaluate_predictions(fx.predictions(spark, sf_dir))
     tables.write_metrics(scores, path)
-    return evaluate.evaluate_saved(tables.read_metrics(spark, path), keys=["station_id"])
+    return evaluate.evaluate_saved(tables.read_metrics(spark, path, scores.schema), keys=["station_id"])
 
 
 @register("metrics_roundtrip", query(pick(METRIC_KEYS, METRIC_VALUES, "metrics"), ("metrics",)))
@@ -893,8 +893,9 @@ def metrics_roundtrip(spark, sf_dir):
 )
 def load_predictions(spark, sf_dir):
     path = new_path(spark, "predictions")
-    tables.write_predictions(fx.predictions(spark, sf_dir).drop("target"), path)
-    return tables.load_predictions(spark, path, "climatology", "h06")
+    rows = fx.predictions(spark, sf_dir).drop("target")
+    tables.write_predictions(rows, path)
+    return tables.load_predictions(spark, path, "climatology", "h06", rows.schema)
 
 
 # --- comparison tables ------------------------------------------------------
@@ -983,7 +984,9 @@ def skill_heatmap(spark, sf_dir):
 @register(
     "target_labels",
     query(
-        "SELECT any_value(target) AS target, 'Temperature' AS label, 'deg C' AS unit FROM metrics", ("metrics",)
+        """SELECT any_value(target) AS target, CASE WHEN count(*) > 0 THEN 'Temperature' ELSE 'Target value' END AS label,
+        CASE WHEN count(*) > 0 THEN 'deg C' END AS unit FROM metrics""",
+        ("metrics",),
     ),
 )
 def target_labels(spark, sf_dir):
@@ -1150,8 +1153,8 @@ def _artifacts(spark, sf_dir):
         THEN 'delta' WHEN EXISTS (SELECT 1 FROM predictions b WHERE b.model = r.model AND b.horizon_label = h.horizon_label)
         THEN 'baseline' ELSE 'missing' END AS source
         FROM (VALUES ('persistence'), ('moving_average'), ('linear_regression'), ('ridge')) r(model),
-        (SELECT DISTINCT horizon_label FROM predictions) h""",
-        ("predictions", "delta"),
+        horizons h""",
+        ("predictions", "delta", "horizons"),
     ),
 )
 def provenance(spark, sf_dir):
@@ -1211,9 +1214,9 @@ def verify_splits(spark, sf_dir):
 @register(
     "discover_horizons",
     query(
-        """SELECT CAST(row_number() OVER (ORDER BY horizon_label) - 1 AS INTEGER) AS horizon_order, horizon_label
-        FROM (SELECT DISTINCT horizon_label FROM predictions)""",
-        ("predictions",),
+        """SELECT CAST(row_number() OVER (ORDER BY place, horizon_label) - 1 AS INTEGER) AS horizon_order, horizon_label
+        FROM horizons""",
+        ("horizons",),
     ),
 )
 def discover_horizons(spark, sf_dir):

@@ -21,7 +21,7 @@ from stationcast.operators.grid import insert_gaps
 from stationcast.operators.splits import chronological_split, split_metadata
 from stationcast.operators.windows import lag_expressions, lead_expressions, apply_rolling
 from stationcast.operators.buckets import Halo, grid_step
-from stationcast.session import new_path, use_utc
+from stationcast.session import new_path, prepare_session
 
 HOUR = 3_600
 TARGET = "temp_c"
@@ -71,7 +71,7 @@ def forget_stored() -> None:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    use_utc(spark)
+    prepare_session(spark)
     df = spark.read.parquet(f"{sf_dir}/events.parquet")
     k = F.get_json_object("props", "$.k").cast("int")
     return df.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", k)

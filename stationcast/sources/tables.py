@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def write_series(df: DataFrame, path: str, keys: Sequence[str] = ("station_id",), ts: str = "ts_utc") -> None:
@@ -35,9 +36,15 @@ def usable_predictions(df: DataFrame) -> DataFrame:
     return df.dropna("any", subset=["y_true", "y_pred"])
 
 
-def load_predictions(spark: SparkSession, path: str, model: str, horizon_label: str) -> DataFrame:
-    """Predictions of one model and horizon without incomplete rows; no rows when absent."""
-    rows = spark.read.parquet(path).where((F.col("model") == model) & (F.col("horizon_label") == horizon_label))
+def load_predictions(
+    spark: SparkSession, path: str, model: str, horizon_label: str, schema: StructType | None = None
+) -> DataFrame:
+    """Predictions of one model and horizon without incomplete rows; no rows when absent.
+
+    A ``schema`` is needed only where the table may hold no file at all.
+    """
+    reader = spark.read.schema(schema) if schema else spark.read
+    rows = reader.parquet(path).where((F.col("model") == model) & (F.col("horizon_label") == horizon_label))
     return usable_predictions(rows)
 
 
@@ -53,7 +60,7 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     clean.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/json")
 
 
-def read_metrics(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def read_metrics(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
     """Metrics written by ``write_metrics``; metrics tables are small, so types may be inferred."""
     reader = spark.read.option("header", True)
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
