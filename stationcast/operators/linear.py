@@ -25,7 +25,9 @@ from stationcast.operators.splits import FOLDS, time_series_folds
 RIDGE_ALPHAS = (0.1, 1.0, 10.0, 100.0)
 MAX_FEATURES = 4_096  # a Gram matrix then takes at most 134 MB
 _HELD_BYTES = 256 * 1024 * 1024
-_SALTS = 16
+# Partial matrices are added up in two steps, over groups of so many rows and input splits.
+_SALTS = 64
+_ROWS_TOGETHER = 16
 
 
 def gram_statistics(
@@ -79,13 +81,19 @@ def gram_statistics(
         yield from release()
 
     def total(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf.head(1)[[*group, "row"]].copy()
-        out["values"] = [np.sum(np.stack(pdf["values"].to_numpy()), axis=0)]
+        rows, place = np.unique(pdf["row"].to_numpy(), return_inverse=True)
+        sums = np.zeros((len(rows), width))
+        np.add.at(sums, place, np.stack(pdf["values"].to_numpy()))
+        out = pdf.iloc[[0] * len(rows)][[*group, "row"]].reset_index(drop=True)
+        out["row"] = rows
+        out["values"] = list(sums)
         return out
 
-    partials = flat.mapInArrow(add_up, partial_schema).withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(_SALTS)))
-    salted = partials.groupBy(*group, "row", "_salt").applyInPandas(total, partial_schema)
-    return salted.groupBy(*group, "row").applyInPandas(total, partial_schema)
+    chunk = F.floor(F.col("row") / F.lit(float(_ROWS_TOGETHER)))
+    salt = F.pmod(F.spark_partition_id(), F.lit(_SALTS))
+    partials = flat.mapInArrow(add_up, partial_schema).withColumn("_chunk", chunk).withColumn("_salt", salt)
+    salted = partials.groupBy(*group, "_chunk", "_salt").applyInPandas(total, partial_schema)
+    return salted.withColumn("_chunk", chunk).groupBy(*group, "_chunk").applyInPandas(total, partial_schema)
 
 
 def _blocks(pdf: pd.DataFrame, block: str | None) -> list[np.ndarray]:
