@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,48 +39,65 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles: (keys, column, <name>...), exact at any size.
 
-    Values are counted in narrow value buckets, the buckets holding the wanted
-    ranks are picked, and only their distinct values are ordered.  No task ever
-    holds all values of a series, and repeated values are counted, not moved.
+    Pass one takes the ends of every column, pass two counts values in narrow value
+    buckets (reduced inside each task), pass three orders only the values of the
+    few buckets that hold a wanted rank.  Rows are joined with one small row per
+    key before they are unfolded into columns, and no task holds a whole series.
     """
     keys = keys_list(keys)
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), ref(c).cast("double").alias("value")) for c in columns])
-    long = (
-        df.select(*keys, F.explode(pairs).alias("_p"))
-        .select(*keys, "_p.column", "_p.value")
-        .where(F.col("value").isNotNull())
+    group = [*keys, "_i"]
+    places = range(len(columns))
+    narrow = df.select(*keys, *[ref(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
+    values = [f"_v{i}" for i in places]
+    ends = narrow.groupBy(*keys).agg(
+        F.array(*[F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).alias("n")) for v in values]).alias("_ends")
     )
-    group = [*keys, "column"]
-    # Count repeated values before anything is moved.
-    values = long.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("_k"))
-    ends = values.groupBy(*group).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.sum("_k").alias("_n"))
-    width = F.col("_hi") - F.col("_lo")
-    place = F.when(width > 0, F.floor((F.col("value") - F.col("_lo")) / width * F.lit(float(_VALUE_BUCKETS)))).otherwise(F.lit(0))
-    placed = lookup_join(values, ends, group, ["value"], how="inner").withColumn("_vb", place)
-    per_bucket = placed.groupBy(*group, "_vb").agg(F.sum("_k").alias("_n_in"))
-    located = bucket_offsets(per_bucket, group, "_vb", ["_n_in"])
 
-    wanted = ends.select(
-        *group,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), (F.floor((F.col("_n") - 1) * q) + side + 1).alias("rank"))
-                    for name, q in quantiles.items()
-                    for side in (0, 1)
-                ]
-            )
-        ).alias("_w"),
+    def cell(i: int) -> Column:
+        value, end = F.col(f"_v{i}"), F.col("_ends")[i]
+        # About 64 values per bucket, and no more buckets than a task can count.
+        buckets = F.greatest(F.lit(1.0), F.least(F.lit(float(_VALUE_BUCKETS)), F.floor(end["n"] / F.lit(64.0)).cast("double")))
+        width = end["hi"] - end["lo"]
+        place = F.when(width > 0, F.floor((value - end["lo"]) / width * buckets)).otherwise(F.lit(0))
+        return F.struct(F.lit(i).alias("_i"), place.cast("bigint").alias("_vb"), value.alias("value"))
+
+    def cells(rows: DataFrame, wanted: Callable[[Column], Column]) -> DataFrame:
+        kept = F.filter(F.array(*[cell(i) for i in places]), wanted)
+        return rows.select(*keys, F.explode(kept).alias("_c")).select(*keys, "_c.*")
+
+    with_ends = lookup_join(narrow, ends, keys, values)
+    per_bucket = cells(with_ends, lambda c: c["value"].isNotNull()).groupBy(*group, "_vb").agg(F.count(F.lit(1)).alias("_n_in"))
+    located = bucket_offsets(per_bucket, group, "_vb", ["_n_in"])
+    sizes = ends.select(*keys, F.posexplode("_ends").alias("_i", "_e")).select(*group, F.col("_e.n").alias("_n")).where("_n > 0")
+    ranks = F.array(
+        *[
+            F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), (F.floor((F.col("_n") - 1) * q) + side + 1).alias("rank"))
+            for name, q in quantiles.items()
+            for side in (0, 1)
+        ]
     )
     hits = (
-        located.join(wanted, group)
+        located.join(sizes.select(*group, F.explode(ranks).alias("_w")), group)
         .where((F.col("_w.rank") > F.col("_n_in_before")) & (F.col("_w.rank") <= F.col("_n_in_before") + F.col("_n_in")))
         .groupBy(*group, "_vb")
         .agg(F.collect_list(F.struct("_w.name", "_w.side", (F.col("_w.rank") - F.col("_n_in_before")).alias("rank"))).alias("_wanted"))
     )
+    # Per key: the wanted buckets of each column, by column position.
+    per_column = hits.groupBy(*group).agg(F.collect_list("_vb").alias("_vbs"))
+    per_key = per_column.groupBy(*keys).agg(F.collect_list(F.struct("_i", "_vbs")).alias("_l"))
+    by_place = F.transform(
+        F.sequence(F.lit(0), F.lit(len(columns) - 1)),
+        lambda j: F.flatten(F.transform(F.filter("_l", lambda e: e["_i"] == j), lambda e: e["_vbs"])),
+    )
+    targets = ends.join(per_key.select(*keys, by_place.alias("_hits")), keys)
+    near = cells(
+        lookup_join(narrow, targets, keys, values, how="inner"),
+        lambda c: c["value"].isNotNull() & F.array_contains(F.get(F.col("_hits"), c["_i"]), c["_vb"]),
+    )
+    counted = near.groupBy(*group, "_vb", "value").agg(F.count(F.lit(1)).alias("_k"))
     running = Window.partitionBy(*group, "_vb").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     found = (
-        placed.join(hits, [*group, "_vb"])
+        counted.join(hits, [*group, "_vb"])
         .select(*group, "value", "_k", F.sum("_k").over(running).alias("_upto"), "_wanted")
         .select(*group, "value", "_k", "_upto", F.explode("_wanted").alias("_w"))
         .where((F.col("_w.rank") <= F.col("_upto")) & (F.col("_w.rank") > F.col("_upto") - F.col("_k")))
@@ -98,7 +115,10 @@ def exact_quantiles(
         spot = (F.col("_n") - 1) * F.lit(q)
         return (low + (high - low) * (spot - F.floor(spot))).alias(name)
 
-    return ends.join(points, group).select(*group, *[between(name, q) for name, q in quantiles.items()])
+    names = F.array(*[F.lit(c) for c in columns])
+    return sizes.join(points, group).select(
+        *keys, F.get(names, F.col("_i")).alias("column"), *[between(name, q) for name, q in quantiles.items()]
+    )
 
 
 def fit_scaler(
