@@ -13,6 +13,7 @@ from stationcast.operators.buckets import bucket_offsets, keys_list, lookup_join
 
 METHODS = ("standard", "minmax", "robust")
 _VALUE_BUCKETS = 65_536
+_SKETCH = 1_000
 PARAMETERS = ("mean", "scale", "min", "median", "iqr")
 
 
@@ -39,26 +40,37 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles: (keys, column, <name>...), exact at any size.
 
-    Pass one takes the ends of every column, pass two counts values in narrow value
-    buckets (reduced inside each task), pass three orders only the values of the
-    few buckets that hold a wanted rank.  Rows are joined with one small row per
-    key before they are unfolded into columns, and no task holds a whole series.
+    Pass one brackets the wanted quantiles of every column by a sketch, so that
+    outliers do not widen the buckets; pass two counts values in narrow buckets of
+    the bracket (reduced inside each task); pass three orders only the values of
+    the few buckets that hold a wanted rank.  Rows are joined with one small row
+    per key before they are unfolded into columns, and no task holds a whole series.
     """
     keys = keys_list(keys)
     group = [*keys, "_i"]
     places = range(len(columns))
     narrow = df.select(*keys, *[ref(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
     values = [f"_v{i}" for i in places]
-    ends = narrow.groupBy(*keys).agg(
-        F.array(*[F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).alias("n")) for v in values]).alias("_ends")
-    )
+    reach = 3.0 / _SKETCH  # the sketch is off by at most one part in _SKETCH
+    outer = [max(0.0, min(quantiles.values()) - reach), min(1.0, max(quantiles.values()) + reach)]
+
+    def bracket(v: str) -> Column:
+        ends = F.percentile_approx(v, outer, _SKETCH)
+        return F.struct(ends[0].alias("lo"), ends[1].alias("hi"), F.count(v).alias("n"))
+
+    ends = narrow.groupBy(*keys).agg(F.array(*[bracket(v) for v in values]).alias("_ends"))
 
     def cell(i: int) -> Column:
         value, end = F.col(f"_v{i}"), F.col("_ends")[i]
         # About 64 values per bucket, and no more buckets than a task can count.
         buckets = F.greatest(F.lit(1.0), F.least(F.lit(float(_VALUE_BUCKETS)), F.floor(end["n"] / F.lit(64.0)).cast("double")))
         width = end["hi"] - end["lo"]
-        place = F.when(width > 0, F.floor((value - end["lo"]) / width * buckets)).otherwise(F.lit(0))
+        place = (
+            F.when(value < end["lo"], F.lit(-1.0))
+            .when(value > end["hi"], buckets + 1.0)
+            .when(width > 0, F.floor((value - end["lo"]) / width * buckets).cast("double"))
+            .otherwise(F.lit(0.0))
+        )
         return F.struct(F.lit(i).alias("_i"), place.cast("bigint").alias("_vb"), value.alias("value"))
 
     def cells(rows: DataFrame, wanted: Callable[[Column], Column]) -> DataFrame:
