@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationcast.llm import chat, mixing, quality_rules, simhash, url_filter
+from stationcast.llm import chat, factorisation, fingerprints, mixing, quality_rules, simhash, url_filter
 from stationcast.session import prepare_session
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -191,3 +191,31 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = simhash.link_documents(table(spark, sf_dir, "documents"))
     return linked.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+# --- 2: quality classifier ------------------------------------------------------
+
+ACCEPT = 0.7
+
+
+def held_out() -> Column:
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+def quality_machine(spark: SparkSession, sf_dir: str, docs: DataFrame) -> factorisation.Machine:
+    return factorisation.train(docs, good_labels(spark, sf_dir).filter(~held_out()))
+
+
+@register("op2_factorisation")
+def op2_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = factorisation.score(docs, quality_machine(spark, sf_dir, docs))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
+
+
+# --- 8: document fingerprints ---------------------------------------------------
+
+
+@register("op8_minhash")
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")

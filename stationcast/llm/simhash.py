@@ -15,7 +15,7 @@ tiles, every pair of tiles being compared, so no task holds a whole bucket.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from stationcast.llm import text as tx
 from stationcast.llm.components import components
+from stationcast.llm.jaccard import shingles, verified_links
 from stationcast.session import stage
 
 #: Rows of a bucket that are compared in one block; larger buckets are cut into tiles of this size.
@@ -35,6 +36,9 @@ _BLOCK = 512
 #: Rows of a bucket table that may be broadcast, by a count.
 _FEW = 100_000
 
+#: Two ends and a cost for each linked pair of a block.
+Links = tuple[np.ndarray, np.ndarray, np.ndarray]
+
 _BITS_OF_BYTE = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
 
@@ -90,8 +94,9 @@ def fingerprints(
 ) -> DataFrame:
     """``key, fp`` (big-endian bytes) per row; texts without words have fingerprint zero.
 
-    With 64 bits the hashes are XXH64 of the shingle strings, repeats included; longer
-    fingerprints derive their words from vectorised shingle hashes. ``distinct`` counts
+    With 64 bits the hashes are XXH64 of the lower-cased shingle strings, repeats included;
+    longer fingerprints derive theirs from vectorised hashes of the words as they stand.
+    ``distinct`` counts
     each shingle of a document once, which ties distances to set similarity. Null texts
     are empty; null keys and repeated rows are kept; an empty table gives an empty one.
     """
@@ -105,10 +110,7 @@ def fingerprints(
                 raw = texts.cast(pa.large_binary()).fill_null(b"").to_pylist()
                 hashes, counts = exact_hashes(raw, size, seed)
             else:
-                data, offsets = tx.batch_bytes(texts)
-                lowered = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-                starts, ends, n_words = tx.word_spans(lowered, offsets)
-                hashes, counts = tx.shingle_hashes(tx.span_hashes(tx.prefix_hashes(lowered), starts, ends), n_words, size)
+                hashes, counts = shingles(texts, size)
             if distinct:
                 hashes, counts = _once_per_document(hashes, counts)
             made = majority(_spread(hashes, words), counts)
@@ -147,9 +149,9 @@ def pigeonhole_groups(bits: int, radius: int, blocks: int | None = None) -> list
 
 
 def expected_radius(similarity: float, bits: int) -> int:
-    """Differing bits of two sets with that Jaccard similarity: the mean and one deviation more."""
+    """Differing bits of two sets with that Jaccard similarity: the mean and two deviations more."""
     angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * angle + math.sqrt(bits * angle * (1 - angle)))
+    return round(bits * angle + 2 * math.sqrt(bits * angle * (1 - angle)))
 
 
 def sampled_groups(bits: int, similarity: float, rows: int, recall: float = 0.99) -> list[list[int]]:
@@ -238,36 +240,59 @@ def block_links(words: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]
     return alive[i], j
 
 
-def spanning_forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each row to the smallest row of its component, instead of all pairs."""
-    root = np.arange(n)
+def spanning_forest(i: np.ndarray, j: np.ndarray, cost: np.ndarray, n: int) -> np.ndarray:
+    """Indices of the links of a cheapest spanning forest.
+
+    Of the pairs it leaves out, each is at least as costly as all links on the way between
+    its ends; so a check that later drops costly links keeps the components of the rest.
+    Components take their cheapest outgoing link round by round, all at once.
+    """
+    order = np.lexsort((j, i, cost))
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    root, kept = np.arange(n), np.zeros(0, dtype=np.int64)
     while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        np.minimum.at(new, root[i], low)
-        np.minimum.at(new, root[j], low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    member = np.flatnonzero(root != np.arange(n))
-    return root[member], member
-
-
-def _forest(radius: int):
+        a, b = root[i], root[j]
+        out = a != b
+        if not out.any():
+            return kept
+        best = np.full(n, len(order), dtype=np.int64)
+        np.minimum.at(best, a[out], rank[out])
+        np.minimum.at(best, b[out], rank[out])
+        new = order[np.unique(best[best < len(order)])]
+        kept = np.concatenate([kept, new])
+        while True:  # unite what the new links join
+            low = np.minimum(root[i[new]], root[j[new]])
+            united = np.arange(n)
+            np.minimum.at(united, root[i[new]], low)
+            np.minimum.at(united, root[j[new]], low)
+            moved = united[root]
+            if (moved == root).all():
+                break
+            root = moved
+
+
+def _within(radius: int):
+    def compare(fps: list[bytes]) -> Links:
+        words = _as_words(pa.array(fps, pa.binary()))
+        i, j = block_links(words, radius)
+        return i, j, np.bitwise_count(words[i] ^ words[j]).sum(axis=1)
+
+    return compare
+
+
+def _forest(compare: Callable[[list[bytes]], Links]):
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def links(fps: list[bytes]) -> pa.RecordBatch | None:
         fps = sorted(set(fps))
         if len(fps) < 2:
             return None
-        i, j = block_links(_as_words(pa.array(fps, pa.binary())), radius)
+        i, j, cost = compare(fps)
         if not len(i):
             return None
-        a, b = spanning_forest(i, j, len(fps))
-        return tx.table_rows({"a": [fps[x] for x in a], "b": [fps[x] for x in b]}, schema)
+        kept = spanning_forest(i, j, cost, len(fps))
+        return tx.table_rows({"a": [fps[x] for x in i[kept]], "b": [fps[x] for x in j[kept]]}, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by bucket; whole buckets are gathered into blocks."""
@@ -293,13 +318,13 @@ def _forest(radius: int):
     return run
 
 
-def near_fingerprints(fps: DataFrame, radius: int, groups: list[list[int]]) -> DataFrame:
-    """Links ``a, b`` of distinct fingerprints within the radius, a spanning forest per block.
+def linked_in_blocks(dealt: DataFrame, compare: Callable[[list[bytes]], Links]) -> DataFrame:
+    """Links ``a, b`` among the values ``fp`` of each ``bucket``, a spanning forest per block.
 
-    ``fps`` has a column ``fp`` of distinct values. Every pair within the radius that
-    shares a bit group ends in one component.
+    ``compare`` gets sorted distinct values and returns indices and costs of all linked pairs.
+    Every linked pair that shares a bucket ends in one component.
     """
-    dealt = stage(_dealt(fps, groups), "buckets")
+    dealt = stage(dealt, "buckets")
     large = stage(
         dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TILE)
         .select(F.col("bucket").alias("large"), F.ceil(F.col("n") / TILE).cast("int").alias("tiles")),
@@ -317,46 +342,54 @@ def near_fingerprints(fps: DataFrame, radius: int, groups: list[list[int]]) -> D
     )
     parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = placed.repartition(parts, "place").sortWithinPartitions("place")
-    return blocks.mapInArrow(_forest(radius), "a binary, b binary")
+    return blocks.mapInArrow(_forest(compare), "a binary, b binary")
 
 
-def group_documents(prints: DataFrame, radius: int, groups: list[list[int]], *, key: str = "doc_id") -> DataFrame:
-    """``key, fp, component_id`` per row of ``prints`` (columns ``key, fp``).
+def near_fingerprints(fps: DataFrame, radius: int, groups: list[list[int]]) -> DataFrame:
+    """Links of distinct fingerprints (column ``fp``) that differ in at most ``radius`` bits and share a bit group."""
+    return linked_in_blocks(_dealt(fps, groups), _within(radius))
 
-    The component is the smallest key reachable over links within the radius, equal
-    fingerprints being linked too. A null key never names a component that has others.
-    """
-    distinct = stage(prints.groupBy("fp").agg(F.min(key).alias("least")), "fingerprints")
-    links = near_fingerprints(distinct, radius, groups)
+
+def _named_components(prints: DataFrame, classes: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """``key, fp, component_id`` per row of ``prints``: the smallest key of all linked classes."""
     roots = components(links)
-    # the smallest document over all fingerprints of a component
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = stage(named.join(least, "root").select(F.col("fp").alias("own"), "component_id"), "components")
     return prints.join(by_print, F.col("fp") == F.col("own")).select(key, "fp", "component_id")
 
 
+def _classes(prints: DataFrame, key: str) -> DataFrame:
+    return stage(prints.groupBy("fp").agg(F.min(key).alias("least")), "fingerprints")
+
+
 def link_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", radius: int = 2) -> DataFrame:
     """Documents with 64-bit fingerprints over three words, and their components at ``radius`` bits.
 
     Exact: two fingerprints within the radius share one of the bit groups.
     """
     prints = stage(fingerprints(docs, key=key, text=text), "prints")
-    return group_documents(prints, radius, pigeonhole_groups(64, radius), key=key)
+    classes = _classes(prints, key)
+    return _named_components(prints, classes, near_fingerprints(classes, radius, pigeonhole_groups(64, radius)), key)
 
 
 def near_duplicate_groups(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, bits: int = 256
 ) -> DataFrame:
-    """Documents whose sets of ``size``-word shingles are about ``similarity`` alike, as components.
+    """Documents whose sets of ``size``-word shingles are at least ``similarity`` alike, as components.
 
     The distance of long fingerprints estimates the similarity: at 256 bits and 0.8 the
-    radius is 45 bits, the mean of 39 and one deviation. Unrelated documents differ in
-    128 of 256 bits, 15 deviations away. Texts without words form a group of their own.
+    radius is 50 bits, the mean of 39 and two deviations; unrelated documents differ in
+    about 128. Links of the spanning forests are verified by the exact similarity. Texts
+    without words form a group of their own.
     """
     prints = stage(fingerprints(docs, key=key, text=text, size=size, bits=bits, distinct=True), "prints")
-    rows = prints.select("fp").distinct().count()
-    return group_documents(prints, expected_radius(similarity, bits), sampled_groups(bits, similarity, rows), key=key)
+    classes = _classes(prints, key)
+    groups = sampled_groups(bits, similarity, classes.count())
+    found = near_fingerprints(classes, expected_radius(similarity, bits), groups)
+    texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text"))
+    sure = verified_links(found, classes, texts, size=size, similarity=similarity)
+    return _named_components(prints, classes, sure, key)
 
 
 def keep_one_per_group(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,19 +34,6 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def only(df: DataFrame, *columns: str) -> DataFrame:
-    """Just the named columns, so that further ones, however named, cannot clash."""
-    return df.select(*[F.col(f"`{c}`") for c in columns])
-
-
-def free_name(df: DataFrame, wish: str) -> str:
-    """A column name that ``df`` does not have yet, whatever the case of its letters."""
-    taken = {c.lower() for c in df.columns}
-    while wish.lower() in taken:
-        wish = f"_{wish}"
-    return wish
-
-
 def mix64(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over all output bits."""
     h = h ^ (h >> np.uint64(30))
@@ -137,10 +124,11 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np
     got = np.zeros(n, dtype=np.uint64)
     for k in range(size):
         part = np.zeros(n, dtype=np.uint64)
-        part[: n - k] = words[k:] if k else words
+        left = max(n - k, 0)
+        part[:left] = words[k:]
         if k:
             same = np.zeros(n, dtype=bool)
-            same[: n - k] = owner[k:] == owner[: n - k]
+            same[:left] = owner[k:] == owner[:left]
             part[~same] = 0
         got = mix64(got * np.uint64(0xD6E8FEB86659FD93) + part + np.uint64(k + 1))
     place = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -148,7 +136,7 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np
     return got[place < np.repeat(mine, counts)], mine
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], column: str | int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of text, whole rows each.
 
     Spark's batches are bounded by rows; a few thousand very long texts in one batch
@@ -157,8 +145,8 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 8
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        sizes = np.asarray(batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary()).fill_null(b""))
-        total = np.cumsum([len(x) for x in sizes])
+        _, offsets = batch_bytes(batch.column(column))
+        total = offsets[1:]
         at = 0
         while at < batch.num_rows:
             before = total[at - 1] if at else 0
