@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationcast.llm import chat, factorisation, fingerprints, mixing, quality_rules, simhash, url_filter
+from stationcast.llm import (
+    chat,
+    factorisation,
+    fingerprints,
+    mixing,
+    quality_rules,
+    simhash,
+    suffix_dedup,
+    url_filter,
+)
 from stationcast.session import prepare_session
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -219,3 +228,13 @@ def op2_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_minhash")
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
+
+
+# --- 5: repeated strings --------------------------------------------------------
+
+
+@register("op5_suffix_dedup")
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy goes, the first included."""
+    report = suffix_dedup.dedup_report(table(spark, sf_dir, "documents"), keep_first=False)
+    return report.withColumnRenamed("doc", "doc_id")
