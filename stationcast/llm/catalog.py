@@ -11,8 +11,10 @@ from stationcast.llm import (
     chat,
     factorisation,
     fingerprints,
+    html_crf,
     mixing,
     quality_rules,
+    sentencepiece_lattice,
     simhash,
     suffix_dedup,
     url_filter,
@@ -238,3 +240,34 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every copy goes, the first included."""
     report = suffix_dedup.dedup_report(table(spark, sf_dir, "documents"), keep_first=False)
     return report.withColumnRenamed("doc", "doc_id")
+
+
+# --- 9: HTML extraction ---------------------------------------------------------
+
+
+@register("op9_html_crf")
+def op9_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = html_crf.extract(pages, html_crf.train(pages))
+    return found.withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
+# --- 1: SentencePiece -----------------------------------------------------------
+
+
+def encoded_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``doc_id, n_tokens, ids, round_trip``: the last tells whether the ids decode to the text."""
+    model = sentencepiece_lattice.session_model(spark)
+    encoded = sentencepiece_lattice.encode(docs.select("doc_id", "text"), model)
+    decoded = sentencepiece_lattice.decode(encoded, model)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        "ids",
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
+@register("op1_sentencepiece")
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_documents(spark, table(spark, sf_dir, "documents"))
