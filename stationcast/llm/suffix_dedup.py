@@ -233,7 +233,7 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     rows = stage(_anchor_rows(keyed, length), "anchors")
     where = F.struct("doc", "mark", "at")
     classes = rows.groupBy("core", "full").agg(
-        F.count(F.lit(1)).alias("n"), F.min(where).alias("first"), F.max(where).alias("last")
+        F.count(F.lit(1)).alias("n"), F.min(where).alias("first")
     )
     per_core = classes.groupBy("core").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"))
     # anchors that occur once have no match; most end here
