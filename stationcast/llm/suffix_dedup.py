@@ -180,17 +180,19 @@ def _order_blocks(length: int, later_only: bool):
         hit = np.flatnonzero(later if later_only else repeated)
         if not len(hit):
             return None
-        # neighbouring starts of one context are one span
-        who, offset = who[hit], offset[hit]
-        fresh = np.append(True, (who[1:] != who[:-1]) | (offset[1:] != offset[:-1] + 1))
-        last = np.append(np.flatnonzero(fresh)[1:] - 1, len(who) - 1)
+        # what a document has covered in this block, as few spans as may be
+        base = doc[hit].astype(np.int64) << 40
+        begins = np.unique(base + offset[hit])
+        fresh = np.append(True, begins[1:] > begins[:-1] + length)
         first = np.flatnonzero(fresh)
+        last = np.append(first[1:] - 1, len(begins) - 1)
+        place, within = begins[first] >> 40, (1 << 40) - 1
         return tx.table_rows(
             {
-                "doc": [rows[i][1] for i in who[first]],
-                "mark": [rows[i][2] for i in who[first]],
-                "begin": offset[first],
-                "end": offset[last] + length,
+                "doc": [named[i][1] if named[i][0] else None for i in place],
+                "mark": [named[i][2] for i in place],
+                "begin": begins[first] & within,
+                "end": (begins[last] & within) + length,
             },
             schema,
         )
