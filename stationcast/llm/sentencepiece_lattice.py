@@ -7,7 +7,9 @@ the piece table, the matches (edges) grouped by chunk, and the best path folded
 to right with the higher-order ``aggregate``: for each end the best score over all edges
 into it, ties going to the earliest start, and a character that is no piece costs
 ``UNKNOWN_PENALTY`` more than the worst piece and is written as its bytes. That is the
-Viterbi search of a unigram model over the pieces and scores of the file.
+Viterbi search of a unigram model over the pieces of the file. Of a file whose scores are
+merge ranks it takes the pieces and ids, with log-probabilities made from the ranks; such
+ids decode to the same text, but are not always those that merging in order gives.
 
 Encoded chunks are then laid over the texts: the ``MOST_CHUNKS`` most frequent ones in a
 table of fixed size that is broadcast, the others, if there are more, joined by chunk.
@@ -34,12 +36,27 @@ SPACE = "\u2581"
 CHUNK = "\\n|\u2581{1,16}[^\u2581\\n]{0,48}|[^\u2581\\n]{1,48}"
 UNKNOWN_PENALTY = 10.0
 #: Chunks in the broadcast table, at most; about 20 bytes each.
-MOST_CHUNKS = 12_000_000
+MOST_CHUNKS = 2_000_000
 
 # The kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 
 
+#: Kind of a model file whose scores are merge ranks, and the offset of the law that makes them probabilities.
+BPE_MODEL = 2
+RANK_OFFSET = 50.0
+
+
+def log_probabilities(scores: list[float]) -> list[float]:
+    """Scores of a file whose scores are negative merge ranks, as log-probabilities.
+
+    Ranks do not add up along a path; frequencies fall about as one over the rank, which
+    gives a unigram model of the same pieces. Pieces set to be last get the last rank.
+    """
+    ranks = np.minimum(-np.array(scores), len(scores)) + RANK_OFFSET
+    return (-np.log(ranks) - np.log((1 / ranks).sum())).tolist()
+
+
 @dataclass(frozen=True)
 class Model:
     """Pieces by id, with scores and kinds."""
@@ -56,9 +73,10 @@ class Model:
         spec = proto.ModelProto()
         with open(path, "rb") as f:
             spec.ParseFromString(f.read())
-        return Model(
-            tuple(p.piece for p in spec.pieces), tuple(float(p.score) for p in spec.pieces), tuple(int(p.type) for p in spec.pieces)
-        )
+        scores = [float(p.score) for p in spec.pieces]
+        if spec.trainer_spec.model_type == BPE_MODEL:
+            scores = log_probabilities(scores)
+        return Model(tuple(p.piece for p in spec.pieces), tuple(scores), tuple(int(p.type) for p in spec.pieces))
 
     def edges(self) -> list[tuple[str, int, float]]:
         found = [(p, i, s) for i, (p, s, k) in enumerate(zip(self.pieces, self.scores, self.kinds)) if k in (NORMAL, USER_DEFINED)]
@@ -102,14 +120,13 @@ def encode_chunks(chunks: DataFrame, model: Model) -> DataFrame:
     unknown = min((s for _, _, s in edges), default=0.0) - UNKNOWN_PENALTY
     size = F.char_length("chunk")
 
-    def from_start(s: Column) -> Column:
-        lengths = F.sequence(F.lit(1), F.least(F.lit(longest), size - s + 1))
-        return F.transform(lengths, lambda k: F.struct(s.alias("start"), (s + k - 1).alias("end"), F.substring("chunk", s, k).alias("piece")))
-
-    spans = chunks.select("chunk", "n", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), size), from_start))).alias("x"))
+    starts = chunks.select("chunk", "n", F.explode(F.sequence(F.lit(1), size)).alias("start"))
+    until = F.least(size, F.col("start") + F.lit(longest - 1))
+    spans = starts.select("chunk", "n", "start", F.explode(F.sequence(F.col("start"), until)).alias("end")).withColumn(
+        "piece", F.substring("chunk", F.col("start"), F.col("end") - F.col("start") + 1)
+    )
     lattice = (
-        spans.select("chunk", "n", "x.*")
-        .join(F.broadcast(table), "piece", "left")
+        spans.join(F.broadcast(table), "piece", "left")
         .filter("id is not null or start = end")  # a character that is no piece keeps its place
         .groupBy("chunk", "n")
         .agg(F.array_sort(F.collect_list(F.struct("end", "start", "id", F.coalesce("score", F.lit(unknown)).alias("score")))).alias("edges"))
@@ -167,16 +184,25 @@ class ChunkTable:
     ids: np.ndarray
 
     @staticmethod
-    def of(rows: pa.Table) -> ChunkTable:
-        chunks, lists = rows["chunk"].combine_chunks(), rows["ids"].combine_chunks()
-        hashes = chunk_hashes(chunks)
+    def of(chunks: DataFrame) -> ChunkTable:
+        """Hashes are made in tasks; the driver gets them and the ids, as many as the caller allows."""
+        schema = pa.schema([("hash", pa.int64()), ("ids", pa.binary())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = [np.array(x, dtype="<u4").tobytes() for x in batch.column(1).to_pylist()]
+                yield tx.table_rows({"hash": chunk_hashes(batch.column(0)).view(np.int64), "ids": lists}, schema)
+
+        rows = chunks.select("chunk", "ids").mapInArrow(run, "hash bigint, ids binary").toArrow()
+        hashes = np.asarray(rows["hash"]).view(np.uint64)
+        data, offsets = tx.batch_bytes(rows["ids"])
+        flat = np.frombuffer(data.tobytes(), dtype="<u4")
         order = np.argsort(hashes)
         if (hashes[order][1:] == hashes[order][:-1]).any():
             raise ValueError("two chunks share a hash")
-        begins = np.append(np.asarray(lists.offsets), 0)[: len(lists) + 1].astype(np.int64) if len(lists) else np.zeros(1, np.int64)
+        begins = offsets // 4
         sizes = np.diff(begins)[order]
         new = np.concatenate([[0], np.cumsum(sizes)])
-        flat = np.asarray(lists.values).astype(np.uint32)
         taken = np.repeat(begins[:-1][order] - new[:-1], sizes) + np.arange(new[-1])
         return ChunkTable(hashes[order], new.astype(np.uint32), flat[taken])
 
@@ -214,7 +240,7 @@ def encode(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "t
     encoded = stage(encode_chunks(chunk_counts(docs, text), model), "encoded-chunks")
     total = encoded.count()
     frequent = encoded.orderBy(F.desc("n"), "chunk").limit(most_chunks) if total > most_chunks else encoded
-    table = spark.sparkContext.broadcast(ChunkTable.of(frequent.select("chunk", "ids").toArrow()))
+    table = spark.sparkContext.broadcast(ChunkTable.of(frequent))
     kept = [c for c in docs.columns if c.lower() != "ids"]
     base = docs.select(*[F.col(f"`{c}`") for c in kept])
     at = kept.index(text)
@@ -225,12 +251,18 @@ def encode(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "t
     row = F.struct(*[F.col(f"`{c}`") for c in kept])
     mark = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")))
     keyed = base.select(row.alias("row"), mark.alias("mark"))
-    known = frequent.select("chunk")
-    rare = encoded.join(known, "chunk", "left_anti").select("chunk", "ids")
-    texts = keyed.groupBy("mark").agg(F.min(f"row.{text}").alias("text"))
-    chunks = F.array_distinct(F.regexp_extract_all(marked(F.col("text")), F.lit(CHUNK), F.lit(0)))
-    needed = texts.select("mark", F.explode(chunks).alias("chunk")).join(rare, "chunk")
-    per = needed.groupBy("mark").agg(F.collect_list(F.struct("chunk", "ids")).alias("more"))
+    schema = pa.schema([("mark", pa.int64()), ("chunk", pa.string())])
+
+    def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tx.small_batches(batches, 1, 2 << 20):
+            chunks, counts = _cut(batch.column(1).to_pylist())
+            out = np.flatnonzero(table.value.find(chunk_hashes(pa.array(chunks, pa.large_string()))) < 0)
+            owner = np.repeat(np.asarray(batch.column(0)), counts)
+            pairs = {(int(owner[i]), chunks[i]) for i in out}
+            yield tx.table_rows({"mark": [m for m, _ in pairs], "chunk": [c for _, c in pairs]}, schema)
+
+    needed = keyed.select("mark", f"row.{text}").mapInArrow(missing, "mark bigint, chunk string").distinct()
+    per = needed.join(encoded.select("chunk", "ids"), "chunk").groupBy("mark").agg(F.collect_list(F.struct("chunk", "ids")).alias("more"))
     joined = keyed.join(per, "mark", "left").select("row.*", "more")
     return joined.mapInArrow(_lay(table, at, len(kept)), f"{spec}, ids array<int>")
 
