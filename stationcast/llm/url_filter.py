@@ -69,7 +69,7 @@ def _slot(key: Column, level_salt: int, bits: int, k: int) -> Column:
 def _hits(key: Column, words: Column, n_words: int, hashes: int, salt: int) -> Column:
     def bit(k: int) -> Column:
         slot = _slot(key, salt, n_words * 64, k)
-        word = F.element_at(words, (F.shiftright(slot, 6) + 1).cast("int"))
+        word = F.element_at(words.cast("array<bigint>"), (F.shiftright(slot, 6) + 1).cast("int"))
         return F.getbit(word, F.pmod(slot, F.lit(64)).cast("int"))
 
     out = bit(0) == 1
