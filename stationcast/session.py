@@ -37,18 +37,25 @@ def prepare_session(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (tests on one machine) a temporary folder is made, once per session.
+    The cluster names it in ``spark.checkpoint.dir``.  Only a session of one machine may
+    do without: it gets a temporary folder, once, and its own setting is left alone.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if not named:
-        named = tempfile.mkdtemp(prefix="stationcast-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        context = spark.sparkContext
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if context.applicationId not in _LOCAL_DIRS:
+            _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="stationcast-")
+        named = _LOCAL_DIRS[context.applicationId]
     return named.rstrip("/")
 
 

@@ -16,6 +16,7 @@ from stationcast.functions.units import clean_numeric, to_canonical
 CSV_GLOB = "*.[cC][sS][vV]"
 SNIFF_BYTES = 512
 HEAD_BYTES = 8_192
+HEAD_LINES = 10
 DELIMITERS = (",", ";", "\t", "|")
 ORDER = ("_file", "_block", "_line")
 
@@ -61,7 +62,11 @@ def _read_heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             # Spark writes local files as file:/x; a URI needs file:///x.
             system, inner = fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
             with system.open_input_stream(inner) as stream:
-                heads.append(stream.read(HEAD_BYTES))
+                head = stream.read(HEAD_BYTES)
+                # long lines: on until the header and the lines to sniff are there
+                while head.count(b"\n") < HEAD_LINES and (more := stream.read(len(head))):
+                    head += more
+                heads.append(head)
         yield pd.DataFrame({"path": pdf["path"], "length": pdf["length"], "head": heads})
 
 

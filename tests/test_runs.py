@@ -176,3 +176,20 @@ def test_entry_and_registry(spark):
     assert set(queries) - set(oracles) == {
         "seeded_sample", "ridge_cv", "linear_regression", "random_forest", "gradient_boosting", "batch_scoring",
     }
+
+
+def test_shared_folder_is_named_or_local(spark):
+    from types import SimpleNamespace
+
+    from stationcast.session import shared_dir
+
+    def session(master, named):
+        conf = SimpleNamespace(get=lambda key, default=None: named)
+        context = SimpleNamespace(master=master, applicationId=f"app-{master}", getConf=lambda: conf)
+        return SimpleNamespace(conf=conf, sparkContext=context)
+
+    assert shared_dir(session("spark://host:7077", "hdfs://shared/")) == "hdfs://shared"
+    assert shared_dir(session("local[2]", None)) == shared_dir(session("local[2]", None))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,512]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(session(master, None))

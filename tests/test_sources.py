@@ -177,3 +177,12 @@ def test_tables_round_trip(spark, tmp_path):
     tables.write_metrics(metrics, str(tmp_path / "m"))
     assert '"mape":null' in "".join(p.read_text() for p in (tmp_path / "m" / "json").glob("*.json"))
     assert tables.read_metrics(spark, str(tmp_path / "m")).first()["mae"] == 1.5
+
+
+def test_header_longer_than_the_first_read(spark, tmp_path):
+    from stationcast.sources.station_csv import HEAD_BYTES, file_manifest
+
+    long = ";".join(["Date (UTC)", *[f"column {i} of a wide export" for i in range(HEAD_BYTES // 10)]])
+    (tmp_path / "wide.csv").write_text(f"{long}\n2024-01-01 00:00;1\n2024-01-01 00:10;2\n")
+    row = file_manifest(spark, str(tmp_path)).first()
+    assert row["delimiter"] == ";" and "column 818 of a wide export" in str(row["header"])
