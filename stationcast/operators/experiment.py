@@ -15,7 +15,7 @@ from stationcast.operators.features import make_supervised, select_feature_colum
 from stationcast.operators.scaling import METHODS, apply_scaler, fit_scaler, fit_target_scaler, scalable_columns
 from stationcast.operators.splits import chronological_split, split_metadata
 from stationcast.session import new_path, stage
-from stationcast.sources.tables import write_metrics, write_predictions
+from stationcast.sources.tables import write_metrics, write_per_horizon, write_predictions
 
 PER_SERIES_MODELS = ("ridge", "linear_regression")
 POOLED_MODELS = ("random_forest", "gradient_boosting")
@@ -109,8 +109,9 @@ def run_experiment(prepared: DataFrame, options: ExperimentOptions, output: str
     """Run all horizons and models; returns the metrics with skill scores.
 
     Written under ``output``: predictions (by model and horizon), split metadata,
-    scalers, metrics.  The supervised table is written once for all horizons, and
-    the scaled table of a horizon once for all its models.
+    scalers, metrics.  A second run into one folder replaces what the first wrote of
+    its models and horizons.  The supervised table is written once for all horizons,
+    and the scaled table of a horizon once for all its models.
     """
     spark = prepared.sparkSession
     output = output or new_path(spark, "experiment")
@@ -127,17 +128,11 @@ def run_experiment(prepared: DataFrame, options: ExperimentOptions, output: str
         rows = supervised.where(ref(y).isNotNull()).drop(*(others - {y}))
         split = _split(rows, options, keys)
         features = select_feature_columns(rows, y, not_features=keys)
-        split_metadata(split, y, features, keys, options.ts).withColumn("horizon_label", F.lit(label)).write.mode(
-            "append"
-        ).partitionBy("horizon_label").json(f"{output}/split_metadata")
+        write_per_horizon(split_metadata(split, y, features, keys, options.ts), label, f"{output}/split_metadata", "json")
         scaled_columns = scalable_columns(rows, features)
         scaler = stage(fit_scaler(split, scaled_columns, options.scaling, keys), "scaler")
-        scaler.withColumn("horizon_label", F.lit(label)).write.mode("append").partitionBy("horizon_label").parquet(
-            f"{output}/scalers"
-        )
-        fit_target_scaler(split, y, options.scaling, keys).withColumn("horizon_label", F.lit(label)).write.mode(
-            "append"
-        ).partitionBy("horizon_label").parquet(f"{output}/target_scalers")
+        write_per_horizon(scaler, label, f"{output}/scalers")
+        write_per_horizon(fit_target_scaler(split, y, options.scaling, keys), label, f"{output}/target_scalers")
         if not options.ml:
             continue
         scaled = stage(apply_scaler(split, scaler, scaled_columns, keys, [options.ts]), "scaled", ["split"])

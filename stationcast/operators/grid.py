@@ -13,9 +13,32 @@ from stationcast.operators.buckets import BUCKET_STEPS, keys_list
 
 
 def _bounds(df: DataFrame, keys: list[str], ts: str, freq_seconds: int) -> DataFrame:
+    """First time and number of the last step per key, of its most frequent phase.
+
+    On equal counts the phase seen first is taken.  A stray row, be it the first of
+    its station, so does not move the axis away from all others.
+    """
     freq = freq_seconds * 1_000_000
-    lo, hi = F.unix_micros(F.min(ts)), F.unix_micros(F.max(ts))
-    return df.groupBy(*keys).agg(lo.alias("_lo"), F.floor((hi - lo) / F.lit(float(freq))).alias("_last"))
+    micros = F.unix_micros(F.col(ts))
+    phases = df.groupBy(*keys, F.pmod(micros, F.lit(freq)).alias("_phase")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(micros).alias("_lo"), F.max(micros).alias("_hi")
+    )
+    chosen = F.max_by(F.struct("_lo", "_hi"), F.struct(F.col("_n"), -F.col("_lo"))).alias("_axis")
+    last = F.floor((F.col("_axis._hi") - F.col("_axis._lo")) / F.lit(float(freq)))
+    return phases.groupBy(*keys).agg(chosen).select(*keys, F.col("_axis._lo").alias("_lo"), last.alias("_last"))
+
+
+def off_axis_rows(
+    df: DataFrame, freq_seconds: int, keys: str | Sequence[str] = "station_id", ts: str = "ts_utc"
+) -> DataFrame:
+    """The rows that ``insert_gaps`` finds no step for; rows without a time or key are among them."""
+    keys = keys_list(keys)
+    axis = _bounds(df, keys, ts, freq_seconds).select(*[F.col(k).alias(f"_axis_{k}") for k in keys], "_lo")
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k) == F.col(f"_axis_{k}")
+    on = F.pmod(F.unix_micros(F.col(ts)) - F.col("_lo"), F.lit(freq_seconds * 1_000_000)) == 0
+    return df.join(axis, same, "left").where(~F.coalesce(on, F.lit(False))).select(*df.columns)
 
 
 def time_axis(
@@ -25,7 +48,7 @@ def time_axis(
     ts: str = "ts_utc",
     bucket_steps: int = BUCKET_STEPS,
 ) -> DataFrame:
-    """Every step from the first to the last time of each key: (keys, ts)."""
+    """Every step from the first to the last time of each key's most frequent phase: (keys, ts)."""
     keys = keys_list(keys)
     size = float(bucket_steps)
     buckets = _bounds(df, keys, ts, freq_seconds).select(
@@ -52,16 +75,23 @@ def insert_gaps(
     keys: str | Sequence[str] = "station_id",
     ts: str = "ts_utc",
     bucket_steps: int = BUCKET_STEPS,
+    keep_off_axis: bool = False,
 ) -> DataFrame:
     """Complete the axis; added rows have NULL variables and ``gap = true``.
 
-    ``ts`` is unique per key on input.  Rows off the axis are left out; see
-    ``off_grid_report``.
+    ``ts`` is unique per key on input.  Rows off the axis are left out, and are what
+    ``off_axis_rows`` returns; with ``keep_off_axis`` they stay, and a column
+    ``off_axis`` tells them from the others.
     """
     keys = keys_list(keys)
     axis = time_axis(df, freq_seconds, keys, ts, bucket_steps)
-    present = df.drop(GAP_COLUMN).withColumn("_present", F.lit(True))
-    return axis.join(present, [*keys, ts], "left").withColumn(GAP_COLUMN, F.col("_present").isNull()).drop("_present")
+    plain = df.drop(GAP_COLUMN)
+    present = plain.withColumn("_present", F.lit(True))
+    full = axis.join(present, [*keys, ts], "left").withColumn(GAP_COLUMN, F.col("_present").isNull()).drop("_present")
+    if not keep_off_axis:
+        return full
+    stray = off_axis_rows(plain, freq_seconds, keys, ts).withColumn(GAP_COLUMN, F.lit(False))
+    return full.withColumn("off_axis", F.lit(False)).unionByName(stray.withColumn("off_axis", F.lit(True)))
 
 
 def off_grid_report(

@@ -165,6 +165,27 @@ def read_station_csv_utf16le(spark, sf_dir):
     return _read_back(spark, sf_dir, "UTF-16LE")
 
 
+@register(
+    "ingest_report",
+    query(
+        """SELECT event_type AS station_id, 2 * count(*) + count(*) FILTER (n = 1) AS rows_read, count(*) AS rows_kept,
+    count(*) AS duplicate_rows, count(*) FILTER (n = 1) AS unreadable_time
+    FROM (SELECT event_type, date_trunc('minute', ts) AS m, count(*) AS n FROM ev GROUP BY ALL) GROUP BY 1""",
+        ("ev",),
+    ),
+)
+def ingest_report(spark, sf_dir):
+    """Exports that hold every row twice, and rows of one reading once more without a time."""
+    text = fx.raw_text(spark, sf_dir)
+    timeless = text.where(F.col("uvi") == "1").withColumn("Date (Europe/Athens)", F.lit("unknown"))
+    path = new_path(spark, "raw")
+    text.unionByName(text).unionByName(timeless).write.partitionBy("station").option("header", True).option("sep", ";").csv(path)
+    rows = station_csv.station_rows(spark, path, fx.RAW_MAPPING, recursive=True, unreadable=True)
+    counts = ("rows_read", "rows_kept", "duplicate_rows", "unreadable_time")
+    station = F.regexp_replace("station_id", "^station=", "").alias("station_id")
+    return station_csv.ingest_report(rows).groupBy(station).agg(*[F.sum(c).alias(c) for c in counts])
+
+
 _MAP_SQL = """SELECT event_type AS station_id, date_trunc('minute', ts) AS minute,
     round(sum(CAST(round(value * 100) AS BIGINT)) / 1e2 + 3.7e-9, 6) + 0.0 AS temp_c, CAST(sum(k) AS DOUBLE) AS rh_pct,
     round(min(value){0} + 3.7e-9, 6) + 0.0 AS wspd_ms, round(max(value){0} + 3.7e-9, 6) + 0.0 AS gust_ms,
@@ -295,6 +316,28 @@ def insert_gaps(spark, sf_dir):
     return fx.station_grid(spark, sf_dir)
 
 
+@register(
+    "insert_gaps_off_axis",
+    """WITH o AS (SELECT event_type AS station_id, count(*) AS n,
+    date_trunc('hour', ts) + CASE WHEN count(*) % 7 = 0 THEN INTERVAL 3 MINUTE ELSE INTERVAL 0 MINUTE END AS ts_utc
+    FROM events GROUP BY event_type, date_trunc('hour', ts)),
+    phases AS (SELECT station_id, epoch_us(ts_utc) % 3600000000 AS phase, count(*) AS c, min(ts_utc) AS lo, max(ts_utc) AS hi FROM o GROUP BY 1, 2),
+    best AS (SELECT * FROM phases QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY c DESC, lo) = 1),
+    axis AS (SELECT station_id, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS ts_utc FROM best)
+    SELECT a.station_id, a.ts_utc, CAST(o.n AS DOUBLE) AS n, o.n IS NULL AS gap, false AS off_axis
+    FROM axis a LEFT JOIN o ON o.station_id = a.station_id AND o.ts_utc = a.ts_utc
+    UNION ALL SELECT o.station_id, o.ts_utc, o.n, false, true FROM o JOIN best b ON o.station_id = b.station_id
+    WHERE epoch_us(o.ts_utc) % 3600000000 <> b.phase""",
+)
+def insert_gaps_off_axis(spark, sf_dir):
+    """Hourly counts; those of a multiple of seven stand three minutes late."""
+    hour, n = F.date_trunc("hour", "ts").alias("hour"), F.count(F.lit(1)).cast("double").alias("n")
+    counts = fx.events(spark, sf_dir).groupBy(F.col("event_type").alias("station_id"), hour).agg(n)
+    late = F.when(F.col("n") % 7 == 0, 180_000_000).otherwise(0)
+    rows = counts.select("station_id", F.timestamp_micros(F.unix_micros("hour") + late).alias("ts_utc"), "n")
+    return grid.insert_gaps(rows, fx.HOUR, keep_off_axis=True)
+
+
 @register(
     "off_grid_report",
     """SELECT event_type AS station_id, count(*) AS rows,
@@ -418,6 +461,35 @@ def qc_consistency(spark, sf_dir):
 
 _RANGE_ANY = " OR ".join(f"coalesce({c} < {lo} OR {c} > {hi}, false)" for c, (lo, hi) in BOUNDS.items())
 
+# Every fourth hour lies above the range; every fifth has less gust than wind.
+_OVER = {c: f"CASE WHEN hour(ts_utc) % 4 = 0 THEN {hi} + 1e0 ELSE {c} END" for c, (_, hi) in BOUNDS.items()}
+_MARKED = ", ".join(f"{s} AS {c}" for c, s in _OVER.items() if c != "gust_ms")
+
+
+@register(
+    "qc_mixed",
+    query(
+        f""", marked AS (SELECT station_id, ts_utc, {_MARKED},
+    CASE WHEN hour(ts_utc) % 5 = 0 THEN wspd_ms - 0.5e0 ELSE {_OVER["gust_ms"]} END AS gust_ms FROM grid)
+    SELECT station_id, ts_utc, """
+        + ", ".join(f"coalesce({c} < {lo} OR {c} > {hi}, false) AS qc_range_{c}" for c, (lo, hi) in BOUNDS.items())
+        + f", {CONSISTENT_SQL} AS qc_consistency, ({_RANGE_ANY} OR {CONSISTENT_SQL}) AS qc_any FROM marked",
+        GRID,
+    ).replace("\n, marked", ", marked"),
+)
+def qc_mixed(spark, sf_dir):
+    """Flags on values of which some are out of range or contradict each other, and some are not."""
+    hour = F.hour("ts_utc")
+    rows = fx.station_grid(spark, sf_dir)
+    over = {c: F.when(hour % 4 == 0, F.lit(hi + 1.0)).otherwise(F.col(c)) for c, (_, hi) in BOUNDS.items()}
+    over["gust_ms"] = F.when(hour % 5 == 0, F.col("wspd_ms") - 0.5).otherwise(over["gust_ms"])
+    marked = rows.withColumns(over).withColumns(quality.range_flags(list(VARIABLES)))
+    marked = marked.withColumns(meteo.derived_columns(list(VARIABLES), ["dew_point"]))
+    marked = marked.withColumn("qc_consistency", quality.consistency_flag(marked.columns))
+    flags = [c for c in marked.columns if c.startswith("qc_")]
+    return marked.select("station_id", "ts_utc", *flags, quality.any_of([F.col(c) for c in flags]).alias("qc_any"))
+
+
 
 @register(
     "qc_any",
@@ -1269,7 +1341,7 @@ def ridge_1d(spark, sf_dir):
 
 
 def _scaled(spark, sf_dir):
-    rows = fx.split_rows(spark, sf_dir, 1)
+    rows = fx.model_rows(spark, sf_dir)
     names = features.select_feature_columns(rows, target_column("temp_c", 1))
     params = scaling.fit_scaler(rows, names)
     scaled = stage(scaling.apply_scaler(rows, params, names), "scaled", ["split"])
@@ -1294,12 +1366,17 @@ register("gradient_boosting")(_scored("gradient_boosting"))
 
 @register("batch_scoring")
 def batch_scoring(spark, sf_dir):
-    """A stored model loaded again and applied to all supervised rows."""
-    rows = fx.supervised(spark, sf_dir, 1)
-    names = ["temp_c", "rh_pct", "temp_c_lag1"]
-    path = new_path(spark, "model")
-    trees.save_model(trees.fit_model(rows, names, target_column("temp_c", 1), "linear_regression"), path)
-    return trees.score(rows, trees.load_model(path), names).select("station_id", "ts_utc", "y_pred")
+    """A scaler and a model, stored and loaded again, applied to the test rows; both are fitted on the train rows."""
+    rows = fx.model_rows(spark, sf_dir)
+    y = target_column("temp_c", 1)
+    names = features.select_feature_columns(rows, y)
+    folder = new_path(spark, "model")
+    scaling.fit_scaler(rows, names).write.parquet(f"{folder}/scaler")
+    params = spark.read.parquet(f"{folder}/scaler")
+    train = scaling.apply_scaler(rows.where(F.col("split") == "train"), params, names)
+    trees.save_model(trees.fit_model(train, names, y, "linear_regression"), f"{folder}/model")
+    test = scaling.apply_scaler(rows.where(F.col("split") == "test"), params, names)
+    return trees.score(test, trees.load_model(f"{folder}/model"), names).select("station_id", "ts_utc", "y_pred")
 
 
 # --- many stations ----------------------------------------------------------

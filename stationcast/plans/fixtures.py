@@ -154,6 +154,16 @@ def split_rows(spark: SparkSession, sf_dir: str, steps: int = 1) -> DataFrame:
     )
 
 
+def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Split rows to fit on: windowed features, or the present values where no row has complete windows."""
+    rows = split_rows(spark, sf_dir)
+    if not rows.where(F.col("split") == "train").isEmpty():
+        return rows
+    present = simple_supervised(spark, sf_dir).dropna("any")
+    others = [target_column(TARGET, h) for h in HORIZONS.values() if h != 1]
+    return stored(spark, sf_dir, "split-present", lambda *_: chronological_split(present.drop(*others), on_empty="keep"))
+
+
 def simple_supervised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Present and future target only; has rows even where coverage is low."""
     return make_supervised(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Iterator, Mapping, Sequence
 
@@ -10,14 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stationcast.functions.timeparse import local_to_utc, parse_wall_clock
+from stationcast.functions.timeparse import with_utc
 from stationcast.functions.units import clean_numeric, to_canonical
 
 CSV_GLOB = "*.[cC][sS][vV]"
+# Bytes looked at for the encoding, candidates for the delimiter.
 SNIFF_BYTES = 512
+DELIMITERS = (",", ";", "\t", "|")
 HEAD_BYTES = 8_192
 HEAD_LINES = 10
-DELIMITERS = (",", ";", "\t", "|")
 ORDER = ("_file", "_block", "_line")
 
 
@@ -86,14 +88,15 @@ def file_manifest(spark: SparkSession, directory: str, recursive: bool = False)
     mark = F.hex(F.substring("head", 1, 3))
     encoding = (
         F.when(looks_utf16le(F.col("head")), "UTF-16LE")
-        .when(mark.startswith("FFFE") | mark.startswith("FEFF"), "UTF-16")
+        .when(mark.startswith("FFFE"), "UTF-16LE")
+        .when(mark.startswith("FEFF"), "UTF-16BE")
         .otherwise("UTF-8")
     )
     even = F.col("head").substr(F.lit(1), (F.length("head") / 2).cast("int") * 2)
     text = (
         F.when(F.col("encoding") == "UTF-8", F.try_validate_utf8(F.regexp_replace(F.col("head").cast("string"), "[^\n]*$", "")))
         .when(F.col("encoding") == "UTF-16LE", F.decode(even, "UTF-16LE"))
-        .otherwise(F.decode(even, "UTF-16"))
+        .otherwise(F.decode(even, "UTF-16BE"))
     )
     whole = F.coalesce(text, F.col("head").cast("string"))
     return (
@@ -113,9 +116,9 @@ def file_manifest(spark: SparkSession, directory: str, recursive: bool = False)
 
 
 def _header_names(header: str, delimiter: str) -> list[str]:
-    """Column names of a header line; nameless and repeated ones get a position name."""
+    """Column names of a header line, quoted cells whole; nameless and repeated ones get a position name."""
     names: list[str] = []
-    for i, raw in enumerate(header.split(delimiter)):
+    for i, raw in enumerate(next(csv.reader([header], delimiter=delimiter, skipinitialspace=True), [])):
         name = raw.strip().strip('"').strip()
         names.append(name if name and name not in names else f"_c{i}")
     return names
@@ -130,16 +133,15 @@ def _read_format(spark: SparkSession, paths: Sequence[str], encoding: str, delim
         .option("encoding", encoding)
         .option("mode", "PERMISSIVE")
     )
-    if encoding == "UTF-16LE":
-        # Without a line separator Spark cuts lines at the single byte 0x0A.
+    if encoding != "UTF-8":
+        # Without a line separator Spark cuts lines at the single byte 0x0A.  A byte-order
+        # mark belongs to the header line, which is not read as data.
         reader = reader.option("lineSep", "\n")
-    elif encoding == "UTF-16":
-        reader = reader.option("multiLine", True)
     raw = reader.csv(list(paths))
     return raw.select(
         *[F.regexp_replace(F.col("`" + n.replace("`", "``") + "`"), "\r$", "").alias(n) for n in names],
         F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_name").alias("_file"),
+        F.col("_metadata.file_path").alias("_file"),  # equal names in two folders are two files
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_line"),
     )
@@ -205,14 +207,18 @@ def normalize_units(df: DataFrame, mapping: Mapping) -> DataFrame:
     return df.withColumns({c: to_canonical(F.col(c), u) for c, u in units.items()})
 
 
-def canonical_rows(raw: DataFrame, mapping: Mapping, timezone: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """Mapped, unit-normalised rows with ``ts_utc``; rows without a readable time are dropped."""
+def canonical_rows(
+    raw: DataFrame, mapping: Mapping, timezone: str | None = None, keep: Sequence[str] = (), unreadable: bool = False
+) -> DataFrame:
+    """Mapped, unit-normalised rows with ``ts_utc``.
+
+    Rows without a readable time are left out, and counted by ``ingest_report``; with
+    ``unreadable`` they stay, with NULL.
+    """
     zoned = mapping_with_timezone(mapping, timezone)
     mapped = normalize_units(map_schema(raw, zoned, keep), zoned)
     zone = zoned["ts"].get("timezone") or "UTC"
-    wall = parse_wall_clock(F.col("_wall_clock"))
-    stamped = mapped.withColumn("ts_utc", local_to_utc(wall, zone)).where(F.col("ts_utc").isNotNull())
-    return stamped.drop("_wall_clock")
+    return with_utc(mapped, "_wall_clock", zone, "ts_utc", unreadable).drop("_wall_clock")
 
 
 # --- duplicates -------------------------------------------------------------
@@ -275,9 +281,33 @@ def station_rows(
     timezone: str | None = None,
     station_id: str | None = None,
     recursive: bool = False,
+    unreadable: bool = False,
 ) -> DataFrame:
     """Canonical rows before duplicates are dropped, with their reading order."""
     raw = read_raw_directory(spark, directory, recursive)
     station = F.lit(station_id) if station_id else F.element_at(F.split("_path", "/"), -2)
     named = raw.withColumn("station_id", station)
-    return canonical_rows(named, mapping, timezone, keep=["station_id", *ORDER])
+    return canonical_rows(named, mapping, timezone, ["station_id", *ORDER], unreadable)
+
+
+def ingest_report(rows: DataFrame, order: Sequence[str] = ORDER, ts: str = "ts_utc") -> DataFrame:
+    """Per station and file: rows read = kept + duplicate + without a readable time.
+
+    ``rows`` come from ``station_rows(..., unreadable=True)``.  A duplicate is counted
+    where it stands; the copy kept is the first in ``order``, as in ``keep_first``.
+    """
+    file = order[0]
+    read = rows.groupBy("station_id", file).agg(
+        F.count(F.lit(1)).alias("rows_read"), F.count_if(F.col(ts).isNull()).alias("unreadable_time")
+    )
+    winners = rows.groupBy("station_id", ts).agg(F.min(F.struct(*order)).alias("_first"))
+    kept = winners.groupBy("station_id", F.col(f"_first.{file}").alias(file)).agg(F.count(ts).alias("rows_kept"))
+    joined = read.join(kept, ["station_id", file], "left").withColumn("rows_kept", F.coalesce("rows_kept", F.lit(0).cast("bigint")))
+    return joined.select(
+        "station_id",
+        F.col(file).alias("file"),
+        "rows_read",
+        "rows_kept",
+        (F.col("rows_read") - F.col("rows_kept") - F.col("unreadable_time")).alias("duplicate_rows"),
+        "unreadable_time",
+    )

@@ -27,8 +27,11 @@ def read_series(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_predictions(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append predictions, one folder per model and horizon."""
-    writer = df.write.mode("append").partitionBy("model", "horizon_label")
+    """One folder per model and horizon; what a folder held before is replaced.
+
+    ``df`` holds all stations of its models and horizons.  Other folders stay.
+    """
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "horizon_label")
     writer.option("header", True).csv(path) if fmt == "csv" else writer.parquet(path)
 
 
@@ -67,5 +70,11 @@ def read_metrics(spark: SparkSession, path: str, schema: StructType | None = Non
     return reader.csv(f"{path}/csv")
 
 
+def write_per_horizon(df: DataFrame, label: str, path: str, fmt: str = "parquet") -> None:
+    """Rows of one horizon in its folder; what the folder held before is replaced, other horizons stay."""
+    rows = df.withColumn("horizon_label", F.lit(label))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("horizon_label").format(fmt).save(path)
+
+
 def write_split_metadata(metadata: DataFrame, path: str) -> None:
     metadata.write.mode("overwrite").partitionBy("horizon_label").option("ignoreNullFields", False).json(path)

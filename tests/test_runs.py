@@ -155,6 +155,8 @@ def test_experiment_writes_everything(spark, station, tmp_path):
     assert {r["skill_score_persistence"] for r in metrics if r["model"] == "persistence"} == {0.0}
     for name in ("predictions", "split_metadata", "scalers", "target_scalers", "metrics/csv", "metrics/json"):
         assert list((Path(tmp_path) / "run" / name).rglob("*part-*")), name
+    again = run_experiment(prepared, options, str(tmp_path / "run")).collect()
+    assert sorted(map(str, again)) == sorted(map(str, metrics))
     h01 = {r["model"]: r["n_test"] for r in metrics if r["horizon_label"] == "h01"}
     assert len(set(h01.values())) == 1
 

@@ -186,3 +186,51 @@ def test_header_longer_than_the_first_read(spark, tmp_path):
     (tmp_path / "wide.csv").write_text(f"{long}\n2024-01-01 00:00;1\n2024-01-01 00:10;2\n")
     row = file_manifest(spark, str(tmp_path)).first()
     assert row["delimiter"] == ";" and "column 818 of a wide export" in str(row["header"])
+
+
+def test_many_time_layouts(spark):
+    from stationcast.functions.timeparse import with_utc
+
+    texts = {
+        "2024-01-03 12:30:00.250": datetime(2024, 1, 3, 10, 30, 0, 250_000),
+        "2024-01-03T12:30:00Z": datetime(2024, 1, 3, 12, 30),
+        "2024-01-03 12:30+05:30": datetime(2024, 1, 3, 7, 0),
+        "2024/01/03 12:30": datetime(2024, 1, 3, 10, 30),
+        "3/1/2024 12:30:00 PM": datetime(2024, 1, 3, 10, 30),
+        "03-01-2024 9:05 am": datetime(2024, 1, 3, 7, 5),
+        "03.01.2024": datetime(2024, 1, 2, 22, 0),
+        "2024-01-03": datetime(2024, 1, 2, 22, 0),
+        "2024-13-01 00:00": None,
+        "yesterday": None,
+        "": None,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["t"]: r["u"] for r in with_utc(df, "t", TZ, "u").collect()}
+    assert got == texts
+
+
+def test_quoted_header_keeps_its_delimiter(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('time;"temp;avg";hum\n2024-01-01 00:00;1.5;80\n', encoding="utf-8")
+    spec = {"ts": {"col": "time"}, "fields": {"temp_c": {"col": "temp;avg", "unit": "C"}, "rh_pct": {"col": "hum", "unit": "%"}}}
+    out = station_csv.read_station_csv(spark, str(tmp_path), spec, station_id="s")
+    assert out.select("temp_c", "rh_pct").first()[:] == (1.5, 80.0)
+
+
+@pytest.mark.parametrize("codec", ["utf-16le", "utf-16be"])
+def test_utf16_with_mark(spark, tmp_path, codec):
+    body = "".join(f"2024-01-01 00:{m:02d};{m}\r\n" for m in range(60))
+    (tmp_path / "m.csv").write_bytes(("\ufeffDate (Europe/Athens);temp (°C)\r\n" + body).encode(codec))
+    out = station_csv.read_station_csv(spark, str(tmp_path), mapping(SHORT_NAMES), TZ, station_id="s")
+    assert [v for _, v in rows(out, "temp_c")] == [float(m) for m in range(60)]
+
+
+def test_ingest_report_accounts_for_every_row(spark, tmp_path):
+    header = "Date (Europe/Athens);temp (°C)\n"
+    for year, body in (("2023", "2024-01-01 00:00;1\nnever;9\n"), ("2024", "2024-01-01 00:00;2\n2024-01-01 00:00;2\n2024-01-01 00:10;3\n" * 50)):
+        (tmp_path / year).mkdir()
+        (tmp_path / year / "export.csv").write_text(header + body, encoding="utf-8")
+    args = (spark, str(tmp_path), mapping(SHORT_NAMES), TZ, "s", True)
+    report = {r["file"].split("/")[-2]: r[2:] for r in station_csv.ingest_report(station_csv.station_rows(*args, unreadable=True)).collect()}
+    assert report == {"2023": (2, 1, 0, 1), "2024": (150, 1, 149, 0)}
+    # of two files of one name the one in the first folder wins, however large the other is
+    assert [v for _, v in rows(station_csv.read_station_csv(*args), "temp_c")] == [1.0, 3.0]

@@ -14,7 +14,7 @@ from stationcast.functions.names import rolling_column
 from stationcast.operators import windows
 from stationcast.operators.buckets import bucket_offsets, rank_boundaries, with_position, with_running_sum
 from stationcast.operators.features import make_supervised, select_feature_columns, select_sequence_columns
-from stationcast.operators.grid import insert_gaps, off_grid_report, resample
+from stationcast.operators.grid import insert_gaps, off_axis_rows, off_grid_report, resample
 from stationcast.operators.prepare import prepare_series
 
 
@@ -41,6 +41,15 @@ def test_axis_over_many_buckets_and_phases(spark):
     assert rows[rows.station_id == "a"]["temp_c"].dropna().tolist() == [v for v in range(50) if v % 7 < 3]
 
 
+def test_a_stray_first_row_does_not_move_the_axis(spark):
+    stray = series(spark, [99], start=START - timedelta(minutes=7))
+    df = series(spark, range(20)).unionByName(stray)
+    assert insert_gaps(df, 600).where("not gap").count() == 20
+    kept = insert_gaps(df, 600, keep_off_axis=True)
+    assert kept.count() == 21 and kept.where("off_axis").first()["ts_utc"] == START - timedelta(minutes=7)
+    assert off_axis_rows(df, 600).count() == 1
+
+
 def test_off_grid_rows_are_reported_and_left_out(spark):
     extra = series(spark, [99], start=START + timedelta(minutes=5))
     df = series(spark, range(4)).unionByName(extra)
