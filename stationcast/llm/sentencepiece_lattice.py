@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,11 @@ from stationcast.session import stage
 
 SPACE = "\u2581"
 CHUNK = "\\n|\u2581{1,16}[^\u2581\\n]{0,48}|[^\u2581\\n]{1,48}"
+_CHUNKS = re.compile(CHUNK.replace("\\n", "\n"))
+#: Chunks hashed, bytes of text laid over and rows decoded at a time in a task.
+_AT_ONCE = 1 << 16
+_BATCH_BYTES = 512 << 10
+_BATCH_ROWS = 64
 UNKNOWN_PENALTY = 10.0
 #: Chunks in the broadcast table, at most; about 20 bytes each.
 MOST_CHUNKS = 2_000_000
@@ -197,6 +203,8 @@ class ChunkTable:
         hashes = np.asarray(rows["hash"]).view(np.uint64)
         data, offsets = tx.batch_bytes(rows["ids"])
         flat = np.frombuffer(data.tobytes(), dtype="<u4")
+        if not len(flat) or flat.max() < 1 << 16:
+            flat = flat.astype(np.uint16)  # every Python worker holds the table
         order = np.argsort(hashes)
         if (hashes[order][1:] == hashes[order][:-1]).any():
             raise ValueError("two chunks share a hash")
@@ -219,15 +227,36 @@ def chunk_hashes(chunks: pa.Array) -> np.ndarray:
     return tx.span_hashes(tx.prefix_hashes(data), offsets[:-1], offsets[1:])
 
 
-def _cut(texts: list[str | None]) -> tuple[list[str], list[int]]:
-    find = re.compile(CHUNK.replace("\\n", "\n")).findall
-    chunks: list[str] = []
-    counts = []
+def _places(texts: list[str | None], known: ChunkTable) -> tuple[np.ndarray, list[int], dict[int, str]]:
+    """Places in the table of all chunks of the texts, how many each text has, and the chunks not in it by position.
+
+    Chunks are hashed ``_AT_ONCE`` at a time and then let go, so a long text needs little more than its places.
+    """
+    places: list[np.ndarray] = [np.zeros(0, np.int32)]
+    counts: list[int] = []
+    missing: dict[int, str] = {}
+    held: list[str] = []
+    done = 0
+
+    def look_up() -> None:
+        nonlocal done
+        found = known.find(chunk_hashes(pa.array(held, pa.large_string())))
+        missing.update((done + int(i), held[i]) for i in np.flatnonzero(found < 0))
+        places.append(found.astype(np.int32))
+        done += len(held)
+        held.clear()
+
     for t in texts:
-        own = find(SPACE + t.replace(" ", SPACE)) if t else []
-        chunks += own
-        counts.append(len(own))
-    return chunks, counts
+        before = done + len(held)
+        matches = _CHUNKS.finditer(SPACE + t.replace(" ", SPACE)) if t else iter(())
+        while part := [m[0] for m in islice(matches, _AT_ONCE)]:
+            held += part
+            if len(held) >= _AT_ONCE:
+                look_up()
+        counts.append(done + len(held) - before)
+    if held:
+        look_up()
+    return np.concatenate(places), counts, missing
 
 
 def encode(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", most_chunks: int = MOST_CHUNKS) -> DataFrame:
@@ -254,11 +283,10 @@ def encode(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "t
     schema = pa.schema([("mark", pa.int64()), ("chunk", pa.string())])
 
     def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tx.small_batches(batches, 1, 2 << 20):
-            chunks, counts = _cut(batch.column(1).to_pylist())
-            out = np.flatnonzero(table.value.find(chunk_hashes(pa.array(chunks, pa.large_string()))) < 0)
-            owner = np.repeat(np.asarray(batch.column(0)), counts)
-            pairs = {(int(owner[i]), chunks[i]) for i in out}
+        for batch in tx.small_batches(batches, 1, _BATCH_BYTES):
+            _, counts, out = _places(batch.column(1).to_pylist(), table.value)
+            owner = np.asarray(batch.column(0))[np.searchsorted(np.cumsum(counts), list(out), side="right")]
+            pairs = set(zip(owner.tolist(), out.values()))
             yield tx.table_rows({"mark": [m for m, _ in pairs], "chunk": [c for _, c in pairs]}, schema)
 
     needed = keyed.select("mark", f"row.{text}").mapInArrow(missing, "mark bigint, chunk string").distinct()
@@ -270,18 +298,17 @@ def encode(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "t
 def _lay(table, at: int, more: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: ChunkTable = table.value
-        for batch in tx.small_batches(batches, at, 2 << 20):
-            chunks, counts = _cut(batch.column(at).to_pylist())
-            found = known.find(chunk_hashes(pa.array(chunks, pa.large_string())))
+        for batch in tx.small_batches(batches, at, _BATCH_BYTES):
+            found, counts, missing = _places(batch.column(at).to_pylist(), known)
             ends = np.cumsum(counts)
             own: list[np.ndarray] = []
-            for i, (end, count) in enumerate(zip(ends.tolist(), counts)):
+            for row, (end, count) in enumerate(zip(ends.tolist(), counts)):
                 place = found[end - count : end]
                 if (place < 0).any():
-                    extra = {m["chunk"]: m["ids"] for m in batch.column(more)[i].as_py() or []} if more is not None else {}
+                    extra = {m["chunk"]: m["ids"] for m in batch.column(more)[row].as_py() or []} if more is not None else {}
                     parts = [
-                        known.ids[known.begins[p] : known.begins[p + 1]] if p >= 0 else np.array(extra[c], dtype=np.uint32)
-                        for p, c in zip(place.tolist(), chunks[end - count : end])
+                        known.ids[known.begins[p] : known.begins[p + 1]] if p >= 0 else np.array(extra[missing[i]], dtype=np.uint32)
+                        for i, p in enumerate(place.tolist(), end - count)
                     ]
                     own.append(np.concatenate(parts))
                     continue
@@ -318,8 +345,8 @@ def decode(rows: DataFrame, model: Model, *, ids: str = "ids", name: str = "deco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in range(0, batch.num_rows, 512):
-                piece = batch.slice(part, 512)
+            for part in range(0, batch.num_rows, _BATCH_ROWS):
+                piece = batch.slice(part, _BATCH_ROWS)
                 made = [None if x is None else decode_ids(x, table.value) for x in piece.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(made, pa.string())], names=[*piece.schema.names, name])
 
