@@ -33,9 +33,12 @@ def prepare_session(spark: SparkSession) -> SparkSession:
     Time expressions assume UTC.  The JVM does not compile methods above 8,000
     bytes, and wide window features easily generate one; with this limit Spark
     splits such code instead (rolling statistics ran about three times faster).
+    Arrow batches end at some bytes as well as rows: ten thousand texts are too many
+    to hold several times over in every task.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     ship_package(spark)
     return spark
 
