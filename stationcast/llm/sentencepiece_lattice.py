@@ -138,34 +138,23 @@ def encode_chunks(chunks: DataFrame, model: Model) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("end", "start", "id", F.coalesce("score", F.lit(unknown)).alias("score")))).alias("edges"))
     )
     # edges come by end, then start: the fold meets every edge after all edges into its start
-    state = "struct<best:array<double>,from:array<int>,via:array<int>>"
-    zero = F.struct(
-        F.array(F.lit(0.0)).alias("best"), F.array().cast("array<int>").alias("from"), F.array().cast("array<int>").alias("via")
-    ).cast(state)
-
-    def step(s: Column, e: Column) -> Column:
-        total = F.element_at(s["best"], e["start"]) + e["score"]
-        fresh = F.size(s["best"]) == e["end"]  # the first edge into this end
-        better = total > F.element_at(s["best"], -1)
-
-        def swap(values: Column, value: Column) -> Column:
-            return F.concat(F.slice(values, F.lit(1), F.size(values) - 1), F.array(value))
-
-        grown = F.struct(
-            F.array_append(s["best"], total).alias("best"), F.array_append(s["from"], e["start"]).alias("from"), F.array_append(s["via"], F.coalesce(e["id"], F.lit(-1))).alias("via")
-        )
-        changed = F.struct(
-            swap(s["best"], total).alias("best"), swap(s["from"], e["start"]).alias("from"), swap(s["via"], F.coalesce(e["id"], F.lit(-1))).alias("via")
-        )
-        return F.when(fresh, grown).when(better, changed).otherwise(s)
-
-    folded = lattice.select("chunk", "n", F.aggregate("edges", zero, step).alias("v"))
+    zero = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(-1).alias("id")))
+
+    def step(best: Column, e: Column) -> Column:
+        total = F.element_at(best, e["start"])["score"] + e["score"]
+        here = F.struct(total.alias("score"), e["start"].alias("start"), F.coalesce(e["id"], F.lit(-1)).alias("id"))
+        fresh = F.size(best) == e["end"]  # the first edge into this end
+        better = total > F.element_at(best, -1)["score"]
+        changed = F.concat(F.slice(best, F.lit(1), F.size(best) - 1), F.array(here))
+        return F.when(fresh, F.array_append(best, here)).when(better, changed).otherwise(best)
+
+    folded = lattice.select("chunk", "n", F.aggregate("edges", zero, step).alias("best"))
     back = F.struct(size.alias("at"), F.array().cast("array<struct<start:int,id:int>>").alias("path"))
 
     def walk(s: Column, _: Column) -> Column:
-        start = F.element_at("v.from", s["at"])
-        here = F.struct(start.alias("start"), F.element_at("v.via", s["at"]).alias("id"))
-        return F.when(s["at"] < 1, s).otherwise(F.struct((start - 1).alias("at"), F.array_prepend(s["path"], here).alias("path")))
+        into = F.element_at("best", s["at"] + 1)
+        here = F.struct(into["start"].alias("start"), into["id"].alias("id"))
+        return F.when(s["at"] < 1, s).otherwise(F.struct((into["start"] - 1).alias("at"), F.array_prepend(s["path"], here).alias("path")))
 
     walked = folded.select("chunk", "n", F.aggregate(F.sequence(F.lit(1), size), back, walk, lambda s: s["path"]).alias("path"))
     byte_ids = F.array(*[F.lit(i) for i in model.byte_ids()]) if BYTE in model.kinds else None
