@@ -2,8 +2,8 @@
 
 Texts are cut into chunks that no piece of the model spans: at every space, which becomes
 the first character of what follows, and at line feeds. Distinct chunks of the corpus are
-encoded once: all their substrings up to the longest piece's length are exploded, joined to
-the piece table, the matches (edges) grouped by chunk, and the best path folded from left
+encoded once: all their substrings up to the length of the longest piece that begins with
+the same three characters are exploded, joined to the piece table, the matches (edges) grouped by chunk, and the best path folded from left
 to right with the higher-order ``aggregate``: for each end the best score over all edges
 into it, ties going to the earliest start, and a character that is no piece costs
 ``UNKNOWN_PENALTY`` more than the worst piece and is written as its bytes. That is the
@@ -41,6 +41,8 @@ _AT_ONCE = 1 << 16
 _BATCH_BYTES = 512 << 10
 _BATCH_ROWS = 64
 UNKNOWN_PENALTY = 10.0
+#: A substring that begins with this many characters need be no longer than the longest piece that does.
+HEAD = 3
 #: Chunks in the broadcast table, at most; about 20 bytes each.
 MOST_CHUNKS = 2_000_000
 
@@ -121,14 +123,20 @@ def encode_chunks(chunks: DataFrame, model: Model) -> DataFrame:
     """``chunk, n, ids`` by the lattice; ``chunks`` has distinct ``chunk`` and ``n``."""
     spark = chunks.sparkSession
     edges = model.edges()
-    longest = max((len(p) for p, _, _ in edges), default=1)
     table = spark.createDataFrame(edges, "piece string, id int, score double")  # one row per piece of the file
     unknown = min((s for _, _, s in edges), default=0.0) - UNKNOWN_PENALTY
     size = F.char_length("chunk")
 
+    heads: dict[str, int] = {}
+    for piece, _, _ in edges:
+        if len(piece) >= HEAD:
+            heads[piece[:HEAD]] = max(len(piece), heads.get(piece[:HEAD], 0))
+    reach = spark.createDataFrame(list(heads.items()), "head string, reach int")  # at most one row per piece of the file
+
     starts = chunks.select("chunk", "n", F.explode(F.sequence(F.lit(1), size)).alias("start"))
-    until = F.least(size, F.col("start") + F.lit(longest - 1))
-    spans = starts.select("chunk", "n", "start", F.explode(F.sequence(F.col("start"), until)).alias("end")).withColumn(
+    known = starts.withColumn("head", F.substring("chunk", F.col("start"), F.lit(HEAD))).join(F.broadcast(reach), "head", "left")
+    until = F.least(size, F.col("start") + F.coalesce("reach", F.lit(HEAD - 1)) - 1)
+    spans = known.select("chunk", "n", "start", F.explode(F.sequence(F.col("start"), until)).alias("end")).withColumn(
         "piece", F.substring("chunk", F.col("start"), F.col("end") - F.col("start") + 1)
     )
     lattice = (
