@@ -1,7 +1,8 @@
 """SentencePiece encoding by a relational lattice, and decoding.
 
 Texts are cut into chunks that no piece of the model spans: at every space, which becomes
-the first character of what follows, and at line feeds. Distinct chunks of the corpus are
+the first character of what follows, at line feeds and, if no piece of the model goes on
+there, after Latin letters that something else follows. Distinct chunks of the corpus are
 encoded once: all their substrings up to the length of the longest piece that begins with
 the same three characters are exploded, joined to the piece table, the matches (edges) grouped by chunk, and the best path folded from left
 to right with the higher-order ``aggregate``: for each end the best score over all edges
@@ -14,8 +15,8 @@ ids decode to the same text, but are not always those that merging in order give
 Encoded chunks are then laid over the texts: the ``MOST_CHUNKS`` most frequent ones in a
 table of fixed size that is broadcast, the others, if there are more, joined by chunk.
 
-A run of over 48 characters without space or line feed is encoded in parts of 48, a run of
-over 16 spaces in parts of 16.
+A run of over 48 characters without such a place is encoded in parts of 48, a run of over
+16 spaces in parts of 16.
 """
 
 from __future__ import annotations
@@ -35,7 +36,13 @@ from stationcast.session import stage
 
 SPACE = "\u2581"
 CHUNK = "\\n|\u2581{1,16}[^\u2581\\n]{0,48}|[^\u2581\\n]{1,48}"
-_CHUNKS = re.compile(CHUNK.replace("\\n", "\n"))
+# Letters of Latin alphabets.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_OTHER = f"[^{_LATIN}\u2581\\n]"
+#: Chunks that also end after Latin letters, for models without a piece that goes on there.
+FINE_CHUNK = f"\\n|\u2581{{1,16}}{_OTHER}{{0,48}}[{_LATIN}]{{0,48}}|{_OTHER}{{1,48}}[{_LATIN}]{{0,48}}|[{_LATIN}]{{1,48}}"
+#: Runs that chunks of either kind are parts of.
+_RUN = "\\n|\u2581+[^\u2581\\n]*|[^\u2581\\n]+"
 #: Chunks hashed, bytes of text laid over and rows decoded at a time in a task.
 _AT_ONCE = 1 << 16
 _BATCH_BYTES = 512 << 10
@@ -93,6 +100,10 @@ class Model:
                 raise ValueError(f"piece {piece!r} spans chunks")
         return found
 
+    def chunk_pattern(self) -> str:
+        crosses = re.compile(f"[{_LATIN}][^{_LATIN}]")
+        return CHUNK if any(crosses.search(p) for p, _, _ in self.edges()) else FINE_CHUNK
+
     def byte_ids(self) -> list[int]:
         ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
         return [ids[f"<0x{b:02X}>"] for b in range(256)]
@@ -113,10 +124,12 @@ def marked(text: Column) -> Column:
     return F.when(text == "", F.lit("")).otherwise(F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE))))
 
 
-def chunk_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``chunk, n``: distinct chunks, counted inside tasks before they meet."""
-    chunks = F.regexp_extract_all(marked(F.col(f"`{text}`")), F.lit(CHUNK), F.lit(0))
-    return docs.select(F.explode(chunks).alias("chunk")).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
+def chunk_counts(docs: DataFrame, text: str = "text", pattern: str = CHUNK) -> DataFrame:
+    """``chunk, n``: distinct chunks; runs are counted inside tasks first, and only distinct runs are cut finer."""
+    runs = F.regexp_extract_all(marked(F.col(f"`{text}`")), F.lit(_RUN), F.lit(0))
+    counted = docs.select(F.explode(runs).alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    chunks = F.regexp_extract_all("run", F.lit(pattern), F.lit(0))
+    return counted.select(F.explode(chunks).alias("chunk"), "n").groupBy("chunk").agg(F.sum("n").alias("n"))
 
 
 def encode_chunks(chunks: DataFrame, model: Model) -> DataFrame:
@@ -224,7 +237,7 @@ def chunk_hashes(chunks: pa.Array) -> np.ndarray:
     return tx.span_hashes(tx.prefix_hashes(data), offsets[:-1], offsets[1:])
 
 
-def _places(texts: list[str | None], known: ChunkTable) -> tuple[np.ndarray, list[int], dict[int, str]]:
+def _places(texts: list[str | None], known: ChunkTable, chunks: re.Pattern) -> tuple[np.ndarray, list[int], dict[int, str]]:
     """Places in the table of all chunks of the texts, how many each text has, and the chunks not in it by position.
 
     Chunks are hashed ``_AT_ONCE`` at a time and then let go, so a long text needs little more than its places.
@@ -245,7 +258,7 @@ def _places(texts: list[str | None], known: ChunkTable) -> tuple[np.ndarray, lis
 
     for t in texts:
         before = done + len(held)
-        matches = _CHUNKS.finditer(SPACE + t.replace(" ", SPACE)) if t else iter(())
+        matches = chunks.finditer(SPACE + t.replace(" ", SPACE)) if t else iter(())
         while part := [m[0] for m in islice(matches, _AT_ONCE)]:
             held += part
             if len(held) >= _AT_ONCE:
@@ -263,7 +276,9 @@ def encode(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "t
     column ``ids`` is replaced; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    encoded = stage(encode_chunks(chunk_counts(docs, text), model), "encoded-chunks")
+    pattern = model.chunk_pattern()
+    cut = re.compile(pattern)
+    encoded = stage(encode_chunks(chunk_counts(docs, text, pattern), model), "encoded-chunks")
     total = encoded.count()
     frequent = encoded.orderBy(F.desc("n"), "chunk").limit(most_chunks) if total > most_chunks else encoded
     table = spark.sparkContext.broadcast(ChunkTable.of(frequent))
@@ -272,7 +287,7 @@ def encode(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "t
     at = kept.index(text)
     spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
     if total <= most_chunks:
-        return base.mapInArrow(_lay(table, at, None), f"{spec}, ids array<int>")
+        return base.mapInArrow(_lay(table, cut, at, None), f"{spec}, ids array<int>")
     # rows whose chunks are not all in the table bring the others with them, joined by chunk
     row = F.struct(*[F.col(f"`{c}`") for c in kept])
     mark = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")))
@@ -281,7 +296,7 @@ def encode(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "t
 
     def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tx.small_batches(batches, 1, _BATCH_BYTES):
-            _, counts, out = _places(batch.column(1).to_pylist(), table.value)
+            _, counts, out = _places(batch.column(1).to_pylist(), table.value, cut)
             owner = np.asarray(batch.column(0))[np.searchsorted(np.cumsum(counts), list(out), side="right")]
             pairs = set(zip(owner.tolist(), out.values()))
             yield tx.table_rows({"mark": [m for m, _ in pairs], "chunk": [c for _, c in pairs]}, schema)
@@ -289,14 +304,14 @@ def encode(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "t
     needed = keyed.select("mark", f"row.{text}").mapInArrow(missing, "mark bigint, chunk string").distinct()
     per = needed.join(encoded.select("chunk", "ids"), "chunk").groupBy("mark").agg(F.collect_list(F.struct("chunk", "ids")).alias("more"))
     joined = keyed.join(per, "mark", "left").select("row.*", "more")
-    return joined.mapInArrow(_lay(table, at, len(kept)), f"{spec}, ids array<int>")
+    return joined.mapInArrow(_lay(table, cut, at, len(kept)), f"{spec}, ids array<int>")
 
 
-def _lay(table, at: int, more: int | None):
+def _lay(table, cut: re.Pattern, at: int, more: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: ChunkTable = table.value
         for batch in tx.small_batches(batches, at, _BATCH_BYTES):
-            found, counts, missing = _places(batch.column(at).to_pylist(), known)
+            found, counts, missing = _places(batch.column(at).to_pylist(), known, cut)
             ends = np.cumsum(counts)
             own: list[np.ndarray] = []
             for row, (end, count) in enumerate(zip(ends.tolist(), counts)):
