@@ -43,10 +43,9 @@ _OTHER = f"[^{_LATIN}\u2581\\n]"
 FINE_CHUNK = f"\\n|\u2581{{1,16}}{_OTHER}{{0,48}}[{_LATIN}]{{0,48}}|{_OTHER}{{1,48}}[{_LATIN}]{{0,48}}|[{_LATIN}]{{1,48}}"
 #: Runs that chunks of either kind are parts of.
 _RUN = "\\n|\u2581+[^\u2581\\n]*|[^\u2581\\n]+"
-#: Chunks hashed, bytes of text laid over and rows decoded at a time in a task.
+#: Chunks hashed and bytes of text laid over at a time in a task.
 _AT_ONCE = 1 << 16
 _BATCH_BYTES = 512 << 10
-_BATCH_ROWS = 64
 UNKNOWN_PENALTY = 10.0
 #: A substring that begins with this many characters need be no longer than the longest piece that does.
 HEAD = 3
@@ -338,31 +337,19 @@ def _lay(table, cut: re.Pattern, at: int, more: int | None):
     return run
 
 
-def decode_ids(ids: list[int], table: list[bytes]) -> str:
-    """Text of a list of ids; the mark before the text is taken away, broken bytes become U+FFFD."""
-    raw = b"".join([table[i] for i in ids])
-    return (raw[1:] if raw.startswith(b" ") else raw).decode(errors="replace")
-
-
 def decode(rows: DataFrame, model: Model, *, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """``rows`` with a text column ``name`` from the ids; null ids give null.
 
-    Decoding gives the text back, except that a text's own U+2581 reads as a space.
+    Decoding gives the text back, except that a text's own U+2581 reads as a space. The
+    mark before the text is taken away, broken bytes become U+FFFD.
     """
     kept = [c for c in rows.columns if c.lower() != name.lower()]
-    base = rows.select(*[F.col(f"`{c}`") for c in kept])
-    at = kept.index(ids)
-    table = rows.sparkSession.sparkContext.broadcast(model.decoder())
-    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in range(0, batch.num_rows, _BATCH_ROWS):
-                piece = batch.slice(part, _BATCH_ROWS)
-                made = [None if x is None else decode_ids(x, table.value) for x in piece.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(made, pa.string())], names=[*piece.schema.names, name])
-
-    return base.mapInArrow(run, f"{spec}, `{name}` string")
+    pieces = F.split(F.lit(",".join(b.hex() for b in model.decoder())), ",")  # folded to one array by the optimizer
+    digits = F.array_join(F.transform(F.col(f"`{ids}`"), lambda i: F.element_at(pieces, i + 1)), "")
+    read = rows.select(*[F.col(f"`{c}`") for c in kept], F.make_valid_utf8(F.unhex(digits).cast("string")).alias(name))
+    text = F.col(f"`{name}`")
+    bare = F.when(F.startswith(text, F.lit(" ")), F.substring(text, 2, (1 << 31) - 1)).otherwise(text)
+    return read.select(*[F.col(f"`{c}`") for c in kept], bare.alias(name))
 
 
 def default_model() -> str:

@@ -418,7 +418,7 @@ def library(model):
 
 @pytest.mark.parametrize("most", [10**6, 5])
 def test_encoding_equals_the_unigram_search_and_decodes(spark, docs, none, model, most):
-    texts = [" two  spaces", "héllo wörld", "日本語\n\ttext", "tail ", "x" * 200, "▁mark"]
+    texts = [" two  spaces", "héllo wörld", "日本語\n\ttext", "tail ", "x" * 200, "▁mark", "l'été», «word»?! a1b2... (x)", "  😀 end."]
     rows = spark.createDataFrame([(50 + i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
     every = docs.select("doc_id", "text", "ids").unionByName(rows, allowMissingColumns=True)
     encoded = sentencepiece_lattice.encode(every, model, most_chunks=most)
