@@ -46,6 +46,8 @@ _RUN = "\\n|\u2581+[^\u2581\\n]*|[^\u2581\\n]+"
 #: Chunks hashed and bytes of text laid over at a time in a task.
 _AT_ONCE = 1 << 16
 _BATCH_BYTES = 512 << 10
+#: Chunks that one task encodes, about.
+_TASK_CHUNKS = 50_000
 UNKNOWN_PENALTY = 10.0
 #: A substring that begins with this many characters need be no longer than the longest piece that does.
 HEAD = 3
@@ -132,7 +134,7 @@ def chunk_counts(docs: DataFrame, text: str = "text", pattern: str = CHUNK) -> D
 
 
 def encode_chunks(chunks: DataFrame, model: Model) -> DataFrame:
-    """``chunk, n, ids`` by the lattice; ``chunks`` has distinct ``chunk`` and ``n``."""
+    """``chunk, n, ids`` by the lattice; ``chunks`` is a stored table of distinct ``chunk`` with ``n``."""
     spark = chunks.sparkSession
     edges = model.edges()
     table = spark.createDataFrame(edges, "piece string, id int, score double")  # one row per piece of the file
@@ -145,7 +147,10 @@ def encode_chunks(chunks: DataFrame, model: Model) -> DataFrame:
             heads[piece[:HEAD]] = max(len(piece), heads.get(piece[:HEAD], 0))
     reach = spark.createDataFrame(list(heads.items()), "head string, reach int")  # at most one row per piece of the file
 
-    starts = chunks.select("chunk", "n", F.explode(F.sequence(F.lit(1), size)).alias("start"))
+    # edges take about a hundred times a chunk's bytes: small tasks order them in memory, and sorted chunks leave little to order
+    tasks = chunks.count() // _TASK_CHUNKS + 1
+    spread = chunks.repartition(tasks, "chunk").sortWithinPartitions("chunk")
+    starts = spread.select("chunk", "n", F.explode(F.sequence(F.lit(1), size)).alias("start"))
     known = starts.withColumn("head", F.substring("chunk", F.col("start"), F.lit(HEAD))).join(F.broadcast(reach), "head", "left")
     until = F.least(size, F.col("start") + F.coalesce("reach", F.lit(HEAD - 1)) - 1)
     spans = known.select("chunk", "n", "start", F.explode(F.sequence(F.col("start"), until)).alias("end")).withColumn(
@@ -277,7 +282,7 @@ def encode(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "t
     spark = docs.sparkSession
     pattern = model.chunk_pattern()
     cut = re.compile(pattern)
-    encoded = stage(encode_chunks(chunk_counts(docs, text, pattern), model), "encoded-chunks")
+    encoded = stage(encode_chunks(stage(chunk_counts(docs, text, pattern), "chunks"), model), "encoded-chunks")
     total = encoded.count()
     frequent = encoded.orderBy(F.desc("n"), "chunk").limit(most_chunks) if total > most_chunks else encoded
     table = spark.sparkContext.broadcast(ChunkTable.of(frequent))
