@@ -4,7 +4,7 @@ A signature holds, for each of ``PERMUTATIONS`` permutations of 32-bit numbers
 (``a * x + b`` with odd ``a``), the smallest image of a document's five-word shingles, of
 which 16 bits are kept. The share of equal entries estimates the Jaccard similarity of
 the shingle sets. Near-duplicates come from bands of the signature that agree, compared
-in blocks, and every link is verified by the exact Jaccard similarity.
+in blocks by the exact Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from stationcast.llm import text as tx
 from stationcast.llm.components import components
-from stationcast.llm.jaccard import shingles, verified_links
-from stationcast.llm.simhash import Links, linked_in_blocks
+from stationcast.llm.jaccard import class_sets, shingles
+from stationcast.llm.simhash import sure_links
 from stationcast.session import stage
 
 PERMUTATIONS = 128
@@ -221,33 +221,17 @@ def _bands(fps: DataFrame) -> DataFrame:
     return fps.select(F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("bucket"), "fp")
 
 
-def _similar(least: float):
-    def compare(fps: list[bytes]) -> Links:
-        rows = np.frombuffer(b"".join(fps), dtype=">u2").astype(np.uint16).reshape(len(fps), -1)
-        i, j, cost = [], [], []
-        for at in range(len(fps) - 1):
-            alike = (rows[at + 1 :] == rows[at]).mean(axis=1)
-            near = np.flatnonzero(alike >= least)
-            i.append(np.full(len(near), at))
-            j.append(at + 1 + near)
-            cost.append(1 - alike[near])
-        return np.concatenate(i), np.concatenate(j), np.concatenate(cost)
-
-    return compare
-
-
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
     """``doc, component_id``: documents linked by an exact Jaccard similarity of at least ``similarity``.
 
     Equal signatures are one class, so copies are compared once. Signatures that agree in
-    a band are compared in blocks, which return spanning forests; each of those links is
-    verified on the two classes' shingle sets. Texts without words form one class.
+    a band are compared in blocks on the classes' shingle sets, which return spanning
+    forests of the pairs that hold. Texts without words form one class.
     """
     prints = stage(_minhash_prints(docs, key, text), "minhash")
     classes = stage(prints.groupBy("fp").agg(F.min("doc").alias("least")), "minhash-classes")
-    links = linked_in_blocks(_bands(classes), _similar(similarity - 0.08))
     texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text"))
-    sure = verified_links(links, classes, texts, size=SHINGLE, similarity=similarity)
+    sure = sure_links(_bands(classes), class_sets(classes, texts, SHINGLE), similarity)
     roots = components(sure).withColumnRenamed("node", "fp")
     named = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))

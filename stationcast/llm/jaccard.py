@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from stationcast.llm import text as tx
 from stationcast.session import stage
 
+#: Sets that share a member, up to which their pairs are counted one by one; cells of a part of the other members' table.
+_LIGHT = 16
+_CELLS = 1 << 21
+
 
 def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of ``size`` words of each text, and how many each text has."""
@@ -20,15 +24,12 @@ def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return tx.shingle_hashes(tx.span_hashes(tx.prefix_hashes(data), starts, ends), counts, size)
 
 
-def verified_links(links: DataFrame, classes: DataFrame, texts: DataFrame, *, size: int, similarity: float) -> DataFrame:
-    """Those links ``a, b`` of classes whose sets are at least ``similarity`` alike.
+def class_sets(classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """``fp, set``: the distinct shingles, in order, of the document that stands for each class.
 
-    ``classes`` names a document of each class (``fp, least``), ``texts`` has ``doc, text``.
-    Sets are made for documents in links only, once each, and joined to the links.
+    ``classes`` names it by its key (``fp, least``), ``texts`` has ``doc, text``. Sets are
+    made once for each class.
     """
-    links = stage(links.distinct(), "links-to-verify")
-    used = links.select(F.col("a").alias("fp")).union(links.select("b")).distinct()
-    members = classes.join(used, "fp").select("fp", F.col("least").alias("doc"))
     schema = pa.schema([("fp", pa.binary()), ("set", pa.list_(pa.int64()))])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,10 +40,37 @@ def verified_links(links: DataFrame, classes: DataFrame, texts: DataFrame, *, si
             yield tx.table_rows({"fp": batch.column(0), "set": own}, schema)
 
     # rows that share a key may differ in text; the class then takes one of them
+    members = classes.select("fp", F.col("least").alias("doc"))
     chosen = members.join(texts, "doc").groupBy("fp").agg(F.min("text").alias("text"))
-    held = stage(chosen.mapInArrow(sets, "fp binary, set array<bigint>"), "shingle-sets")
-    both = links.join(held.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(
-        held.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b"
-    )
-    common = F.size(F.array_intersect("x", "y"))
-    return both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    return stage(chosen.mapInArrow(sets, "fp binary, set array<bigint>"), "shingle-sets")
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs ``i < j`` of sets, each without repeats, that are at least ``similarity`` alike."""
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    _, at, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), sizes)
+    common = np.zeros((n, n))
+    for light in (True, False):
+        some = (seen > 1) & ((seen <= _LIGHT) == light)
+        used = some[at]
+        column, row = (np.cumsum(some) - 1)[at[used]], owner[used]
+        order = np.argsort(column, kind="stable")
+        column, row = column[order], row[order]
+        if light:  # members of few sets: their pairs are counted one by one
+            codes = [np.zeros(0, dtype=np.int64)]
+            for d in range(1, _LIGHT):
+                same = column[d:] == column[:-d]
+                codes.append(row[:-d][same] * n + row[d:][same])
+            pairs, times = np.unique(np.concatenate(codes), return_counts=True)
+            common.ravel()[pairs] += times
+            continue
+        width = max(1, _CELLS // n)
+        for low in range(0, int(some.sum()), width):
+            lo, hi = np.searchsorted(column, [low, low + width])
+            part = np.zeros((n, width), dtype=np.float32)
+            part[row[lo:hi], column[lo:hi] - low] = 1
+            common += part @ part.T
+    near = np.triu(common >= similarity * (sizes[:, None] + sizes[None, :] - common), 1)
+    return np.nonzero(near & (common > 0))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from stationcast.llm import text as tx
 from stationcast.llm.components import components
-from stationcast.llm.jaccard import shingles, verified_links
+from stationcast.llm.jaccard import alike, class_sets, shingles
 from stationcast.session import stage
 
 #: Rows of a bucket that are compared in one block; larger buckets are cut into tiles of this size.
@@ -244,7 +244,8 @@ def spanning_forest(i: np.ndarray, j: np.ndarray, cost: np.ndarray, n: int) -> n
     """Indices of the links of a cheapest spanning forest.
 
     Of the pairs it leaves out, each is at least as costly as all links on the way between
-    its ends; so a check that later drops costly links keeps the components of the rest.
+    its ends; so a check that later drops links by this same cost keeps the components of
+    the rest. A check by anything else comes before the forest.
     Components take their cheapest outgoing link round by round, all at once.
     """
     order = np.lexsort((j, i, cost))
@@ -324,10 +325,15 @@ def linked_in_blocks(dealt: DataFrame, compare: Callable[[list[bytes]], Links])
     ``compare`` gets sorted distinct values and returns indices and costs of all linked pairs.
     Every linked pair that shares a bucket ends in one component.
     """
-    dealt = stage(dealt, "buckets")
+    blocks = _by_place(_placed(stage(dealt, "buckets"), TILE))
+    return blocks.mapInArrow(_forest(compare), "a binary, b binary")
+
+
+def _placed(dealt: DataFrame, most: int) -> DataFrame:
+    """``place, fp``: buckets of more than ``most`` rows in tiles, a place for every pair of them."""
     large = stage(
-        dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TILE)
-        .select(F.col("bucket").alias("large"), F.ceil(F.col("n") / TILE).cast("int").alias("tiles")),
+        dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
+        .select(F.col("bucket").alias("large"), F.ceil(F.col("n") / most).cast("int").alias("tiles")),
         "large-buckets",
     )
     few = large.limit(_FEW + 1).count() <= _FEW
@@ -335,14 +341,67 @@ def linked_in_blocks(dealt: DataFrame, compare: Callable[[list[bytes]], Links])
     tile = F.pmod(F.xxhash64("fp", F.lit(1)), F.coalesce("tiles", F.lit(1))).cast("int")
     every = F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)
     pair: Column = F.xxhash64("bucket", F.least("tile", "other"), F.greatest("tile", "other"))
-    placed = (
+    return (
         sized.withColumn("tile", tile)
         .select("bucket", "fp", "tile", F.explode(every).alias("other"))
         .select(pair.alias("place"), "fp")
     )
+
+
+def _by_place(placed: DataFrame) -> DataFrame:
     parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = placed.repartition(parts, "place").sortWithinPartitions("place")
-    return blocks.mapInArrow(_forest(compare), "a binary, b binary")
+    return placed.repartition(parts, "place").sortWithinPartitions("place")
+
+
+def _different_buckets(dealt: DataFrame) -> DataFrame:
+    """The rows of one bucket for each group of members, as seen by two 64-bit hashes; buckets of one row go."""
+    dealt = stage(dealt.distinct(), "buckets")
+    marks = [F.bit_xor(F.xxhash64("fp", F.lit(i))).alias(f"mark{i}") for i in range(2)]
+    groups = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *marks).filter("n > 1")
+    kept = groups.groupBy("n", "mark0", "mark1").agg(F.min("bucket").alias("bucket"))
+    return stage(dealt.join(kept.select("bucket"), "bucket").select("bucket", "fp"), "different-buckets")
+
+
+def sure_links(dealt: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """Links ``a, b`` of classes in a ``bucket`` whose sets are at least ``similarity`` alike, a spanning forest per bucket.
+
+    ``dealt`` has ``bucket, fp``, ``held`` the sets (``fp, set``), which come along with the
+    rows: every pair of a bucket is judged by its exact similarity before the forest is
+    taken, so the forest keeps all components of the pairs that hold.
+    """
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def links(fps: list[bytes], sets: list[np.ndarray]) -> tuple[list[bytes], list[bytes]]:
+        if len(fps) < 2:
+            return [], []
+        i, j = alike(sets, similarity)
+        kept = spanning_forest(i, j, np.zeros(len(i)), len(fps))
+        return [fps[x] for x in i[kept]], [fps[x] for x in j[kept]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fps: list[bytes] = []
+        sets: list[np.ndarray] = []
+        at = None
+        for batch in batches:
+            a: list[bytes] = []
+            b: list[bytes] = []
+            flat, ends = np.asarray(batch.column(2).values), np.asarray(batch.column(2).offsets)
+            for k, (place, fp) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if place != at:
+                    x, y = links(fps, sets)
+                    a += x
+                    b += y
+                    fps, sets, at = [], [], place
+                fps.append(fp)
+                sets.append(flat[ends[k] : ends[k + 1]])
+            if a:
+                yield tx.table_rows({"a": a, "b": b}, schema)
+            sets = [x.copy() for x in sets]  # lets the batch go
+        x, y = links(fps, sets)
+        yield tx.table_rows({"a": x, "b": y}, schema)
+
+    placed = _placed(_different_buckets(dealt), TILE // 4)
+    return stage(_by_place(placed.join(held, "fp").select("place", "fp", "set")).mapInArrow(run, "a binary, b binary"), "sure-links")
 
 
 def near_fingerprints(fps: DataFrame, radius: int, groups: list[list[int]]) -> DataFrame:
@@ -380,15 +439,15 @@ def near_duplicate_groups(
 
     The distance of long fingerprints estimates the similarity: at 256 bits and 0.8 the
     radius is 50 bits, the mean of 39 and two deviations; unrelated documents differ in
-    about 128. Links of the spanning forests are verified by the exact similarity. Texts
+    about 128. Pairs that share a bit group are judged by the exact similarity. Texts
     without words form a group of their own.
     """
     prints = stage(fingerprints(docs, key=key, text=text, size=size, bits=bits, distinct=True), "prints")
     classes = _classes(prints, key)
     groups = sampled_groups(bits, similarity, classes.count())
-    found = near_fingerprints(classes, expected_radius(similarity, bits), groups)
     texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text"))
-    sure = verified_links(found, classes, texts, size=size, similarity=similarity)
+    held = class_sets(classes, texts, size)
+    sure = sure_links(_dealt(classes, groups), held, similarity)
     return _named_components(prints, classes, sure, key)
 
 

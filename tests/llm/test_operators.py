@@ -19,6 +19,7 @@ from stationcast.llm import (
     factorisation,
     fingerprints,
     html_crf,
+    jaccard,
     mixing,
     quality_rules,
     sentencepiece_lattice,
@@ -159,6 +160,50 @@ def test_near_duplicates_are_verified(spark, method):
     assert got == want and links
 
 
+def texts_around_the_limit():
+    """Groups whose texts are now a little above, now a little below 0.8 alike."""
+    rng = np.random.default_rng(11)
+    out = []
+    for group in range(12):
+        words = [f"g{group}w{x}" for x in range(124)]
+        for copy in range(16):
+            mine = list(words)
+            for at in rng.integers(0, 124, int(rng.integers(1, 4))):
+                mine[at] = f"edit{group}x{copy}x{at}"
+            out.append((len(out), " ".join(mine)))
+    return out
+
+
+def linked_by_brute_force(rows):
+    sets = {i: shingles(t, 5) for i, t in rows}
+    return find_roots(sets, [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+
+
+def test_pairs_are_judged_before_the_forest(spark, monkeypatch):
+    rows = texts_around_the_limit()
+    sets = [np.unique([hash(x) for x in shingles(t, 5)]) for _, t in rows]
+    i, j = jaccard.alike(sets, 0.8)
+    want = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))}
+    assert set(zip(i.tolist(), j.tolist())) == want
+    table = spark.createDataFrame([(str(k).encode(), x.tolist()) for k, x in enumerate(sets)], "fp binary, set array<bigint>")
+    dealt = table.select(F.explode(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))).alias("bucket"), "fp")
+    for tile in (1024, 64):  # one block and many tiles
+        monkeypatch.setattr(simhash, "TILE", tile)
+        links = [(int(r["a"]), int(r["b"])) for r in simhash.sure_links(dealt, table, 0.8).collect()]
+        assert find_roots(range(len(sets)), links) == linked_by_brute_force(rows)
+
+
+@pytest.mark.parametrize("method", ["simhash", "minhash"])
+def test_groups_around_the_limit_are_whole(spark, method):
+    rows = texts_around_the_limit()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    if method == "simhash":
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(df).collect()}
+    else:
+        got = {r["doc"]: r["component_id"] for r in fingerprints.near_duplicates(df).collect()}
+    assert got == linked_by_brute_force(rows)
+
+
 def test_one_of_each_group_stays(docs, none):
     kept = simhash.keep_one_per_group(docs)
     assert kept.columns == docs.columns
