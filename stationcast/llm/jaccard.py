@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +17,12 @@ from stationcast.session import stage
 #: Sets that share a member, up to which their pairs are counted one by one; cells of a part of the other members' table.
 _LIGHT = 16
 _CELLS = 1 << 21
+#: Bytes of a digest of a set.
+DIGEST = 16
+#: Sets among which frequent members are looked for, the count above which they are, and how many are kept.
+_SAMPLE = 20_000
+_OFTEN = 16
+_MOST_FREQUENT = 200_000
 
 
 def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,6 +53,66 @@ def class_sets(classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return stage(chosen.mapInArrow(sets, "fp binary, set array<bigint>"), "shingle-sets")
 
 
+def set_prints(docs: DataFrame, *, key: str, text: str, size: int) -> DataFrame:
+    """``key, fp`` per row: a digest of the text's set of shingles, zero for texts without words."""
+    schema = pa.schema([("doc", pa.int64()), ("fp", pa.binary())])
+
+    def digest(members: np.ndarray) -> bytes:
+        return hashlib.blake2b(np.unique(members).tobytes(), digest_size=DIGEST).digest() if len(members) else bytes(DIGEST)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tx.small_batches(batches, "text", 2 << 20):
+            hashes, counts = shingles(batch.column(1), size)
+            ends = np.cumsum(counts)
+            yield tx.table_rows({"doc": batch.column(0), "fp": [digest(hashes[e - c : e]) for e, c in zip(ends, counts)]}, schema)
+
+    named = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text"))
+    return named.mapInArrow(run, "doc bigint, fp binary").withColumnRenamed("doc", key)
+
+
+def _frequent(held: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Members of many sets of a sample of about ``_SAMPLE``, by hash, and in how many; at most ``_MOST_FREQUENT``."""
+    rows = held.count()
+    some = held if rows <= _SAMPLE else held.filter(F.pmod(F.xxhash64("fp"), F.lit(1_000_000)) < int(1_000_000 * _SAMPLE / rows) + 1)
+    counts = some.select(F.explode("set").alias("member")).groupBy("member").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > _OFTEN)
+    found = counts.orderBy(F.desc("n"), "member").limit(_MOST_FREQUENT).toArrow()
+    members, n = np.asarray(found["member"]).astype(np.int64), np.asarray(found["n"]).astype(np.int64)
+    order = np.argsort(members)
+    return members[order], n[order]
+
+
+def prefixes(held: DataFrame, similarity: float) -> DataFrame:
+    """``bucket, fp``: for each set as many of its members, rarest first, as any set alike must share one of.
+
+    Two sets of that similarity share at least ``similarity`` times the size of either, so
+    in one order of all members the first of those they share lies in both prefixes. Any
+    order does; that of the frequencies in a sample keeps common passages out of the
+    prefixes.
+    """
+    frequent = held.sparkSession.sparkContext.broadcast(_frequent(held))
+    schema = pa.schema([("bucket", pa.int64()), ("fp", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members, n = frequent.value
+        for batch in batches:
+            fps = batch.column(0).to_pylist()
+            flat, ends = np.asarray(batch.column(1).values), np.asarray(batch.column(1).offsets)
+            buckets: list[np.ndarray] = []
+            for k in range(len(fps)):
+                own = flat[ends[k] : ends[k + 1]]
+                take = len(own) - math.ceil(similarity * len(own)) + 1 if len(own) else 0
+                if len(members):
+                    at = np.minimum(np.searchsorted(members, own), len(members) - 1)
+                    own = own[np.lexsort((own, np.where(members[at] == own, n[at], 0)))]
+                buckets.append(own[:take])
+            counts = np.array([len(x) for x in buckets])
+            places = pa.array(np.repeat(np.arange(len(fps)), counts))
+            if len(fps):
+                yield tx.table_rows({"bucket": np.concatenate(buckets), "fp": batch.column(0).take(places)}, schema)
+
+    return held.select("fp", "set").mapInArrow(run, "bucket bigint, fp binary")
+
+
 def alike(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """All pairs ``i < j`` of sets, each without repeats, that are at least ``similarity`` alike."""
     n = len(sets)

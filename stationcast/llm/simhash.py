@@ -14,7 +14,6 @@ tiles, every pair of tiles being compared, so no task holds a whole bucket.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from stationcast.llm import text as tx
 from stationcast.llm.components import components
-from stationcast.llm.jaccard import alike, class_sets, shingles
+from stationcast.llm.jaccard import DIGEST, alike, class_sets, prefixes, set_prints, shingles
 from stationcast.session import stage
 
 #: Rows of a bucket that are compared in one block; larger buckets are cut into tiles of this size.
@@ -148,26 +147,6 @@ def pigeonhole_groups(bits: int, radius: int, blocks: int | None = None) -> list
     return [sum(chosen, []) for chosen in combinations(parts, blocks - radius)]
 
 
-def expected_radius(similarity: float, bits: int) -> int:
-    """Differing bits of two sets with that Jaccard similarity: the mean and two deviations more."""
-    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * angle + 2 * math.sqrt(bits * angle * (1 - angle)))
-
-
-def sampled_groups(bits: int, similarity: float, rows: int, recall: float = 0.99) -> list[list[int]]:
-    """Bit groups of which two sets of that similarity share at least one with probability ``recall``.
-
-    A group's width follows the number of fingerprints, about 64 of unrelated ones to a
-    bucket; the number of groups follows from the width, so the recall does not change
-    with the size of the input.
-    """
-    agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
-    width = max(12, math.ceil(math.log2(max(rows, 1))) - 6)
-    n = math.ceil(math.log(1 - recall) / math.log(1 - agree**width))
-    rng = np.random.default_rng(7)
-    return [sorted(rng.choice(bits, size=width, replace=False).tolist()) for _ in range(n)]
-
-
 def _as_words(column: pa.Array) -> np.ndarray:
     raw = column.cast(pa.large_binary())
     joined = b"".join(raw.to_pylist())
@@ -433,21 +412,21 @@ def link_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 
 def near_duplicate_groups(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, bits: int = 256
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8
 ) -> DataFrame:
     """Documents whose sets of ``size``-word shingles are at least ``similarity`` alike, as components.
 
-    The distance of long fingerprints estimates the similarity: at 256 bits and 0.8 the
-    radius is 50 bits, the mean of 39 and two deviations; unrelated documents differ in
-    about 128. Pairs that share a bit group are judged by the exact similarity. Texts
-    without words form a group of their own.
+    Exact up to collisions of 64-bit hashes: ``fp`` is a digest of the set, so a class holds
+    equal sets; two sets that are alike share a shingle of their prefixes, which are the
+    buckets; and all pairs of a bucket are judged by the exact similarity. A distance of
+    fingerprints only estimates it and decides nothing here. Texts without words form a
+    group of their own.
     """
-    prints = stage(fingerprints(docs, key=key, text=text, size=size, bits=bits, distinct=True), "prints")
+    prints = stage(set_prints(docs, key=key, text=text, size=size), "prints")
     classes = _classes(prints, key)
-    groups = sampled_groups(bits, similarity, classes.count())
     texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text"))
     held = class_sets(classes, texts, size)
-    sure = sure_links(_dealt(classes, groups), held, similarity)
+    sure = sure_links(prefixes(held, similarity), held, similarity)
     return _named_components(prints, classes, sure, key)
 
 
@@ -458,6 +437,6 @@ def keep_one_per_group(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     each other and stay; so do rows without a key.
     """
     groups = near_duplicate_groups(docs, key=key, text=text, **options)
-    empty = F.unhex(F.repeat(F.lit("00"), options.get("bits", 256) // 8))
+    empty = F.unhex(F.repeat(F.lit("00"), DIGEST))
     gone = groups.filter((F.col("fp") != empty) & (F.col(key) > F.col("component_id"))).select(F.col(key).alias("gone_key")).distinct()
     return docs.join(gone, F.col(f"`{key}`") == F.col("gone_key"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -204,6 +204,19 @@ def test_groups_around_the_limit_are_whole(spark, method):
     assert got == linked_by_brute_force(rows)
 
 
+def test_no_pair_at_the_limit_is_missed(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "_OFTEN", 2)  # orders common members last on small tables
+    rng = np.random.default_rng(12)
+    rows = []
+    for pair in range(400):  # one link each: sets exactly 0.8 alike, whose fingerprints differ more or less
+        head = [f"p{pair}w{x}" for x in range(36)] if pair % 2 else [f"common{x}" for x in range(6)] + [f"p{pair}w{x}" for x in range(30)]
+        rows += [(2 * pair, " ".join([*head, *(f"a{pair}y{x}" for x in range(4))])), (2 * pair + 1, " ".join([*head, *(f"b{pair}y{x}" for x in range(4))]))]
+    order = rng.permutation(len(rows))
+    df = spark.createDataFrame([rows[i] for i in order], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(df).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_one_of_each_group_stays(docs, none):
     kept = simhash.keep_one_per_group(docs)
     assert kept.columns == docs.columns
