@@ -84,10 +84,11 @@ def batch_statistics(texts: pa.Array) -> dict[str, np.ndarray]:
             covered[at[twice] + k] = True
     # lines: cut at line feeds and at the ends of texts
     feeds = np.flatnonzero(data == 10)
-    line_ends = np.sort(np.concatenate([feeds, offsets[1:]]), kind="stable")
-    line_owner = np.concatenate([np.searchsorted(offsets, feeds, side="right") - 1, np.arange(n)])[
-        np.argsort(np.concatenate([feeds, offsets[1:]]), kind="stable")
-    ]
+    line_ends = np.concatenate([feeds, offsets[1:]])
+    line_owner = np.concatenate([np.searchsorted(offsets, feeds, side="right") - 1, np.arange(n)])
+    # a text's first feed lies where the text before it ends, and an end comes after its own feeds
+    order = np.lexsort((line_ends, line_owner))
+    line_ends, line_owner = line_ends[order], line_owner[order]
     line_starts = np.empty_like(line_ends)
     if len(line_ends):
         line_starts[0] = 0

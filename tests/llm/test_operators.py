@@ -8,6 +8,7 @@ import itertools
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -302,6 +303,14 @@ def test_statistics_and_base_rules(docs, none, spark):
     assert quality_rules.judge(none, labels).count() == 0
 
 
+def test_lines_of_texts_that_begin_with_a_feed():
+    texts = ["a\nb\na", "\nc\nd\nc", "", "\n", "\n\ne\ne\n", "\nf", "g\n", "\ng\ng", None, "\nh\n"]
+    got = quality_rules.batch_statistics(pa.array(texts))
+    for k, text in enumerate(texts):
+        lines = [x for x in (text or "").split("\n") if x]
+        assert (got["n_lines"][k], got["n_dup_lines"][k]) == (len(lines), len(lines) - len(set(lines))), text
+
+
 def test_cutoffs_are_certified():
     def direct(k, n, p):
         total, term = 0.0, (1 - p) ** n
