@@ -15,8 +15,9 @@ ids decode to the same text, but are not always those that merging in order give
 Encoded chunks are then laid over the texts: the ``MOST_CHUNKS`` most frequent ones in a
 table of fixed size that is broadcast, the others, if there are more, joined by chunk.
 
-A run of over 48 characters without such a place is encoded in parts of 48, a run of over
-16 spaces in parts of 16.
+A chunk of over ``LONG`` characters (a line of Chinese, a run of digits or spaces) is not cut
+either: it has no place in the tables and gets the same search, in time linear in its length,
+where it is met in a text.
 """
 
 from __future__ import annotations
@@ -35,14 +36,16 @@ from stationcast.llm import text as tx
 from stationcast.session import stage
 
 SPACE = "\u2581"
-CHUNK = "\\n|\u2581{1,16}[^\u2581\\n]{0,48}|[^\u2581\\n]{1,48}"
+CHUNK = "\\n|\u2581+[^\u2581\\n]*|[^\u2581\\n]+"
 # Letters of Latin alphabets.
 _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _OTHER = f"[^{_LATIN}\u2581\\n]"
 #: Chunks that also end after Latin letters, for models without a piece that goes on there.
-FINE_CHUNK = f"\\n|\u2581{{1,16}}{_OTHER}{{0,48}}[{_LATIN}]{{0,48}}|{_OTHER}{{1,48}}[{_LATIN}]{{0,48}}|[{_LATIN}]{{1,48}}"
+FINE_CHUNK = f"\\n|\u2581+{_OTHER}*[{_LATIN}]*|{_OTHER}+[{_LATIN}]*|[{_LATIN}]+"
 #: Runs that chunks of either kind are parts of.
-_RUN = "\\n|\u2581+[^\u2581\\n]*|[^\u2581\\n]+"
+_RUN = CHUNK
+#: Characters of a chunk that is encoded once for the whole corpus; longer ones hardly repeat.
+LONG = 64
 #: Chunks hashed and bytes of text laid over at a time in a task.
 _AT_ONCE = 1 << 16
 _BATCH_BYTES = 512 << 10
@@ -126,11 +129,12 @@ def marked(text: Column) -> Column:
 
 
 def chunk_counts(docs: DataFrame, text: str = "text", pattern: str = CHUNK) -> DataFrame:
-    """``chunk, n``: distinct chunks; runs are counted inside tasks first, and only distinct runs are cut finer."""
+    """``chunk, n``: distinct chunks of up to ``LONG`` characters; runs are counted inside tasks first, and only distinct runs are cut finer."""
     runs = F.regexp_extract_all(marked(F.col(f"`{text}`")), F.lit(_RUN), F.lit(0))
     counted = docs.select(F.explode(runs).alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
     chunks = F.regexp_extract_all("run", F.lit(pattern), F.lit(0))
-    return counted.select(F.explode(chunks).alias("chunk"), "n").groupBy("chunk").agg(F.sum("n").alias("n"))
+    short = counted.select(F.explode(chunks).alias("chunk"), "n").filter(F.char_length("chunk") <= LONG)
+    return short.groupBy("chunk").agg(F.sum("n").alias("n"))
 
 
 def encode_chunks(chunks: DataFrame, model: Model) -> DataFrame:
@@ -195,6 +199,54 @@ def encode_chunks(chunks: DataFrame, model: Model) -> DataFrame:
     return walked.select("chunk", "n", F.flatten(F.transform("path", ids_of)).alias("ids"))
 
 
+@dataclass(frozen=True)
+class LongChunks:
+    """The search of ``encode_chunks`` for one chunk of any length."""
+
+    pieces: dict[str, tuple[int, float]]
+    longest: int
+    unknown: float
+    byte_ids: list[int] | None
+    unknown_id: int
+
+    @staticmethod
+    def of(model: Model) -> LongChunks:
+        edges = model.edges()
+        return LongChunks(
+            {p: (i, s) for p, i, s in edges},
+            max((len(p) for p, _, _ in edges), default=1),
+            min((s for _, _, s in edges), default=0.0) - UNKNOWN_PENALTY,
+            model.byte_ids() if BYTE in model.kinds else None,
+            model.kinds.index(UNKNOWN) if UNKNOWN in model.kinds else 0,
+        )
+
+    def ids(self, chunk: str) -> np.ndarray:
+        """Starts come in order, so that the earliest keeps a tie, as in the fold."""
+        n, get = len(chunk), self.pieces.get
+        best, start, into = [0.0] + [-np.inf] * n, [0] * (n + 1), [-1] * (n + 1)
+        for s in range(n):
+            for e in range(s + 1, min(n, s + self.longest) + 1):
+                found = get(chunk[s:e])
+                if found is None:
+                    if e > s + 1:
+                        continue
+                    found = -1, self.unknown
+                total = best[s] + found[1]
+                if total > best[e]:
+                    best[e], start[e], into[e] = total, s, found[0]
+        out: list[int] = []
+        at = n
+        while at:
+            if into[at] >= 0:
+                out.append(into[at])
+            elif self.byte_ids is None:
+                out.append(self.unknown_id)
+            else:
+                out += [self.byte_ids[b] for b in reversed(chunk[start[at] : at].encode())]
+            at = start[at]
+        return np.array(out[::-1], dtype=np.uint32)
+
+
 @dataclass(frozen=True)
 class ChunkTable:
     """Ids of chunks by a 64-bit hash, in flat arrays."""
@@ -286,12 +338,13 @@ def encode(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "t
     total = encoded.count()
     frequent = encoded.orderBy(F.desc("n"), "chunk").limit(most_chunks) if total > most_chunks else encoded
     table = spark.sparkContext.broadcast(ChunkTable.of(frequent))
+    long = spark.sparkContext.broadcast(LongChunks.of(model))
     kept = [c for c in docs.columns if c.lower() != "ids"]
     base = docs.select(*[F.col(f"`{c}`") for c in kept])
     at = kept.index(text)
     spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
     if total <= most_chunks:
-        return base.mapInArrow(_lay(table, cut, at, None), f"{spec}, ids array<int>")
+        return base.mapInArrow(_lay(table, long, cut, at, None), f"{spec}, ids array<int>")
     # rows whose chunks are not all in the table bring the others with them, joined by chunk
     row = F.struct(*[F.col(f"`{c}`") for c in kept])
     mark = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")))
@@ -301,6 +354,7 @@ def encode(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "t
     def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tx.small_batches(batches, 1, _BATCH_BYTES):
             _, counts, out = _places(batch.column(1).to_pylist(), table.value, cut)
+            out = {i: c for i, c in out.items() if len(c) <= LONG}
             owner = np.asarray(batch.column(0))[np.searchsorted(np.cumsum(counts), list(out), side="right")]
             pairs = set(zip(owner.tolist(), out.values()))
             yield tx.table_rows({"mark": [m for m, _ in pairs], "chunk": [c for _, c in pairs]}, schema)
@@ -308,10 +362,10 @@ def encode(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "t
     needed = keyed.select("mark", f"row.{text}").mapInArrow(missing, "mark bigint, chunk string").distinct()
     per = needed.join(encoded.select("chunk", "ids"), "chunk").groupBy("mark").agg(F.collect_list(F.struct("chunk", "ids")).alias("more"))
     joined = keyed.join(per, "mark", "left").select("row.*", "more")
-    return joined.mapInArrow(_lay(table, cut, at, len(kept)), f"{spec}, ids array<int>")
+    return joined.mapInArrow(_lay(table, long, cut, at, len(kept)), f"{spec}, ids array<int>")
 
 
-def _lay(table, cut: re.Pattern, at: int, more: int | None):
+def _lay(table, long, cut: re.Pattern, at: int, more: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: ChunkTable = table.value
         for batch in tx.small_batches(batches, at, _BATCH_BYTES):
@@ -322,10 +376,14 @@ def _lay(table, cut: re.Pattern, at: int, more: int | None):
                 place = found[end - count : end]
                 if (place < 0).any():
                     extra = {m["chunk"]: m["ids"] for m in batch.column(more)[row].as_py() or []} if more is not None else {}
-                    parts = [
-                        known.ids[known.begins[p] : known.begins[p + 1]] if p >= 0 else np.array(extra[missing[i]], dtype=np.uint32)
-                        for i, p in enumerate(place.tolist(), end - count)
-                    ]
+                    parts = []
+                    for i, p in enumerate(place.tolist(), end - count):
+                        if p >= 0:
+                            parts.append(known.ids[known.begins[p] : known.begins[p + 1]])
+                        elif len(missing[i]) > LONG:
+                            parts.append(long.value.ids(missing[i]))
+                        else:
+                            parts.append(np.array(extra[missing[i]], dtype=np.uint32))
                     own.append(np.concatenate(parts))
                     continue
                 begin = known.begins[place].astype(np.int64)
