@@ -60,8 +60,11 @@ def make_supervised(
     """Lags of every numeric column and future targets, in one window pass.
 
     ``df`` is a prepared series on its grid.  Rows with any missing value are
-    dropped last, so positions still mean time steps while lags are taken.
+    dropped last, so positions still mean time steps while lags are taken.  Rows that
+    ``prepare_series`` flags as off the axis have no step and no part in the table.
     """
+    if "off_axis" in df.columns:
+        df = df.where(~F.col("off_axis")).drop("off_axis")
     if target not in df.columns:
         raise ValueError(f"target {target!r} is not a column of the prepared series")
     keys = keys_list(keys)

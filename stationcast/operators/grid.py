@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,6 +94,29 @@ def insert_gaps(
     return full.withColumn("off_axis", F.lit(False)).unionByName(stray.withColumn("off_axis", F.lit(True)))
 
 
+def snap_to_axis(
+    df: DataFrame, freq_seconds: int, keys: str | Sequence[str] = "station_id", ts: str = "ts_utc"
+) -> DataFrame:
+    """Rows off the axis take the time of their nearest step, unless another row is nearer to it or on it.
+
+    Of equally near rows the earlier one takes the step.  Rows that find it taken keep
+    their time, and so does a row without a time or key; no row is lost.
+    """
+    keys = keys_list(keys)
+    freq = freq_seconds * 1_000_000
+    axis = _bounds(df, keys, ts, freq_seconds).select(*[F.col(k).alias(f"_axis_{k}") for k in keys], "_lo")
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k) == F.col(f"_axis_{k}")
+    micros = F.unix_micros(F.col(ts))
+    near = F.col("_lo") + F.floor((micros - F.col("_lo") + F.lit(freq // 2)) / F.lit(float(freq))) * F.lit(freq)
+    placed = df.join(axis, same, "left").withColumn("_near", near)
+    first = Window.partitionBy(*keys, "_near").orderBy(F.abs(micros - F.col("_near")), ts)
+    takes = F.col("_near").isNotNull() & (F.row_number().over(first) == 1)
+    moved = placed.withColumn("_takes", takes).withColumn(ts, F.when(F.col("_takes"), F.timestamp_micros("_near")).otherwise(F.col(ts)))
+    return moved.select(*[ref(c) for c in df.columns])
+
+
 def off_grid_report(
     df: DataFrame,
     freq_seconds: int,

@@ -622,7 +622,7 @@ _PREPARED_SQL = query(
 @register("prepared_series", _PREPARED_SQL)
 def prepared_series(spark, sf_dir):
     """Everything of the preparation stage in its fixed order."""
-    return prepare.prepare_series(fx.station_obs(spark, sf_dir), fx.HOUR, [6])
+    return prepare.prepare_series(fx.station_obs(spark, sf_dir), fx.HOUR, [6]).drop("off_axis")
 
 
 # --- supervised tables ------------------------------------------------------

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from stationcast.functions.timeparse import with_utc
 from stationcast.functions.units import clean_numeric, to_canonical
+from stationcast.operators.grid import off_axis_rows
 
 CSV_GLOB = "*.[cC][sS][vV]"
 # Bytes looked at for the encoding, candidates for the delimiter.
@@ -290,11 +291,15 @@ def station_rows(
     return canonical_rows(named, mapping, timezone, ["station_id", *ORDER], unreadable)
 
 
-def ingest_report(rows: DataFrame, order: Sequence[str] = ORDER, ts: str = "ts_utc") -> DataFrame:
+def ingest_report(
+    rows: DataFrame, order: Sequence[str] = ORDER, ts: str = "ts_utc", freq_seconds: int | None = None
+) -> DataFrame:
     """Per station and file: rows read = kept + duplicate + without a readable time.
 
     ``rows`` come from ``station_rows(..., unreadable=True)``.  A duplicate is counted
     where it stands; the copy kept is the first in ``order``, as in ``keep_first``.
+    With ``freq_seconds`` a column ``off_axis`` counts the kept rows that are not on the
+    station's time axis.
     """
     file = order[0]
     read = rows.groupBy("station_id", file).agg(
@@ -303,6 +308,12 @@ def ingest_report(rows: DataFrame, order: Sequence[str] = ORDER, ts: str = "ts_u
     winners = rows.groupBy("station_id", ts).agg(F.min(F.struct(*order)).alias("_first"))
     kept = winners.groupBy("station_id", F.col(f"_first.{file}").alias(file)).agg(F.count(ts).alias("rows_kept"))
     joined = read.join(kept, ["station_id", file], "left").withColumn("rows_kept", F.coalesce("rows_kept", F.lit(0).cast("bigint")))
+    counts = []
+    if freq_seconds is not None:
+        stray = off_axis_rows(winners.where(F.col(ts).isNotNull()), freq_seconds, "station_id", ts)
+        strays = stray.groupBy("station_id", F.col(f"_first.{file}").alias(file)).agg(F.count(F.lit(1)).alias("off_axis"))
+        joined = joined.join(strays, ["station_id", file], "left")
+        counts = [F.coalesce("off_axis", F.lit(0).cast("bigint")).alias("off_axis")]
     return joined.select(
         "station_id",
         F.col(file).alias("file"),
@@ -310,4 +321,5 @@ def ingest_report(rows: DataFrame, order: Sequence[str] = ORDER, ts: str = "ts_u
         "rows_kept",
         (F.col("rows_read") - F.col("rows_kept") - F.col("unreadable_time")).alias("duplicate_rows"),
         "unreadable_time",
+        *counts,
     )

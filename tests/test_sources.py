@@ -234,3 +234,10 @@ def test_ingest_report_accounts_for_every_row(spark, tmp_path):
     assert report == {"2023": (2, 1, 0, 1), "2024": (150, 1, 149, 0)}
     # of two files of one name the one in the first folder wins, however large the other is
     assert [v for _, v in rows(station_csv.read_station_csv(*args), "temp_c")] == [1.0, 3.0]
+
+
+def test_ingest_report_counts_rows_off_the_axis(spark, tmp_path):
+    body = "2024-01-01 00:00;1\n2024-01-01 00:10;2\n2024-01-01 00:20;3\n2024-01-01 00:33;4\n2024-01-01 00:33;4\nnever;9\n"
+    (tmp_path / "a.csv").write_text("Date (Europe/Athens);temp (°C)\n" + body, encoding="utf-8")
+    read = station_csv.station_rows(spark, str(tmp_path), mapping(SHORT_NAMES), TZ, "s", unreadable=True)
+    assert [tuple(r)[2:] for r in station_csv.ingest_report(read, freq_seconds=600).collect()] == [(6, 4, 1, 1, 1)]

@@ -136,6 +136,33 @@ def test_prepared_columns(station):
     assert out.count() == 220
 
 
+def test_prepared_series_keeps_or_snaps_rows_off_the_axis(spark, station):
+    """A logger whose phase changes half-way: no row vanishes, and snapping makes one series of both halves."""
+    half = START + timedelta(minutes=10 * 120)
+    late = F.when(F.col("ts_utc") >= half, F.col("ts_utc") + F.expr("INTERVAL 3 MINUTES")).otherwise(F.col("ts_utc"))
+    shifted = station.withColumn("ts_utc", late)
+    kept = prepare_series(shifted, 600, [6])
+    assert kept.where("off_axis").count() == 100 and kept.where("not off_axis and not gap").count() == 120
+    assert kept.where("off_axis and temp_c_roll6_mean is not null").count() == 0
+    assert kept.where("off_axis and (gap or temp_c is null or dew_point_c is null)").count() == 0
+    on = prepare_series(shifted.where(F.col("ts_utc") < half), 600, [6])
+    pd.testing.assert_frame_equal(frame(kept.where("not off_axis")), frame(on))
+    assert make_supervised(kept, "temp_c", [1], [1], 600).count() == make_supervised(on, "temp_c", [1], [1], 600).count()
+    snapped = prepare_series(shifted, 600, [6], off_axis="snap")
+    pd.testing.assert_frame_equal(frame(snapped), frame(prepare_series(station, 600, [6])))
+
+
+def test_snapping_loses_no_row(spark):
+    stray = series(spark, [-1.0, -2.0, -3.0, -4.0], start=START + timedelta(minutes=4)).unionByName(series(spark, [-5.0], start=START + timedelta(minutes=42)))
+    df = series(spark, [0.0, 1.0, 2.0, None, 4.0, 5.0, 6.0]).where("temp_c is not null").unionByName(stray)
+    df = df.unionByName(df.limit(1).withColumn("ts_utc", F.lit(None).cast("timestamp")))
+    out = prepare_series(df, 600, [2], off_axis="snap")
+    assert out.where("not gap").count() == 12
+    at = {r["ts_utc"]: (r["temp_c"], r["off_axis"]) for r in out.collect()}
+    assert at[START + timedelta(minutes=30)] == (-4.0, False)  # the only free step
+    assert sum(off for _, off in at.values()) == 5
+
+
 def test_default_feature_count_is_the_documented_one(station):
     """All ten variables, default lags and windows: 1,632 tabular features."""
     prepared = prepare_series(station, 600, [6, 18, 36, 144])
