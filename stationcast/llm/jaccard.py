@@ -20,8 +20,8 @@ _CELLS = 1 << 21
 #: Bytes of a digest of a set.
 DIGEST = 16
 #: Sets among which frequent members are looked for, the count above which they are, and how many are kept.
-_SAMPLE = 20_000
-_OFTEN = 16
+_SAMPLE = 8_000
+_OFTEN = 4
 _MOST_FREQUENT = 200_000
 
 

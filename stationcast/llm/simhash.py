@@ -332,13 +332,15 @@ def _by_place(placed: DataFrame) -> DataFrame:
     return placed.repartition(parts, "place").sortWithinPartitions("place")
 
 
-def _different_buckets(dealt: DataFrame) -> DataFrame:
-    """The rows of one bucket for each group of members, as seen by two 64-bit hashes; buckets of one row go."""
-    dealt = stage(dealt.distinct(), "buckets")
-    marks = [F.bit_xor(F.xxhash64("fp", F.lit(i))).alias(f"mark{i}") for i in range(2)]
-    groups = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *marks).filter("n > 1")
-    kept = groups.groupBy("n", "mark0", "mark1").agg(F.min("bucket").alias("bucket"))
-    return stage(dealt.join(kept.select("bucket"), "bucket").select("bucket", "fp"), "different-buckets")
+def _led_buckets(dealt: DataFrame) -> DataFrame:
+    """Buckets that share their first member (by a hash) as one; buckets of one row go.
+
+    The many buckets of a group of near copies become a few, so a set is moved a few times
+    only, and every pair of a bucket stays together.
+    """
+    dealt = stage(dealt, "buckets")
+    leads = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("fp")).alias("lead")).filter("n > 1")
+    return stage(dealt.join(leads, "bucket").select(F.col("lead").alias("bucket"), "fp").distinct(), "led-buckets")
 
 
 def sure_links(dealt: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
@@ -379,7 +381,7 @@ def sure_links(dealt: DataFrame, held: DataFrame, similarity: float) -> DataFram
         x, y = links(fps, sets)
         yield tx.table_rows({"a": x, "b": y}, schema)
 
-    placed = _placed(_different_buckets(dealt), TILE // 4)
+    placed = _placed(_led_buckets(dealt), TILE // 4)
     return stage(_by_place(placed.join(held, "fp").select("place", "fp", "set")).mapInArrow(run, "a binary, b binary"), "sure-links")
 
 
