@@ -82,22 +82,25 @@ def _frequent(held: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(held: DataFrame, similarity: float) -> DataFrame:
-    """``bucket, fp``: for each set as many of its members, rarest first, as any set alike must share one of.
+    """``bucket, fp, early``: for each set as many of its members, rarest first, as any set alike must share one of.
 
     Two sets of that similarity share at least ``similarity`` times the size of either, so
     in one order of all members the first of those they share lies in both prefixes. Any
     order does; that of the frequencies in a sample keeps common passages out of the
-    prefixes.
+    prefixes. In the smaller set the first shared member has at least ``2 s / (1 + s)`` of
+    its size left, itself included: ``early`` marks those places, one of which a bucket needs.
     """
     frequent = held.sparkSession.sparkContext.broadcast(_frequent(held))
-    schema = pa.schema([("bucket", pa.int64()), ("fp", pa.binary())])
+    schema = pa.schema([("bucket", pa.int64()), ("fp", pa.binary()), ("early", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members, n = frequent.value
+        share = 2 * similarity / (1 + similarity)
         for batch in batches:
             fps = batch.column(0).to_pylist()
             flat, ends = np.asarray(batch.column(1).values), np.asarray(batch.column(1).offsets)
             buckets: list[np.ndarray] = []
+            early: list[np.ndarray] = []
             for k in range(len(fps)):
                 own = flat[ends[k] : ends[k + 1]]
                 take = len(own) - math.ceil(similarity * len(own)) + 1 if len(own) else 0
@@ -105,12 +108,14 @@ def prefixes(held: DataFrame, similarity: float) -> DataFrame:
                     at = np.minimum(np.searchsorted(members, own), len(members) - 1)
                     own = own[np.lexsort((own, np.where(members[at] == own, n[at], 0)))]
                 buckets.append(own[:take])
+                left = len(own) - np.arange(len(buckets[-1]))
+                early.append(left >= share * len(own) - 1e-6)  # roundings only let more pass
             counts = np.array([len(x) for x in buckets])
             places = pa.array(np.repeat(np.arange(len(fps)), counts))
             if len(fps):
-                yield tx.table_rows({"bucket": np.concatenate(buckets), "fp": batch.column(0).take(places)}, schema)
+                yield tx.table_rows({"bucket": np.concatenate(buckets), "fp": batch.column(0).take(places), "early": np.concatenate(early)}, schema)
 
-    return held.select("fp", "set").mapInArrow(run, "bucket bigint, fp binary")
+    return held.select("fp", "set").mapInArrow(run, "bucket bigint, fp binary, early boolean")
 
 
 def alike(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationcast.llm import text as tx
@@ -333,14 +333,16 @@ def _by_place(placed: DataFrame) -> DataFrame:
 
 
 def _led_buckets(dealt: DataFrame) -> DataFrame:
-    """Buckets that share their first member (by a hash) as one; buckets of one row go.
+    """Buckets that share their first member (by a hash) as one; buckets of one row, or without an ``early`` one, go.
 
     The many buckets of a group of near copies become a few, so a set is moved a few times
     only, and every pair of a bucket stays together.
     """
-    dealt = stage(dealt, "buckets")
-    leads = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("fp")).alias("lead")).filter("n > 1")
-    return stage(dealt.join(leads, "bucket").select(F.col("lead").alias("bucket"), "fp").distinct(), "led-buckets")
+    own = Window.partitionBy("bucket")
+    early = F.max("early").over(own) if "early" in dealt.columns else F.lit(True)
+    seen = dealt.withColumn("lead", F.min(F.xxhash64("fp")).over(own)).withColumn("n", F.count(F.lit(1)).over(own))
+    useful = seen.withColumn("useful", early).filter("n > 1 and useful")
+    return stage(useful.select(F.col("lead").alias("bucket"), "fp").distinct(), "led-buckets")
 
 
 def sure_links(dealt: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
