@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from stationcast.llm import (
     quality_rules,
     sentencepiece_lattice,
     simhash,
+    structure_repair,
     suffix_dedup,
     url_filter,
 )
@@ -271,3 +274,131 @@ def encoded_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
 @register("op1_sentencepiece")
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_documents(spark, table(spark, sf_dir, "documents"))
+
+
+# --- 11: conversation structure -------------------------------------------------
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII string, bit by bit; DuckDB has no function for it."""
+    return (
+        f"xor(4294967295, list_reduce(list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT),"
+        " lambda c, b: list_reduce(range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295::BIGINT))"
+    )
+
+
+_REPAIR_SQL = (
+    r"""
+WITH RECURSIVE spaced AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    """
+    + _crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")
+    + r""" AS crc
+  FROM conversations
+), hits AS (
+  SELECT *, crc % 20 AS hit FROM spaced
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+    CASE hit WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE WHEN hit = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hits WHERE hit <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut,
+    substr(role, 1, 1) AS initial
+  FROM damaged
+), faulty AS (
+  SELECT *, CASE WHEN blank THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN cut THEN 'truncated' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair
+  FROM placed
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM faulty GROUP BY conv_id
+), grammar(state, need, to_state) AS (
+  VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+), wanted(state, letter, name, to_state) AS (
+  VALUES (0, 'u', 'user', 2), (1, 'u', 'user', 2), (2, 'a', 'assistant', 3), (3, 'u', 'user', 2)
+), spells AS (
+  SELECT state, state AS at, '' AS audit, 0 AS price, '' AS body FROM wanted
+  UNION ALL SELECT state, to_state, 'I', 3, name || ':' || chr(10) FROM wanted
+  UNION ALL SELECT a.state, b.to_state, 'II', 6, a.name || ':' || chr(10) || b.name || ':' || chr(10) FROM wanted a JOIN wanted b ON a.to_state = b.state
+), best AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS state, {'cost': 0::BIGINT, 'audit': '', 'body': ''} AS b FROM counted
+  UNION ALL
+  SELECT o.conv_id, o.i, o.state, min(o.b) FROM (
+    SELECT f.conv_id, f.i, e.state, {'cost': p.b.cost + s.price + e.price, 'audit': p.b.audit || s.audit || e.edit, 'body': p.b.body || s.body || e.body} AS b
+    FROM best p JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1 JOIN spells s ON s.state = p.state,
+    LATERAL (
+      SELECT 'D' AS edit, s.at AS state, 4 AS price, '' AS body
+      UNION ALL SELECT 'K', g.to_state, CASE WHEN f.fault = 'truncated' THEN 3 ELSE 0 END, f.role || ':' || f.text || chr(10)
+        FROM grammar g WHERE g.state = s.at AND g.need = f.initial AND coalesce(f.fault, '') NOT IN ('blank', 'duplicate')
+      UNION ALL SELECT 'R', w.to_state, CASE WHEN f.fault = 'truncated' THEN 6 ELSE 3 END, w.name || ':' || f.text || chr(10)
+        FROM wanted w WHERE w.state = s.at AND coalesce(f.fault, '') NOT IN ('blank', 'duplicate')
+    ) e
+  ) o GROUP BY o.conv_id, o.i, o.state
+), ended AS (
+  SELECT p.conv_id, min({'cost': p.b.cost + s.price, 'audit': p.b.audit || s.audit, 'body': p.b.body || s.body}) AS b
+  FROM best p JOIN counted c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.n = p.i JOIN spells s ON s.state = p.state AND s.at IN (0, 3)
+  GROUP BY p.conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(e.b.cost, 0) AS cost, coalesce(e.b.audit, '') AS audit,
+  sha256(coalesce(left(e.b.body, length(e.b.body) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+)
+
+
+def crc32(text: Column) -> Column:
+    return F.crc32(text.cast("binary"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """The contract's damage; ``present`` is false for rows that it drops."""
+
+    def spaced(c: str) -> Column:
+        return F.coalesce(F.col(c).cast("string"), F.lit(" "))
+
+    hit = crc32(F.concat(spaced("conv_id"), F.lit(":"), spaced("turn"))) % 20
+    text = spaced("text")
+    return (
+        rows.select("conv_id", "turn", spaced("role").alias("role"), text.alias("text"), hit.alias("hit"))
+        .withColumn("text", F.when(F.col("hit") == 1, "").when(F.col("hit") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")))
+        .withColumn("role", F.when(F.col("hit") == 4, "user").otherwise(F.col("role")))
+        .withColumn("copy", F.explode(F.when(F.col("hit") == 3, F.sequence(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+        .select("conv_id", "turn", "role", "text", (F.col("hit") != 0).alias("present"))
+    )
+
+
+def with_digests(repaired: DataFrame) -> DataFrame:
+    """One row per conversation: its report and the SHA-256 of its repaired turns, hashed as they stream by."""
+    schema = "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digest, lines = hashlib.sha256(), 0
+        for batch in batches:
+            done = []
+            ends = batch["place"].isna().to_numpy()
+            for i, (role, text) in enumerate(zip(batch["role"], batch["text"])):
+                if not ends[i]:
+                    digest.update(f"{chr(10) if lines else ''}{role}:{text}".encode())
+                    lines += 1
+                else:
+                    done.append((i, digest.hexdigest()))
+                    digest, lines = hashlib.sha256(), 0
+            if done:
+                out = batch.iloc[[i for i, _ in done]].assign(repaired_sha256=[d for _, d in done])
+                yield out[names]
+
+    return repaired.mapInPandas(run, schema)
+
+
+@register("op11_structure_repair", _REPAIR_SQL)
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = damaged(table(spark, sf_dir, "conversations"))
+    return with_digests(structure_repair.repair(rows, present=F.col("present")))
