@@ -15,6 +15,7 @@ from stationcast.llm import (
     fingerprints,
     html_crf,
     mixing,
+    prefix_trie,
     quality_rules,
     sentencepiece_lattice,
     simhash,
@@ -402,3 +403,47 @@ def with_digests(repaired: DataFrame) -> DataFrame:
 def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = damaged(table(spark, sf_dir, "conversations"))
     return with_digests(structure_repair.repair(rows, present=F.col("present")))
+
+
+# --- 13: prefix trie of conversations -------------------------------------------
+
+_TRIE_SQL = (
+    r"""
+WITH ids AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, coalesce("""
+    + _crc32_sql("conv_id::VARCHAR")
+    + r""" % 4, 0)::BIGINT AS h FROM (SELECT DISTINCT conv_id FROM conversations)
+), turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, token) AS at, token, words FROM (
+    SELECT conv_id, turn, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS token,
+      len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS words FROM conversations)
+), rebuilt AS (
+  SELECT i.conv_id, 0 AS part, t.at, t.token, t.words FROM ids i JOIN turns t ON t.conv_id = i.base AND t.at <= i.h
+  UNION ALL SELECT i.conv_id, 1, t.at, t.token, t.words FROM ids i JOIN turns t ON t.conv_id IS NOT DISTINCT FROM i.conv_id AND t.at > i.h
+), whole AS (
+  SELECT i.conv_id, coalesce(list(r.token ORDER BY r.part, r.at) FILTER (r.token IS NOT NULL), []) AS path,
+    coalesce(list(r.words ORDER BY r.part, r.at) FILTER (r.token IS NOT NULL), []) AS words
+  FROM ids i LEFT JOIN rebuilt r ON r.conv_id IS NOT DISTINCT FROM i.conv_id GROUP BY i.conv_id
+), prefixes AS (
+  SELECT conv_id, d AS depth, path[1:d] AS node, path[1:greatest(d - 1, 0)] AS above, words[d] AS words, len(path) = d AS ends
+  FROM (SELECT *, unnest(range(len(path) + 1)) AS d FROM whole)
+), nodes AS (
+  SELECT node, above, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * coalesce(any_value(words), 0) AS saved,
+    sha256(coalesce(string_agg(coalesce(conv_id::VARCHAR, ''), ',' ORDER BY conv_id NULLS FIRST) FILTER (ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY node, above, depth
+), children AS (
+  SELECT above, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY above
+), below AS (
+  SELECT a.node, count(*) FILTER (c.n IS NULL) AS n_leaves, sum(b.saved)::BIGINT AS saved_tokens
+  FROM nodes a JOIN nodes b ON b.node[1:a.depth] = a.node LEFT JOIN children c ON c.above = b.node GROUP BY a.node
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, b.n_leaves, b.saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b ON b.node = n.node LEFT JOIN children c ON c.above = n.node
+LEFT JOIN nodes p ON n.depth > 0 AND p.node = n.above
+"""
+)
+
+
+@register("op13_prefix_trie", _TRIE_SQL)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.build(prefix_trie.rebased(prefix_trie.paths(table(spark, sf_dir, "conversations"))))
