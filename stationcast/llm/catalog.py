@@ -14,6 +14,7 @@ from stationcast.llm import (
     factorisation,
     fingerprints,
     html_crf,
+    kneser_ney,
     mixing,
     prefix_trie,
     quality_rules,
@@ -405,6 +406,20 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_digests(structure_repair.repair(rows, present=F.col("present")))
 
 
+# --- 12: toxicity ---------------------------------------------------------------
+
+TOXIC = 0.5
+
+
+@register("op12_toxicity")
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    labels = table(spark, sf_dir, "labels").filter(~held).select("doc_id", (F.col("toxic") == 1).alias("toxic"))
+    scored = kneser_ney.score(docs, kneser_ney.train(docs, labels))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 # --- 13: prefix trie of conversations -------------------------------------------
 
 _TRIE_SQL = (
