@@ -48,6 +48,10 @@ _WANTED = "uuau"
 _NAMES = {"u": "user", "a": "assistant"}
 #: Inserts that end a text in an accepting state.
 _ENDING = (0, 2, 1, 0)
+#: A state that costs more than this above the cheapest is dropped. What a state can do, another
+#: can do for at most 7 more: an assistant inserted first where it must answer (3), and then either
+#: a user inserted (3), a system row deleted (4), or, after s alone, both inserted at the end (6).
+_BEHIND = 7
 
 Vector = tuple[tuple[int, int] | None, ...]
 #: Of each state: the state before, inserts before the row's edit, the edit.
@@ -85,9 +89,10 @@ def advance(vector: Vector, initial: str, forced: bool, cut: bool) -> tuple[Vect
                 found = (cost + INSERT * n + price, order, "I" * n + letter, state)
                 if best[to] is None or found < best[to]:
                     best[to] = found
+    low = min(b[0] for b in best if b)
+    best = [b if b and b[0] - low <= _BEHIND else None for b in best]
     ranked = sorted((b[1], b[2], to) for to, b in enumerate(best) if b)
     order = {to: k for k, (_, _, to) in enumerate(ranked)}
-    low = min(b[0] for b in best if b)
     after = tuple((b[0] - low, order[to]) if b else None for to, b in enumerate(best))
     return after, low, tuple((b[3], len(b[2]) - 1, b[2][-1]) if b else None for b in best)
 
