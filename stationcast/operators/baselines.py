@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stationcast.functions import scoring
 from stationcast.functions.names import lag_columns_of, ref, rolling_column, rolling_mean_windows
 from stationcast.operators.buckets import keys_list, lookup_join
 
@@ -50,9 +51,9 @@ def fit_climatology(
     keys = keys_list(keys)
     train = df if split is None else df.where(F.col(split) == "train")
     cells = train.groupBy(*keys, F.month(ts).alias("month"), F.hour(ts).alias("hour")).agg(
-        F.sum(ref(target)).alias("_sum"), F.count(ref(target)).alias("_n")
+        scoring.stable_sum(ref(target)).alias("_sum"), F.count(ref(target)).alias("_n")
     )
-    overall = cells.groupBy(*keys).agg((F.sum("_sum") / F.nullif(F.sum("_n"), F.lit(0))).alias("global_mean"))
+    overall = cells.groupBy(*keys).agg((scoring.stable_sum(F.col("_sum")) / F.nullif(F.sum("_n"), F.lit(0))).alias("global_mean"))
     return cells.join(overall, keys).select(
         *keys, "month", "hour", (F.col("_sum") / F.nullif(F.col("_n"), F.lit(0))).alias("mean"), "global_mean"
     )

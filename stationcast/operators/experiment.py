@@ -116,7 +116,9 @@ def run_experiment(prepared: DataFrame, options: ExperimentOptions, output: str
     spark = prepared.sparkSession
     output = output or new_path(spark, "experiment")
     target, keys = options.target, list(options.keys)
-    supervised = stage(supervised_all(prepared, options), "supervised")
+    # rows in a fixed order within each file, so that fits add up alike in every run
+    order = [*keys, options.ts]
+    supervised = stage(supervised_all(prepared, options).sortWithinPartitions(*order), "supervised")
     predictions_path = f"{output}/predictions"
     if options.baselines:
         write_predictions(baseline_experiment(supervised, options), predictions_path)
@@ -130,12 +132,13 @@ def run_experiment(prepared: DataFrame, options: ExperimentOptions, output: str
         features = select_feature_columns(rows, y, not_features=keys)
         write_per_horizon(split_metadata(split, y, features, keys, options.ts), label, f"{output}/split_metadata", "json")
         scaled_columns = scalable_columns(rows, features)
-        scaler = stage(fit_scaler(split, scaled_columns, options.scaling, keys), "scaler")
+        scaler = stage(fit_scaler(split, scaled_columns, options.scaling, keys, ts=options.ts), "scaler")
         write_per_horizon(scaler, label, f"{output}/scalers")
-        write_per_horizon(fit_target_scaler(split, y, options.scaling, keys), label, f"{output}/target_scalers")
+        write_per_horizon(fit_target_scaler(split, y, options.scaling, keys, ts=options.ts), label, f"{output}/target_scalers")
         if not options.ml:
             continue
-        scaled = stage(apply_scaler(split, scaler, scaled_columns, keys, [options.ts]), "scaled", ["split"])
+        scaled = apply_scaler(split, scaler, scaled_columns, keys, [options.ts])
+        scaled = stage(scaled.sortWithinPartitions("split", *order), "scaled", ["split"])
         train, test = scaled.where(F.col("split") == "train"), scaled.where(F.col("split") == "test")
         for name in options.ml:
             scored = fit_predict(name, train, test, features, y, options)

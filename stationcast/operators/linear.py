@@ -13,6 +13,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,9 +49,12 @@ def gram_statistics(
     )
     key_fields = [flat.schema[k] for k in group]
     partial_schema = T.StructType([*key_fields, T.StructField("row", T.IntegerType()), T.StructField("values", T.ArrayType(T.DoubleType()))])
+    # Which task and which of its releases a partial comes from: partials add up in that order.
+    placed_schema = T.StructType([*partial_schema, T.StructField("part", T.LongType())])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, np.ndarray] = {}
+        release_no = TaskContext.get().partitionId() << 32
         key_types: list[pa.DataType] = []
 
         def release() -> Iterator[pa.RecordBatch]:
@@ -58,7 +62,8 @@ def gram_statistics(
                 columns = [pa.array([k] * width, type=t) for k, t in zip(key, key_types, strict=True)]
                 columns.append(pa.array(np.arange(width, dtype=np.int32)))
                 columns.append(pa.array(list(total), type=pa.list_(pa.float64())))
-                yield pa.RecordBatch.from_arrays(columns, names=[*group, "row", "values"])
+                columns.append(pa.array([release_no] * width, type=pa.int64()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*group, "row", "values", "part"])
             held.clear()
 
         for batch in batches:
@@ -78,22 +83,25 @@ def gram_statistics(
             # Sums add up again later, so they may be let go at any time.
             if len(held) * width * width * 8 > _HELD_BYTES:
                 yield from release()
+                release_no += 1
         yield from release()
 
     def total(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["row", "part"], kind="stable")
         rows, place = np.unique(pdf["row"].to_numpy(), return_inverse=True)
         sums = np.zeros((len(rows), width))
         np.add.at(sums, place, np.stack(pdf["values"].to_numpy()))
         out = pdf.iloc[[0] * len(rows)][[*group, "row"]].reset_index(drop=True)
         out["row"] = rows
         out["values"] = list(sums)
+        out["part"] = int(pdf["part"].min())
         return out
 
     chunk = F.floor(F.col("row") / F.lit(float(_ROWS_TOGETHER)))
     salt = F.pmod(F.spark_partition_id(), F.lit(_SALTS))
-    partials = flat.mapInArrow(add_up, partial_schema).withColumn("_chunk", chunk).withColumn("_salt", salt)
-    salted = partials.groupBy(*group, "_chunk", "_salt").applyInPandas(total, partial_schema)
-    return salted.withColumn("_chunk", chunk).groupBy(*group, "_chunk").applyInPandas(total, partial_schema)
+    partials = flat.mapInArrow(add_up, placed_schema).withColumn("_chunk", chunk).withColumn("_salt", salt)
+    salted = partials.groupBy(*group, "_chunk", "_salt").applyInPandas(total, placed_schema)
+    return salted.withColumn("_chunk", chunk).groupBy(*group, "_chunk").applyInPandas(total, placed_schema).drop("part")
 
 
 def _blocks(pdf: pd.DataFrame, block: str | None) -> list[np.ndarray]:

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stationcast.functions.names import ref
-from stationcast.operators.buckets import bucket_offsets, keys_list, lookup_join
+from stationcast.operators.buckets import bucket_offsets, keys_list, lookup_join, time_bucket
 
 METHODS = ("standard", "minmax", "robust")
 _VALUE_BUCKETS = 65_536
 _SKETCH = 1_000
+_STRETCH_SECONDS = 10 * 86_400
 PARAMETERS = ("mean", "scale", "min", "median", "iqr")
 
 
@@ -139,12 +140,15 @@ def fit_scaler(
     method: str = "standard",
     keys: str | Sequence[str] = "station_id",
     split: str | None = "split",
+    ts: str | None = None,
 ) -> DataFrame:
     """Parameters per key and column: (keys, column, method, mean, scale, min, median, iqr).
 
     Only ``train`` rows are used when the ``split`` column is named; pass
     ``split=None`` for a table that holds train rows alone.  The standard
-    deviation is the population one and a zero width becomes 1.
+    deviation is the population one and a zero width becomes 1.  With ``ts`` the
+    standard scaler adds up short stretches of time and folds them in time order,
+    so that two runs over the same table agree to the last bit.
     """
     _require(method)
     keys = keys_list(keys)
@@ -158,6 +162,9 @@ def fit_scaler(
             "median", _or_one(F.col("_q3") - F.col("_q1")).alias("iqr"),
         )
 
+    if method == "standard" and ts is not None:
+        return _folded_standard(train, columns, keys, ts)
+
     def entry(c: str) -> Column:
         value = ref(c).cast("double")
         if method == "standard":
@@ -177,14 +184,56 @@ def fit_scaler(
     )
 
 
+def _folded_standard(train: DataFrame, columns: Sequence[str], keys: list[str], ts: str) -> DataFrame:
+    """Mean and population deviation from per-stretch moments, merged in time order.
+
+    A stretch lies in one or two halo buckets, so at most two partial moments meet in
+    Spark's own aggregation, and two merge alike in either order.
+    """
+    def moments(c: str) -> Column:
+        value = ref(c).cast("double")
+        return F.struct(
+            F.count(value).cast("double").alias("n"),
+            F.coalesce(F.avg(value), F.lit(0.0)).alias("m"),
+            F.coalesce(F.var_pop(value) * F.count(value), F.lit(0.0)).alias("q"),
+        )
+
+    stretches = train.groupBy(*keys, time_bucket(ref(ts), _STRETCH_SECONDS).alias("_at")).agg(
+        F.array(*[moments(c) for c in columns]).alias("_m")
+    )
+    per_column = stretches.select(*keys, "_at", F.posexplode("_m").alias("_i", "_m")).select(*keys, "_i", "_at", "_m.*")
+    # One entry per stretch, some hundred a year.
+    series = per_column.groupBy(*keys, "_i").agg(F.array_sort(F.collect_list(F.struct("_at", "n", "m", "q"))).alias("_s"))
+
+    def merged(a: Column, b: Column) -> Column:
+        n = a["n"] + b["n"]
+        gap = b["m"] - a["m"]
+        share = F.when(n > 0, b["n"] / n).otherwise(F.lit(0.0))
+        return F.struct(
+            n.alias("n"), (a["m"] + gap * share).alias("m"), (a["q"] + b["q"] + gap * gap * a["n"] * share).alias("q")
+        )
+
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("q"))
+    whole = series.select(*keys, "_i", F.aggregate("_s", zero, merged).alias("_w"))
+    known = F.col("_w.n") > 0
+    nothing = F.lit(None).cast("double")
+    names = F.array(*[F.lit(c) for c in columns])
+    return whole.select(
+        *keys, F.get(names, F.col("_i")).alias("column"), F.lit("standard").alias("method"),
+        F.when(known, F.col("_w.m")).alias("mean"), F.when(known, _or_one(F.sqrt(F.col("_w.q") / F.col("_w.n")))).alias("scale"),
+        nothing.alias("min"), nothing.alias("median"), nothing.alias("iqr"),
+    )
+
+
 def fit_target_scaler(
     df: DataFrame,
     target_column: str,
     method: str = "standard",
     keys: str | Sequence[str] = "station_id",
     split: str | None = "split",
+    ts: str | None = None,
 ) -> DataFrame:
-    return fit_scaler(df, [target_column], method, keys, split)
+    return fit_scaler(df, [target_column], method, keys, split, ts)
 
 
 def _centre_and_width(method: Column) -> tuple[Column, Column]:

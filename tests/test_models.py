@@ -292,3 +292,38 @@ def test_matrix_and_stacked_horizons(spark, regression):
     df = spark.createDataFrame([("s1", START, 1.0, 2.0, None)], "station_id string, ts_utc timestamp, t double, `t_t+1` double, `t_t+6` double")
     got = stack_horizons(df, "t", {"h01": 1, "h06": 6}, ["station_id", "ts_utc", "t"]).collect()
     assert [(r["horizon_label"], r["horizon_steps"], r["y_true"]) for r in got] == [("h01", 1, 2.0)]
+
+
+def test_metrics_do_not_depend_on_partitions(spark):
+    from stationcast.functions import scoring
+    from stationcast.operators.evaluate import evaluate_predictions
+
+    rng = np.random.default_rng(4)
+    truth = rng.normal(0, 1, 5_000) * 10.0 ** rng.integers(-6, 7, 5_000)
+    rows = [(f"s{i % 3}", float(t), float(t + e)) for i, (t, e) in enumerate(zip(truth, rng.normal(0, 0.3, 5_000)))]
+    rows += [("s0", float("nan"), 1.0), ("s1", 1.0, float("inf")), ("s2", None, 1.0)]
+    df = spark.createDataFrame(rows, "station_id string, y_true double, y_pred double")
+    found = []
+    for n in (1, 7, 200):
+        dealt = df.repartition(n, "y_pred")
+        found.append(sorted(map(str, evaluate_predictions(dealt, ["station_id"]).collect())))
+    assert found[0] == found[1] == found[2]
+    values = [r[2] for r in rows if np.isfinite(r[2])]
+    total = spark.createDataFrame([(v,) for v in values], "v double").agg(scoring.stable_sum(F.col("v")).alias("s")).first()["s"]
+    assert total == pytest.approx(math.fsum(values), rel=1e-15)
+    odd = spark.createDataFrame([(1, 2.0**100), (1, 1.0), (2, float("inf")), (3, None), (4, -0.25), (4, 2.0**-110)], "k int, v double")
+    sums = {r["k"]: r["s"] for r in odd.groupBy("k").agg(scoring.stable_sum(F.col("v")).alias("s")).collect()}
+    assert sums == {1: 2.0**100 + 1.0, 2: math.inf, 3: None, 4: -0.25 + 2.0**-110}
+
+
+def test_standard_scaler_folds_in_time_order(spark):
+    from stationcast.operators.scaling import fit_scaler
+
+    rng = np.random.default_rng(5)
+    values = 1013.0 + rng.normal(0, 4, 4_000)
+    rows = [("s1", START + timedelta(minutes=10 * i), float(v), None) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "station_id string, ts_utc timestamp, p double, none double")
+    runs = [fit_scaler(df.repartition(n), ["p", "none"], split=None, ts="ts_utc").orderBy("column").collect() for n in (1, 5)]
+    for none, p in runs:
+        assert (none["mean"], none["scale"]) == (None, None)
+        assert p["mean"] == pytest.approx(values.mean(), rel=1e-14) and p["scale"] == pytest.approx(values.std(), rel=1e-12)
