@@ -13,7 +13,7 @@ from stationcast.operators import baselines, linear, trees
 from stationcast.operators.evaluate import attach_skill, evaluate_predictions
 from stationcast.operators.features import make_supervised, select_feature_columns, stack_horizons
 from stationcast.operators.scaling import METHODS, apply_scaler, fit_scaler, fit_target_scaler, scalable_columns
-from stationcast.operators.splits import chronological_split, split_metadata
+from stationcast.operators.splits import chronological_split, split_boundaries, split_metadata
 from stationcast.session import new_path, stage
 from stationcast.sources.tables import write_metrics, write_per_horizon, write_predictions
 
@@ -69,7 +69,9 @@ def supervised_all(prepared: DataFrame, options: ExperimentOptions, lag_columns:
 
 
 def _split(df: DataFrame, options: ExperimentOptions, keys: list[str]) -> DataFrame:
-    return chronological_split(df, options.train, options.validation, keys, options.ts, options.on_empty)
+    """Rows in the order they had: the boundaries are stored, so that Spark sees how small they are."""
+    bounds = stage(split_boundaries(df, options.train, options.validation, keys, options.ts, options.on_empty), "split-bounds")
+    return chronological_split(df, keys=keys, ts=options.ts, boundaries=bounds)
 
 
 def baseline_experiment(supervised: DataFrame, options: ExperimentOptions) -> DataFrame:

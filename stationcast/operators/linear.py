@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 
 from stationcast.functions.names import ref
 from stationcast.operators.buckets import keys_list, lookup_join
-from stationcast.operators.splits import FOLDS, time_series_folds
+from stationcast.operators.splits import FOLDS, fold_limits, time_series_folds
+from stationcast.session import stage
 
 # Penalties tried, weakest first.
 RIDGE_ALPHAS = (0.1, 1.0, 10.0, 100.0)
@@ -149,7 +150,8 @@ def fit_ridge_cv(
     if not alphas:
         raise ValueError("at least one alpha is needed")
     keys = keys_list(keys)
-    blocked = time_series_folds(df, folds, keys, ts).withColumn("_folds", F.coalesce("n_folds", F.lit(0)))
+    limits = stage(fold_limits(df, folds, keys, ts), "fold-limits")  # small, and seen to be: the rows stay where they are
+    blocked = time_series_folds(df, folds, keys, ts, limits=limits).withColumn("_folds", F.coalesce("n_folds", F.lit(0)))
     gram = gram_statistics(blocked, features, label, [*keys, "_folds", "fold_block"])
     penalties = [float(a) for a in alphas]
 

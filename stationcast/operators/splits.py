@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,11 +13,14 @@ from stationcast.operators.buckets import BUCKET_SECONDS, keys_list, lookup_join
 
 SPLITS = ("train", "val", "test")
 FOLDS = 5
-_SCALE = 10_000  # fractions are taken as whole ten-thousandths: no binary rounding
 
 
-def _share(n: Column, fraction: float) -> Column:
-    return F.floor(n * F.lit(round(fraction * _SCALE)) / F.lit(float(_SCALE)))
+def _share(n: Column, *fractions: float) -> Column:
+    """``floor(n * sum of the fractions)``, taking each as the decimal number it is written as."""
+    part = sum((Fraction(repr(float(f))) for f in fractions), Fraction(0))
+    whole = n.cast("decimal(38,0)") * F.lit(part.numerator).cast("decimal(20,0)")
+    by = F.lit(part.denominator).cast("decimal(20,0)")
+    return ((whole - whole % by) / by).cast("bigint")
 
 
 def split_boundaries(
@@ -38,10 +42,10 @@ def split_boundaries(
         raise ValueError("fractions must leave room for train, validation and test rows")
     n = F.col("n")
     bounds = rank_boundaries(
-        df, keys, ts, {"train_end": _share(n, train), "val_end": _share(n, train + validation)}, bucket_seconds
+        df, keys, ts, {"train_end": _share(n, train), "val_end": _share(n, train, validation)}, bucket_seconds
     )
     if on_empty == "error":
-        n_train, n_val = _share(n, train), _share(n, train + validation)
+        n_train, n_val = _share(n, train), _share(n, train, validation)
         empty = (n_train < 1) | (n_val <= n_train) | (n_val >= n)
         problem = F.raise_error(F.lit("chronological split gives an empty train, validation or test part"))
         bounds = bounds.withColumn("n", F.when(empty, problem.cast("bigint")).otherwise(n))
@@ -86,32 +90,51 @@ def fold_count(n: Column, folds: int = FOLDS) -> Column:
     return F.least(F.lit(max(2, int(folds))), F.greatest(F.lit(2), n - 1))
 
 
-def time_series_folds(
+def fold_limits(
     df: DataFrame,
     folds: int = FOLDS,
     keys: str | Sequence[str] = "station_id",
     ts: str = "ts_utc",
     bucket_seconds: int = BUCKET_SECONDS,
 ) -> DataFrame:
-    """Add ``fold_block`` and ``n_folds`` for expanding-window validation.
-
-    With test size ``n // (k + 1)``, the rows of fold i (1..k) form block i and
-    its training rows are all earlier blocks; block 0 is only ever trained on.
-    A series with too few rows for any fold has ``n_folds`` NULL.
-    """
+    """Per key the number of folds and the last time of each block but the last."""
     keys = keys_list(keys)
     n = F.col("n")
     k = fold_count(n, folds)
     size = F.floor(n / (k + 1))
-    names = [f"_end{i}" for i in range(max(2, int(folds)))]
+    names = _fold_names(folds)
     ranks = {
         name: F.when((n > k) & (F.lit(i) < k), n - (k - i) * size) for i, name in enumerate(names)
     }
     bounds = rank_boundaries(df, keys, ts, ranks, bucket_seconds)
-    limits = bounds.select(*keys, F.when(n > k, k).cast("int").alias("n_folds"), *names)
+    return bounds.select(*keys, F.when(n > k, k).cast("int").alias("n_folds"), *names)
+
+
+def _fold_names(folds: int) -> list[str]:
+    return [f"_end{i}" for i in range(max(2, int(folds)))]
+
+
+def time_series_folds(
+    df: DataFrame,
+    folds: int = FOLDS,
+    keys: str | Sequence[str] = "station_id",
+    ts: str = "ts_utc",
+    bucket_seconds: int = BUCKET_SECONDS,
+    limits: DataFrame | None = None,
+) -> DataFrame:
+    """Add ``fold_block`` and ``n_folds`` for expanding-window validation.
+
+    With test size ``n // (k + 1)``, the rows of fold i (1..k) form block i and
+    its training rows are all earlier blocks; block 0 is only ever trained on.
+    A series with too few rows for any fold has ``n_folds`` NULL.  ``limits`` takes
+    what ``fold_limits`` gave, stored for example.
+    """
+    keys = keys_list(keys)
+    if limits is None:
+        limits = fold_limits(df, folds, keys, ts, bucket_seconds)
     joined = lookup_join(df, limits, keys, [ts])
     block = sum(
-        (F.when(F.col(name).isNotNull() & (ref(ts) > F.col(name)), 1).otherwise(0) for name in names), F.lit(0)
+        (F.when(F.col(name).isNotNull() & (ref(ts) > F.col(name)), 1).otherwise(0) for name in _fold_names(folds)), F.lit(0)
     )
     return joined.select(*[ref(c) for c in df.columns], block.cast("int").alias("fold_block"), "n_folds")
 

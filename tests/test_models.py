@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import math
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -316,6 +316,13 @@ def test_metrics_do_not_depend_on_partitions(spark):
     assert sums == {1: 2.0**100 + 1.0, 2: math.inf, 3: None, 4: -0.25 + 2.0**-110}
 
 
+def test_shares_are_taken_as_written(spark):
+    df = spark.range(300_000).select(F.lit("s1").alias("station_id"), F.timestamp_seconds(F.col("id") * 600).alias("ts_utc"))
+    cut = splits.split_boundaries(df, 0.33333, 0.1).first()
+    at = {c: int((cut[c] - datetime(1970, 1, 1)).total_seconds()) // 600 + 1 for c in ("train_end", "val_end")}
+    assert at == {"train_end": 99_999, "val_end": 129_999}
+
+
 def test_standard_scaler_folds_in_time_order(spark):
     from stationcast.operators.scaling import fit_scaler
 
