@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from stationcast.llm import text as tx
 from stationcast.llm.components import components
-from stationcast.llm.jaccard import class_sets, shingles
+from stationcast.llm.jaccard import class_rows, class_sets, named_texts, shingles
 from stationcast.llm.simhash import sure_links
 from stationcast.session import stage
 
@@ -203,15 +203,14 @@ def fingerprint_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "
 
 
 def _minhash_prints(docs: DataFrame, key: str, text: str) -> DataFrame:
-    schema = pa.schema([("doc", pa.int64()), ("fp", pa.binary())])
+    schema = pa.schema([("doc", pa.int64()), ("digest", pa.binary()), ("fp", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tx.small_batches(batches, "text", _CHUNK):
-            rows = signatures(batch.column(1)).astype(">u2")
-            yield tx.table_rows({"doc": batch.column(0), "fp": [x.tobytes() for x in rows]}, schema)
+            rows = signatures(batch.column(2)).astype(">u2")
+            yield tx.table_rows({"doc": batch.column(0), "digest": batch.column(1), "fp": [x.tobytes() for x in rows]}, schema)
 
-    named = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text"))
-    return named.mapInArrow(run, "doc bigint, fp binary")
+    return named_texts(docs, key, text).mapInArrow(run, "doc bigint, digest binary, fp binary")
 
 
 def _bands(fps: DataFrame) -> DataFrame:
@@ -229,9 +228,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     forests of the pairs that hold. Texts without words form one class.
     """
     prints = stage(_minhash_prints(docs, key, text), "minhash")
-    classes = stage(prints.groupBy("fp").agg(F.min("doc").alias("least")), "minhash-classes")
-    texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text"))
-    sure = sure_links(_bands(classes), class_sets(classes, texts, SHINGLE), similarity)
+    classes = stage(class_rows(prints), "minhash-classes")
+    sure = sure_links(_bands(classes), class_sets(classes, named_texts(docs, key, text), SHINGLE), similarity)
     roots = components(sure).withColumnRenamed("node", "fp")
     named = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))

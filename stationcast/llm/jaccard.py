@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stationcast.llm import text as tx
@@ -32,11 +32,31 @@ def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return tx.shingle_hashes(tx.span_hashes(tx.prefix_hashes(data), starts, ends), counts, size)
 
 
+def text_digest(text: Column) -> Column:
+    """16 bytes of the SHA-256 of a text, null being empty: with the key they name a row's content."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256), 1, 2 * DIGEST))
+
+
+def named_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``doc, digest, text`` of every row; the key is cast to bigint, and text that is no number raises."""
+    said = F.col(f"`{text}`")
+    return docs.select(F.col(f"`{key}`").cast("bigint").alias("doc"), text_digest(said).alias("digest"), said.alias("text"))
+
+
+def class_rows(prints: DataFrame) -> DataFrame:
+    """``fp, least, digest``: key and digest of the row that stands for each class of ``prints`` (``doc, digest, fp``).
+
+    The row of the smallest key, null last, and of the smallest digest among rows that share it.
+    """
+    least = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "digest"))
+    return prints.groupBy("fp").agg(least.alias("r")).select("fp", F.col("r.doc").alias("least"), "r.digest")
+
+
 def class_sets(classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """``fp, set``: the distinct shingles, in order, of the document that stands for each class.
 
-    ``classes`` names it by its key (``fp, least``), ``texts`` has ``doc, text``. Sets are
-    made once for each class.
+    ``classes`` are those of ``class_rows``, ``texts`` those of ``named_texts``. Sets are made
+    once for each class.
     """
     schema = pa.schema([("fp", pa.binary()), ("set", pa.list_(pa.int64()))])
 
@@ -47,27 +67,27 @@ def class_sets(classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
             own = [np.unique(hashes[e - c : e]).view(np.int64) for e, c in zip(ends, counts)]
             yield tx.table_rows({"fp": batch.column(0), "set": own}, schema)
 
-    # rows that share a key may differ in text; the class then takes one of them
-    members = classes.select("fp", F.col("least").alias("doc"))
-    chosen = members.join(texts, "doc").groupBy("fp").agg(F.min("text").alias("text"))
+    members = classes.select("fp", "least", F.col("digest").alias("own"))
+    same = F.col("doc").eqNullSafe(F.col("least")) & (F.col("digest") == F.col("own"))
+    chosen = members.join(texts, same).groupBy("fp").agg(F.min("text").alias("text"))  # repeated rows have equal texts
     return stage(chosen.mapInArrow(sets, "fp binary, set array<bigint>"), "shingle-sets")
 
 
 def set_prints(docs: DataFrame, *, key: str, text: str, size: int) -> DataFrame:
-    """``key, fp`` per row: a digest of the text's set of shingles, zero for texts without words."""
-    schema = pa.schema([("doc", pa.int64()), ("fp", pa.binary())])
+    """``doc, digest, fp`` per row: ``fp`` is a digest of the text's set of shingles, zero for texts without words."""
+    schema = pa.schema([("doc", pa.int64()), ("digest", pa.binary()), ("fp", pa.binary())])
 
     def digest(members: np.ndarray) -> bytes:
         return hashlib.blake2b(np.unique(members).tobytes(), digest_size=DIGEST).digest() if len(members) else bytes(DIGEST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tx.small_batches(batches, "text", 2 << 20):
-            hashes, counts = shingles(batch.column(1), size)
+            hashes, counts = shingles(batch.column(2), size)
             ends = np.cumsum(counts)
-            yield tx.table_rows({"doc": batch.column(0), "fp": [digest(hashes[e - c : e]) for e, c in zip(ends, counts)]}, schema)
+            fps = [digest(hashes[e - c : e]) for e, c in zip(ends, counts)]
+            yield tx.table_rows({"doc": batch.column(0), "digest": batch.column(1), "fp": fps}, schema)
 
-    named = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text"))
-    return named.mapInArrow(run, "doc bigint, fp binary").withColumnRenamed("doc", key)
+    return named_texts(docs, key, text).mapInArrow(run, "doc bigint, digest binary, fp binary")
 
 
 def _frequent(held: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -82,16 +102,17 @@ def _frequent(held: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(held: DataFrame, similarity: float) -> DataFrame:
-    """``bucket, fp, early``: for each set as many of its members, rarest first, as any set alike must share one of.
+    """``bucket, fp, early, size, left``: for each set as many of its members, rarest first, as any set alike must share one of.
 
     Two sets of that similarity share at least ``similarity`` times the size of either, so
     in one order of all members the first of those they share lies in both prefixes. Any
     order does; that of the frequencies in a sample keeps common passages out of the
     prefixes. In the smaller set the first shared member has at least ``2 s / (1 + s)`` of
     its size left, itself included: ``early`` marks those places, one of which a bucket needs.
+    ``size`` is the set's and ``left`` what it has from that member on.
     """
     frequent = held.sparkSession.sparkContext.broadcast(_frequent(held))
-    schema = pa.schema([("bucket", pa.int64()), ("fp", pa.binary()), ("early", pa.bool_())])
+    schema = pa.schema([("bucket", pa.int64()), ("fp", pa.binary()), ("early", pa.bool_()), ("size", pa.int32()), ("left", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members, n = frequent.value
@@ -101,6 +122,8 @@ def prefixes(held: DataFrame, similarity: float) -> DataFrame:
             flat, ends = np.asarray(batch.column(1).values), np.asarray(batch.column(1).offsets)
             buckets: list[np.ndarray] = []
             early: list[np.ndarray] = []
+            sizes: list[np.ndarray] = []
+            lefts: list[np.ndarray] = []
             for k in range(len(fps)):
                 own = flat[ends[k] : ends[k + 1]]
                 take = len(own) - math.ceil(similarity * len(own)) + 1 if len(own) else 0
@@ -110,12 +133,18 @@ def prefixes(held: DataFrame, similarity: float) -> DataFrame:
                 buckets.append(own[:take])
                 left = len(own) - np.arange(len(buckets[-1]))
                 early.append(left >= share * len(own) - 1e-6)  # roundings only let more pass
+                sizes.append(np.full(len(left), len(own)))
+                lefts.append(left)
             counts = np.array([len(x) for x in buckets])
             places = pa.array(np.repeat(np.arange(len(fps)), counts))
             if len(fps):
-                yield tx.table_rows({"bucket": np.concatenate(buckets), "fp": batch.column(0).take(places), "early": np.concatenate(early)}, schema)
+                numbers = {"early": early, "size": sizes, "left": lefts}
+                yield tx.table_rows(
+                    {"bucket": np.concatenate(buckets), "fp": batch.column(0).take(places), **{c: np.concatenate(x) for c, x in numbers.items()}},
+                    schema,
+                )
 
-    return held.select("fp", "set").mapInArrow(run, "bucket bigint, fp binary, early boolean")
+    return held.select("fp", "set").mapInArrow(run, "bucket bigint, fp binary, early boolean, size int, left int")
 
 
 def alike(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:

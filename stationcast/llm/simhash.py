@@ -20,12 +20,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stationcast.llm import text as tx
 from stationcast.llm.components import components
-from stationcast.llm.jaccard import DIGEST, alike, class_sets, prefixes, set_prints, shingles
+from stationcast.llm.jaccard import alike, class_rows, class_sets, named_texts, prefixes, set_prints, shingles, text_digest
 from stationcast.session import stage
 
 #: Rows of a bucket that are compared in one block; larger buckets are cut into tiles of this size.
@@ -332,25 +332,66 @@ def _by_place(placed: DataFrame) -> DataFrame:
     return placed.repartition(parts, "place").sortWithinPartitions("place")
 
 
-def _led_buckets(dealt: DataFrame) -> DataFrame:
-    """Buckets that share their first member (by a hash) as one; buckets of one row, or without an ``early`` one, go.
+def _shared_buckets(dealt: DataFrame, similarity: float) -> DataFrame:
+    """``bucket, fp`` where more than one class is dealt; buckets that share their first member (by a hash) are one.
 
     The many buckets of a group of near copies become a few, so a set is moved a few times
-    only, and every pair of a bucket stays together.
+    only, and every pair of a bucket stays together. Of the buckets of prefixes those go that
+    have no ``early`` place, and those of two classes whose sizes, or what both have left
+    from the shared member on, cannot make the similarity: at the first member that an alike
+    pair shares they can.
     """
-    own = Window.partitionBy("bucket")
-    early = F.max("early").over(own) if "early" in dealt.columns else F.lit(True)
-    seen = dealt.withColumn("lead", F.min(F.xxhash64("fp")).over(own)).withColumn("n", F.count(F.lit(1)).over(own))
-    useful = seen.withColumn("useful", early).filter("n > 1 and useful")
-    return stage(useful.select(F.col("lead").alias("bucket"), "fp").distinct(), "led-buckets")
+    sums = [F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("fp")).alias("lead")]
+    useful = F.col("n") > 1
+    if "early" in dealt.columns:
+        sums += [F.max("early").alias("early"), F.min("size").alias("least"), F.max("size").alias("most"), F.min("left").alias("left")]
+        sums += [F.sum("size").alias("both")]
+        possible = (F.col("least") >= F.col("most") * similarity - 1e-6) & (
+            F.col("left") * (1 + similarity) >= F.col("both") * similarity - 1e-6
+        )
+        useful = useful & F.col("early") & ((F.col("n") > 2) | possible)
+    kept = dealt.groupBy("bucket").agg(*sums).filter(useful).select("bucket", "lead")
+    return stage(dealt.join(kept, "bucket").select(F.col("lead").alias("bucket"), "fp").distinct(), "shared-buckets")
+
+
+def _tile(tiles: Column) -> Column:
+    return F.pmod(F.xxhash64("fp", F.lit(1)), tiles).cast("int")
+
+
+def _first_places(rows: DataFrame, most: int) -> DataFrame:
+    """``place, fp``: every class once, in its largest bucket, and the bucket's first class in each of its tiles."""
+    sized = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("pivot"))
+    best = F.max_by(F.struct("bucket", "n", "pivot"), F.struct("n", "bucket"))
+    own = rows.join(sized, "bucket").groupBy("fp").agg(best.alias("b")).select("fp", "b.*")
+    placed = own.withColumn("place", F.xxhash64("bucket", _tile(F.ceil(F.col("n") / most)))).select("place", "fp", "pivot")
+    return placed.select("place", "fp").unionByName(placed.select("place", F.col("pivot").alias("fp"))).distinct()
+
+
+def _other_places(rows: DataFrame, roots: DataFrame, most: int) -> DataFrame:
+    """``place, fp`` of the buckets that still hold several components.
+
+    Classes of a bucket's largest component are dealt to its tiles, all others go to every
+    tile: each pair of different components meets, and pairs of the largest need not.
+    """
+    known = rows.join(roots, F.col("fp") == F.col("node"), "left").select("bucket", "fp", F.coalesce("root", "fp").alias("root"))
+    parts = known.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("major")
+    )
+    mixed = mixed.filter("roots > 1").select("bucket", "major", F.ceil(F.col("n") / most).cast("int").alias("tiles"))
+    tiles = F.when(F.col("root") == F.col("major"), F.array(_tile(F.col("tiles")))).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1))
+    return known.join(mixed, "bucket").select("bucket", "fp", F.explode(tiles).alias("tile")).select(F.xxhash64("bucket", "tile").alias("place"), "fp")
 
 
 def sure_links(dealt: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
-    """Links ``a, b`` of classes in a ``bucket`` whose sets are at least ``similarity`` alike, a spanning forest per bucket.
+    """Links ``a, b`` of classes in a ``bucket`` whose sets are at least ``similarity`` alike, spanning forests.
 
     ``dealt`` has ``bucket, fp``, ``held`` the sets (``fp, set``), which come along with the
-    rows: every pair of a bucket is judged by its exact similarity before the forest is
-    taken, so the forest keeps all components of the pairs that hold.
+    rows. Pairs are judged by their exact similarity before a forest is taken. First every
+    class is compared in its largest bucket alone, in tiles that share one member; that joins
+    most copies. Then only buckets that still hold several components are compared, each
+    pair of different components in them, so the links have all components of the pairs
+    that hold, and a bucket of one group of copies costs its rows and not their pairs.
     """
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
@@ -383,8 +424,13 @@ def sure_links(dealt: DataFrame, held: DataFrame, similarity: float) -> DataFram
         x, y = links(fps, sets)
         yield tx.table_rows({"a": x, "b": y}, schema)
 
-    placed = _placed(_led_buckets(dealt), TILE // 4)
-    return stage(_by_place(placed.join(held, "fp").select("place", "fp", "set")).mapInArrow(run, "a binary, b binary"), "sure-links")
+    def compared(placed: DataFrame) -> DataFrame:
+        rows = _by_place(placed.join(held, "fp").select("place", "fp", "set"))
+        return stage(rows.mapInArrow(run, "a binary, b binary"), "sure-links")
+
+    rows = _shared_buckets(dealt, similarity)
+    first = compared(_first_places(rows, TILE // 4))
+    return first.unionByName(compared(_other_places(rows, components(first), TILE // 4)))
 
 
 def near_fingerprints(fps: DataFrame, radius: int, groups: list[list[int]]) -> DataFrame:
@@ -426,21 +472,37 @@ def near_duplicate_groups(
     fingerprints only estimates it and decides nothing here. Texts without words form a
     group of their own.
     """
+    prints, named = _near_classes(docs, key, text, size, similarity)
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_print = stage(named.join(least, "root").select(F.col("fp").alias("own"), "component_id"), "components")
+    return prints.join(by_print, F.col("fp") == F.col("own")).select(F.col("doc").alias(key), "fp", "component_id")
+
+
+def _near_classes(docs: DataFrame, key: str, text: str, size: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The rows' classes (``doc, digest, fp``), and of each class its row and component (``fp, least, digest, root``)."""
     prints = stage(set_prints(docs, key=key, text=text, size=size), "prints")
-    classes = _classes(prints, key)
-    texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text"))
-    held = class_sets(classes, texts, size)
-    sure = sure_links(prefixes(held, similarity), held, similarity)
-    return _named_components(prints, classes, sure, key)
+    classes = stage(class_rows(prints), "set-classes")
+    held = class_sets(classes, named_texts(docs, key, text), size)
+    roots = components(sure_links(prefixes(held, similarity), held, similarity)).withColumnRenamed("node", "fp")
+    return prints, stage(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "near-classes")
 
 
-def keep_one_per_group(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest key; same columns.
+def keep_one_per_group(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """One document of each near-duplicate group; same columns.
 
-    Rows that share a key with it stay too; documents without any word are no copies of
-    each other and stay; so do rows without a key.
+    A row is known by its key and its text. Of a group the row with the smallest key stays,
+    a null key being the largest, and of several texts with that key the one of the smallest
+    digest; of rows that repeat both, one stays. Rows of another text that share its key are
+    judged by their own text. Documents without any word are no copies of each other and stay.
     """
-    groups = near_duplicate_groups(docs, key=key, text=text, **options)
-    empty = F.unhex(F.repeat(F.lit("00"), DIGEST))
-    gone = groups.filter((F.col("fp") != empty) & (F.col(key) > F.col("component_id"))).select(F.col(key).alias("gone_key")).distinct()
-    return docs.join(gone, F.col(f"`{key}`") == F.col("gone_key"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    _, named = _near_classes(docs, key, text, size, similarity)
+    best = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "digest"))
+    kept = named.groupBy("root").agg(best.alias("r")).select(F.col("r.least").alias("_kept_key"), F.col("r.digest").alias("_kept_text"))
+    said = F.col(f"`{text}`")
+    wordy = F.coalesce(said.rlike(tx.WORD), F.lit(False))
+    marked = docs.withColumn("_key", F.col(f"`{key}`").cast("bigint")).withColumn("_text", text_digest(said))
+    same = F.col("_key").eqNullSafe(F.col("_kept_key")) & (F.col("_text") == F.col("_kept_text"))
+    first = marked.filter(wordy).join(kept, same, "left_semi").dropDuplicates(["_key", "_text"])
+    return first.unionByName(marked.filter(~wordy)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -227,6 +227,48 @@ def test_one_of_each_group_stays(docs, none):
     assert simhash.keep_one_per_group(none).count() == 0
 
 
+def test_rows_are_known_by_key_and_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = a.replace("a39", "z")
+    rows = [(1, a, "x"), (2, a, "y"), (2, b, "z"), (None, c, "x"), (None, c, "x"), (3, c, "y"), (None, near, "x"), (4, b, "z"), (4, b, "z"), (5, "", "x"), (5, "", "x"), (None, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, digest string")
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one_per_group(df).collect()), key=str)
+    # the unique text b of key 2 stays though another row of key 2 is a copy; copies without a key go
+    assert kept == sorted([(1, a), (2, b), (3, c), (5, ""), (5, ""), (None, None)], key=str)
+    none = spark.createDataFrame([(None, c), (None, c), (None, c + " more")], "doc_id bigint, text string")
+    assert simhash.keep_one_per_group(none).count() == 1
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_kept_rows_against_brute_force(spark, monkeypatch, seed):
+    monkeypatch.setattr(simhash, "TILE", 16)  # several tiles to a bucket, and places of the second comparison
+    rng = np.random.default_rng(seed)
+    bases = [[f"w{seed}{g}x{i}" for i in range(60)] for g in range(5)]
+    rows = []
+    for i in range(160):
+        words = list(bases[int(rng.choice([0, 0, 0, 0, 1, 2, 3, 4]))])
+        for at in rng.integers(0, 60, int(rng.integers(0, 6))):
+            words[at] = f"e{int(rng.integers(0, 400))}"
+        rows.append((int(rng.integers(0, 120)) if rng.random() < 0.9 else None, " ".join(words)))
+    sets = [shingles(t, 5) for _, t in rows]
+    links = [
+        (i, j) for i, j in itertools.combinations(range(len(rows)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    ]
+    groups = collections.defaultdict(list)
+    for i, root in find_roots(range(len(rows)), links).items():
+        groups[root].append(i)
+    digest = [hashlib.sha256(t.encode()).digest()[:16] for _, t in rows]
+    want = []
+    for members in groups.values():
+        classes = collections.defaultdict(list)
+        for i in members:
+            classes[frozenset(sets[i])].append((rows[i][0] is None, rows[i][0] or 0, digest[i], rows[i]))
+        want.append(min(min(c) for c in classes.values())[3])
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [tuple(r) for r in simhash.keep_one_per_group(df).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_fingerprints_of_neighbours(docs, none):
     rows = [r for r in TEXTS]
     got = fingerprints.fingerprint_documents(docs).collect()
