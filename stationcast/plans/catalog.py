@@ -21,6 +21,7 @@ from stationcast.operators import (
     features,
     grid,
     linear,
+    model_store,
     prepare,
     runs,
     scaling,
@@ -804,9 +805,7 @@ def scale_target(spark, sf_dir):
 _SEQ = 3
 
 
-@register(
-    "sequence_windows",
-    query(
+_SEQUENCE_SQL = query(
         f"""SELECT station_id, ts_utc, split, """
         + ", ".join(
             f"round(lag({c}, {_SEQ - 1 - i}) OVER w + 3.7e-9, 6) + 0.0 AS s{i}_{c}" for i in range(_SEQ) for c in ("temp_c", "rh_pct")
@@ -816,14 +815,27 @@ _SEQ = 3
         QUALIFY row_number() OVER w >= """
         + str(_SEQ),
         ("split1",),
-    ),
-)
+    )
+
+
+@register("sequence_windows", _SEQUENCE_SQL)
 def sequence_windows(spark, sf_dir):
     rows = sequences.sequence_windows(fx.split_rows(spark, sf_dir, 1), ["temp_c", "rh_pct"], target_column("temp_c", 1), _SEQ)
     steps = [F.col("sequence")[i][j].alias(f"s{i}_{c}") for i in range(_SEQ) for j, c in enumerate(("temp_c", "rh_pct"))]
     return rows.select("station_id", "ts_utc", "split", *steps, "label")
 
 
+@register("sequence_store", _SEQUENCE_SQL)
+def sequence_store(spark, sf_dir):
+    """The same windows, cut from a store that holds every row about once."""
+    path = new_path(spark, "sequence-store")
+    names = ["temp_c", "rh_pct"]
+    sequences.write_sequence_store(fx.split_rows(spark, sf_dir, 1), names, target_column("temp_c", 1), _SEQ, path, chunk_rows=64)
+    rows = sequences.read_sequence_store(spark, path)
+    steps = [F.col("sequence")[i][j].alias(f"s{i}_{c}") for i in range(_SEQ) for j, c in enumerate(names)]
+    return rows.select("station_id", "ts_utc", "split", *steps, "label")
+
+
 @register(
     "sequence_targets",
     query(
@@ -1283,6 +1295,19 @@ def verify_splits(spark, sf_dir):
     )
 
 
+@register(
+    "split_digest",
+    query(
+        """SELECT station_id, split, count(*) AS n_rows,
+        CAST(sum(CAST('0x' || substr(m, 1, 15) AS BIGINT)) AS VARCHAR) || '-' || CAST(sum(CAST('0x' || substr(m, 16, 15) AS BIGINT)) AS VARCHAR) AS digest
+        FROM (SELECT station_id, split, md5(station_id || chr(31) || CAST(epoch_us(ts_utc) AS VARCHAR)) AS m FROM split1) GROUP BY ALL""",
+        ("split1",),
+    ),
+)
+def split_digest(spark, sf_dir):
+    return runs.split_digest(fx.split_rows(spark, sf_dir, 1))
+
+
 @register(
     "discover_horizons",
     query(
@@ -1308,6 +1333,32 @@ def ols_1d(spark, sf_dir):
     return models.select("station_id", "y_offset", F.col("coefficients")[0].alias("slope"), "n")
 
 
+@register(
+    "stored_model_scoring",
+    query(
+        " UNION ALL ".join(
+            f"""SELECT t.station_id, '{label}' AS horizon_label, {h} AS horizon_steps, ts_utc, 'linear_regression' AS model,
+            round(intercept + slope * temp_c + 3.7e-9, 6) + 0.0 AS y_pred FROM split{h} t JOIN ols{h} m ON m.station_id = t.station_id
+            WHERE split = 'test'"""
+            for h, label in ((1, "h01"), (6, "h06"))
+        ),
+        ("split1", "split6", "ols1", "ols6"),
+    ),
+)
+def stored_model_scoring(spark, sf_dir):
+    """All horizons in one fit; the models are stored, read again and joined to the test rows."""
+    parts = []
+    for h, label in ((1, "h01"), (6, "h06")):
+        y = F.col(f"`{target_column('temp_c', h)}`")
+        one = fx.split_rows(spark, sf_dir, h).select("station_id", "ts_utc", "temp_c", "split", y.alias("y_true"))
+        parts.append(one.withColumn("horizon_label", F.lit(label)).withColumn("horizon_steps", F.lit(h)))
+    stacked = parts[0].unionByName(parts[1])
+    path = new_path(spark, "models")
+    model_store.save_models(model_store.fit_horizons(stacked, ["temp_c"], "linear_regression"), path, "run-1")
+    scored = model_store.score_horizons(stacked.where(F.col("split") == "test"), model_store.load_models(spark, path))
+    return scored.select("station_id", "horizon_label", "horizon_steps", "ts_utc", "model", "y_pred")
+
+
 _RIDGE_SQL = query(
     """, blocks AS (SELECT station_id, n_folds, fold_block, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS xx,
     sum(x * y) AS xy, sum(y * y) AS yy FROM folded GROUP BY ALL),

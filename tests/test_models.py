@@ -334,3 +334,90 @@ def test_standard_scaler_folds_in_time_order(spark):
     for none, p in runs:
         assert (none["mean"], none["scale"]) == (None, None)
         assert p["mean"] == pytest.approx(values.mean(), rel=1e-14) and p["scale"] == pytest.approx(values.std(), rel=1e-12)
+
+
+def test_sequence_store_gives_the_same_windows(spark, tmp_path):
+    n = 3_000
+    df = spark.range(n).select(
+        F.when(F.col("id") < 200, "s2").otherwise("s1").alias("station_id"),
+        F.timestamp_seconds(F.col("id") * 600).alias("ts_utc"),
+        *[(F.rand(i) * 100).alias(f"x{i}") for i in range(6)],
+        F.col("id").cast("double").alias("y"),
+    )
+    df = spark.createDataFrame(df.toPandas())
+    names = [f"x{i}" for i in range(6)]
+    for length, rows in ((1, 50), (7, 7), (30, 64), (144, None), (250, 300)):
+        path = str(tmp_path / f"store-{length}")
+        sequences.write_sequence_store(df, names, "y", length, path, "station_id", chunk_rows=rows)
+        order = ["station_id", "ts_utc"]
+        got = sequences.read_sequence_store(spark, path).orderBy(*order).toPandas()
+        want = sequences.sequence_windows(df, names, "y", length, "station_id").orderBy(*order).toPandas()
+        assert len(got) == len(want) == n - 200 - length + 1 + max(0, 200 - length + 1)
+        assert got["label"].tolist() == want["label"].tolist()
+        for a, b in zip(got["sequence"][:: max(1, len(got) // 20)], want["sequence"][:: max(1, len(want) // 20)]):
+            np.testing.assert_array_equal(np.array(list(a)).ravel(), np.concatenate([np.asarray(x) for x in b]))
+    # with the default chunks a series is stored once and a little
+    chunks = spark.read.parquet(str(tmp_path / "store-144") + "/chunks")
+    held = chunks.select(F.sum(F.size("values"))).first()[0]
+    assert held == n * 6
+    long = spark.range(40_000).select(F.lit("s").alias("station_id"), F.timestamp_seconds(F.col("id") * 600).alias("ts_utc"), F.col("id").cast("double").alias("x"))
+    sequences.write_sequence_store(long, ["x"], "x", 144, str(tmp_path / "long"), "station_id")
+    assert spark.read.parquet(str(tmp_path / "long/chunks")).select(F.sum(F.size("values"))).first()[0] <= 1.1 * 40_000
+    some = sequences.read_sequence_store(spark, str(tmp_path / "long"), F.col("label") == 30_000.0).first()
+    assert [x[0] for x in some["sequence"]] == [30_000.0 - 143 + i for i in range(144)]
+    with pytest.raises(ValueError, match="whole sequence"):
+        sequences.write_sequence_store(df, names, "y", 9, str(tmp_path / "no"), "station_id", chunk_rows=8)
+
+
+def test_digests_see_an_exchanged_row(spark):
+    from stationcast.operators import runs
+
+    a = series(spark, range(60)).withColumn("split", F.when(F.col("temp_c") < 40, "train").otherwise("test"))
+    swapped = F.when(F.col("temp_c") == 20, "test").when(F.col("temp_c") == 50, "train").otherwise(F.col("split"))
+    b = a.withColumn("split", swapped)
+    one, two = runs.split_digest(a), runs.split_digest(b)
+    assert [r["n_rows"] for r in one.orderBy("split").collect()] == [r["n_rows"] for r in two.orderBy("split").collect()]
+    assert {r["same"] for r in runs.compare_digests(one, two).collect()} == {False}
+    again = runs.split_digest(a.repartition(7))
+    assert {r["same"] for r in runs.compare_digests(one, again).collect()} == {True}
+    assert {r["split"]: r["same"] for r in runs.compare_digests(one, again.where("split = 'test'")).collect()} == {"test": True, "train": False}
+
+
+def test_stored_models_of_all_horizons(spark, tmp_path):
+    from stationcast.operators import model_store
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for station in ("s1", "s2"):
+        for label, steps in (("h01", 1), ("h06", 6)):
+            for i in range(120):
+                a, b = float(1013 + rng.normal(0, 5)), float(rng.normal(0, 1))
+                y = 0.5 * a + steps * b + float(rng.normal(0, 0.1))
+                rows.append((station, START + timedelta(hours=i), a, b, label, steps, y, "train" if i < 90 else "test"))
+    schema = "station_id string, ts_utc timestamp, a double, b double, horizon_label string, horizon_steps int, y_true double, split string"
+    df = spark.createDataFrame(rows, schema)
+    path = str(tmp_path / "models")
+    for name in ("ridge", "linear_regression"):
+        model_store.save_models(model_store.fit_horizons(df, ["a", "b"], name), path, f"v-{name}")
+    one = df.where("station_id = 's2' and horizon_label = 'h06'")
+    for name in ("ridge", "linear_regression"):
+        models = model_store.load_models(spark, path, f"v-{name}")
+        assert models.count() == 4
+        test = df.where("split = 'test'")
+        scored = model_store.score_horizons(test, models)
+        got = {r["ts_utc"]: r["y_pred"] for r in scored.where("station_id = 's2' and horizon_label = 'h06'").collect()}
+        # the same horizon by the single steps
+        params = scaling.fit_scaler(one, ["a", "b"])
+        scaled = scaling.apply_scaler(one, params, ["a", "b"])
+        train = scaled.where("split = 'train'")
+        fitted = linear.fit_ridge_cv(train, ["a", "b"], "y_true") if name == "ridge" else linear.fit_ols(train, ["a", "b"], "y_true")
+        want = linear.predict_linear(scaled.where("split = 'test'"), fitted, ["a", "b"]).collect()
+        assert len(got) == len(want) == 30
+        for r in want:
+            assert got[r["ts_utc"]] == pytest.approx(r["y_pred"], abs=1e-8)
+        # rows without a horizon meet the models of all
+        plain = test.where("horizon_label = 'h01'").drop("horizon_label", "horizon_steps", "y_true")
+        assert model_store.score_horizons(plain, models).groupBy("horizon_label").count().orderBy("horizon_label").collect()[0]["count"] == 60
+    assert model_store.load_models(spark, path).select("version").distinct().collect()[0][0] == "v-ridge"
+    with pytest.raises(ValueError, match="features missing"):
+        model_store.score_horizons(df.drop("a"), model_store.load_models(spark, path))
