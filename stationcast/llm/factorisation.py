@@ -58,7 +58,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(offsets) - 1
     lowered = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
     starts, ends, counts = tx.word_spans(lowered, offsets)
-    slot = (tx.span_hashes(tx.prefix_hashes(lowered), starts, ends) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+    slot = (tx.content_hashes(lowered, starts, ends) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
     owner = np.repeat(np.arange(n, dtype=np.int64), counts)
     key, times = np.unique((owner << WORD_BITS) | slot, return_counts=True)
     value = np.log1p(times)

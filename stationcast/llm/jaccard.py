@@ -29,7 +29,7 @@ def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of ``size`` words of each text, and how many each text has."""
     data, offsets = tx.batch_bytes(texts)
     starts, ends, counts = tx.word_spans(data, offsets)
-    return tx.shingle_hashes(tx.span_hashes(tx.prefix_hashes(data), starts, ends), counts, size)
+    return tx.shingle_hashes(tx.content_hashes(data, starts, ends), counts, size)
 
 
 def text_digest(text: Column) -> Column:

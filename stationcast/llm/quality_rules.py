@@ -69,8 +69,7 @@ def batch_statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     data, offsets = tx.batch_bytes(texts)
     n = len(offsets) - 1
     starts, ends, counts = tx.word_spans(data, offsets)
-    sums = tx.prefix_hashes(data)
-    words = tx.span_hashes(sums, starts, ends)
+    words = tx.content_hashes(data, starts, ends)
     owner = np.repeat(np.arange(n), counts)
     salt = tx.mix64(np.arange(n, dtype=np.uint64) + np.uint64(1))
     # three-word windows; a text of fewer words has none
@@ -99,7 +98,7 @@ def batch_statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     inside = np.zeros(len(data) + 1, dtype=np.int64)
     np.cumsum(~tx._IS_SPACE[data], out=inside[1:])
     wordy = np.flatnonzero(inside[line_ends] > inside[line_starts])
-    lines = tx.span_hashes(sums, line_starts[wordy], line_ends[wordy]) ^ salt[line_owner[wordy]]
+    lines = tx.content_hashes(data, line_starts[wordy], line_ends[wordy]) ^ salt[line_owner[wordy]]
     _, later = _repeated(lines)
     lead = (data & 0xC0) != 0x80
     return {

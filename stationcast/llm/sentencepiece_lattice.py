@@ -290,7 +290,7 @@ class ChunkTable:
 
 def chunk_hashes(chunks: pa.Array) -> np.ndarray:
     data, offsets = tx.batch_bytes(chunks)
-    return tx.span_hashes(tx.prefix_hashes(data), offsets[:-1], offsets[1:])
+    return tx.content_hashes(data, offsets[:-1], offsets[1:])
 
 
 def _places(texts: list[str | None], known: ChunkTable, chunks: re.Pattern) -> tuple[np.ndarray, list[int], dict[int, str]]:

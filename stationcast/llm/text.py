@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,8 +70,39 @@ def _geometric(base: int, n: int) -> np.ndarray:
     return out
 
 
+#: Bytes above which a span is hashed on its own.
+_LONG_SPAN = 1024
+
+
+def content_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans, eight bytes after the other through a mixer; XXH64 for long spans.
+
+    Unlike polynomial sums, these have no pairs of texts that collide whatever the base.
+    """
+    starts, sizes = np.asarray(starts, dtype=np.int64), np.asarray(ends - starts, dtype=np.int64)
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eights = np.ndarray(len(padded) - 7, dtype="<u8", buffer=padded, strides=(1,))
+    found = mix64(sizes.astype(np.uint64) + np.uint64(_BASE))
+    short = np.flatnonzero(sizes <= _LONG_SPAN)
+    short = short[np.argsort(-sizes[short], kind="stable")]
+    falling = -sizes[short]
+    for k in range(0, _LONG_SPAN, 8):
+        now = short[: np.searchsorted(falling, -k, side="left")]  # spans that go on beyond k bytes
+        if not len(now):
+            break
+        left = np.minimum(sizes[now] - k, 8).astype(np.uint64)
+        part = eights[starts[now] + k] & (np.uint64(_MASK) >> (np.uint64(64) - np.uint64(8) * left))
+        found[now] = mix64(mix64(found[now] ^ part) + part * np.uint64(0xD6E8FEB86659FD93))
+    for i in np.flatnonzero(sizes > _LONG_SPAN):
+        found[i] = xxhash.xxh64_intdigest(data[starts[i] : starts[i] + sizes[i]].tobytes(), seed=_BASE >> 1)
+    return found
+
+
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """Polynomial sums before each byte; ``span_hashes`` takes spans from them."""
+    """Polynomial sums before each byte; ``span_hashes`` takes overlapping spans from them.
+
+    Texts can be constructed whose spans collide, so a match found by these is only a hint.
+    """
     up, _ = _Powers.to(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])

@@ -26,6 +26,7 @@ from stationcast.llm import (
     sentencepiece_lattice,
     simhash,
     suffix_dedup,
+    text,
     url_filter,
 )
 
@@ -239,6 +240,38 @@ def test_rows_are_known_by_key_and_text(spark):
     assert simhash.keep_one_per_group(none).count() == 1
 
 
+def thue_morse(n, a, b):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_constructed_texts_do_not_collide(spark):
+    for n in (512, 1024, 2048, 4096):
+        for a, b in ("ab", "xy", "09"):
+            one, two = thue_morse(n, a, b), thue_morse(n, b, a)
+            data, offsets = text.batch_bytes(pa.array([one, two, one]))
+            h = text.content_hashes(data, offsets[:-1], offsets[1:])
+            assert h[0] != h[1] and h[0] == h[2]
+    one, two = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    stats = quality_rules.batch_statistics(pa.array([f"{one}\n{two}\n{one}", f"{one} x y {two} x y"]))
+    assert stats["n_dup_lines"].tolist() == [1, 0] and stats["n_repeat_words"].tolist() == [0, 0]
+    prints = fingerprints.fingerprint_documents(spark.createDataFrame([(1, one), (2, two)], "doc_id bigint, text string")).collect()
+    assert prints[0]["fingerprint"] != prints[1]["fingerprint"]
+
+
+def test_content_hashes_follow_the_bytes():
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 3, 4000).astype(np.uint8)
+    starts = rng.integers(0, 3980, 600)
+    ends = np.minimum(starts + rng.integers(0, 12, 600), 4000)
+    ends[:20] = np.minimum(starts[:20] + 2000, 4000)
+    h = text.content_hashes(data, starts, ends)
+    known = {}
+    for a, b, x in zip(starts, ends, h.tolist()):
+        assert known.setdefault(data[a:b].tobytes(), x) == x
+    assert len(set(known.values())) == len(known)
+    assert len(text.content_hashes(data[:0], starts[:0], ends[:0])) == 0
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_kept_rows_against_brute_force(spark, monkeypatch, seed):
     monkeypatch.setattr(simhash, "TILE", 16)  # several tiles to a bucket, and places of the second comparison
