@@ -112,21 +112,32 @@ def _blocks(pdf: pd.DataFrame, block: str | None) -> list[np.ndarray]:
 
 
 class _Ridge:
-    """Ridge solutions of one Gram matrix for any penalty; target centred, features not."""
+    """Ridge solutions for any penalty; target centred, features not.
 
-    def __init__(self, gram: np.ndarray):
-        p = len(gram) - 2
-        self.offset = gram[p, p + 1] / gram[p + 1, p + 1]
-        self.roots, self.vectors = np.linalg.eigh(gram[:p, :p])
-        self.moment = self.vectors.T @ (gram[:p, p] - self.offset * gram[:p, p + 1])
+    ``gram`` is that of ``Z`` less ``shift`` in every row (zero for the last column).
+    """
+
+    def __init__(self, gram: np.ndarray, shift: np.ndarray):
+        p, n = len(gram) - 2, gram[-1, -1]
+        low = gram[p, p + 1] / n
+        self.offset = shift[p] + low
+        sums = gram[:p, p + 1]
+        # ``XᵀX`` is the scatter about the mean plus one large direction, which is kept apart.
+        self.roots, self.vectors = np.linalg.eigh(gram[:p, :p] - np.outer(sums, sums) / n)
+        self.n, self.mean = n, self.vectors.T @ (shift[:p] + sums / n)
+        # what is left of the target adds up to zero, so the features' shift drops out
+        self.moment = self.vectors.T @ (gram[:p, p] - low * sums)
 
     def weights(self, alpha: float) -> np.ndarray:
-        return self.vectors @ (self.moment / (np.maximum(self.roots, 0.0) + alpha))
+        size = np.maximum(self.roots, 0.0) + alpha
+        free, mean = self.moment / size, self.mean / size
+        return self.vectors @ (free - mean * (self.mean @ free) / (1 / self.n + self.mean @ mean))
 
 
-def _error(gram: np.ndarray, weights: np.ndarray, offset: float) -> float:
-    """RMSE on the rows behind ``gram`` of ``offset + x·weights``."""
+def _error(gram: np.ndarray, shift: np.ndarray, weights: np.ndarray, offset: float) -> float:
+    """RMSE on the rows behind ``gram`` of ``offset + x·weights``, from deviations from ``shift`` alone."""
     coefficients = np.concatenate([-weights, [1.0, -offset]])
+    coefficients[-1] += shift @ coefficients
     return float(np.sqrt(max(coefficients @ gram @ coefficients, 0.0) / gram[-1, -1]))
 
 
@@ -152,10 +163,28 @@ def fit_ridge_cv(
     keys = keys_list(keys)
     limits = stage(fold_limits(df, folds, keys, ts), "fold-limits")  # small, and seen to be: the rows stay where they are
     blocked = time_series_folds(df, folds, keys, ts, limits=limits).withColumn("_folds", F.coalesce("n_folds", F.lit(0)))
-    gram = gram_statistics(blocked, features, label, [*keys, "_folds", "fold_block"])
+    columns = [*features, label]
+    # Sums of squares about the mean keep the digits that squares of values far from zero lose.
+    about = F.array(*[F.coalesce(F.avg(ref(c).cast("double")).cast("float").cast("double"), F.lit(0.0)) for c in columns], F.lit(0.0))
+    shift = stage(df.groupBy(*keys).agg(about.alias("_shift")), "shift")
+    near = lookup_join(blocked, shift, keys, [ts]).select(
+        *[ref(c) for c in (*keys, "_folds", "fold_block")],
+        *[(ref(c).cast("double") - F.col("_shift")[i]).alias(f"_z{i}") for i, c in enumerate(columns)],
+    )
+    gram = gram_statistics(near, [f"_z{i}" for i in range(len(features))], f"_z{len(features)}", [*keys, "_folds", "fold_block"])
+    kinds = {f.name: f.dataType for f in gram.schema.fields}
+    shift_rows = shift.select(
+        *keys, F.lit(0).cast(kinds["_folds"]).alias("_folds"), F.lit(-1).cast(kinds["fold_block"]).alias("fold_block"),
+        F.lit(-1).alias("row"), F.col("_shift").alias("values"),
+    )
     penalties = [float(a) for a in alphas]
 
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf["row"] == -1
+        shift = np.asarray(pdf[first]["values"].iloc[0], dtype=float)
+        pdf = pdf[~first]
+        if not len(pdf):  # a key of null matches no row of the other tables
+            return pd.DataFrame()
         blocks = _blocks(pdf, "fold_block")
         whole = np.sum(blocks, axis=0)
         scores = np.full(len(penalties), np.nan)
@@ -165,11 +194,11 @@ def fit_ridge_cv(
             train = np.zeros_like(whole)
             for before, test in zip(blocks, blocks[1:]):
                 train = train + before
-                fit = _Ridge(train)
-                errors.append([_error(test, fit.weights(a), fit.offset) for a in penalties])
+                fit = _Ridge(train, shift)
+                errors.append([_error(test, shift, fit.weights(a), fit.offset) for a in penalties])
             scores = np.mean(errors, axis=0)
             alpha = penalties[int(np.argmin(scores))]
-        final = _Ridge(whole)
+        final = _Ridge(whole, shift)
         row = {
             **{k: pdf[k].iloc[0] for k in keys},
             "alpha": alpha,
@@ -182,7 +211,7 @@ def fit_ridge_cv(
         return pd.DataFrame([row])
 
     key_ddl = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return gram.groupBy(*keys).applyInPandas(solve, f"{key_ddl}, {MODEL_FIELDS}")
+    return gram.unionByName(shift_rows).groupBy(*keys).applyInPandas(solve, f"{key_ddl}, {MODEL_FIELDS}")
 
 
 def fit_ols(

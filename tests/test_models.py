@@ -421,3 +421,27 @@ def test_stored_models_of_all_horizons(spark, tmp_path):
     assert model_store.load_models(spark, path).select("version").distinct().collect()[0][0] == "v-ridge"
     with pytest.raises(ValueError, match="features missing"):
         model_store.score_horizons(df.drop("a"), model_store.load_models(spark, path))
+
+
+def test_ridge_folds_far_from_zero(spark):
+    rng = np.random.default_rng(21)
+    n = 600
+    x = 101_300 + rng.normal(0, 2, (n, 2))  # pressures in pascal
+    y = 101_300 + 0.3 * (x[:, 0] - x[:, 1]) + rng.normal(0, 1e-3, n)
+    rows = [("s1", START + timedelta(minutes=10 * i), float(x[i, 0]), float(x[i, 1]), float(y[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "station_id string, ts_utc timestamp, a double, b double, y double")
+    got = linear.fit_ridge_cv(df, ["a", "b"], "y").first()
+    size = n // 6
+    wanted = []
+    for alpha in linear.RIDGE_ALPHAS:
+        errors = []
+        for i in range(1, 6):
+            end = n - (6 - i) * size
+            train, test = slice(0, end), slice(end, end + size)
+            centre = y[train].mean()
+            extended = np.vstack([x[train], np.sqrt(alpha) * np.eye(2)])
+            w = np.linalg.lstsq(extended, np.concatenate([y[train] - centre, [0, 0]]), rcond=None)[0]
+            errors.append(np.sqrt(np.mean((y[test] - centre - x[test] @ w) ** 2)))
+        wanted.append(np.mean(errors))
+    assert got["alpha"] == linear.RIDGE_ALPHAS[int(np.argmin(wanted))]
+    np.testing.assert_allclose(got["cv_rmse"], wanted, rtol=1e-5)
