@@ -86,7 +86,8 @@ class Halo:
         self.lookahead = int(lookahead)
         # Keep the copied share small: a bucket is at least eight reaches long.
         self.bucket_steps = int(bucket_steps or max(BUCKET_STEPS, 8 * (self.lookback + self.lookahead)))
-        self.spec: WindowSpec = Window.partitionBy(*self.keys, BUCKET).orderBy("_step")
+        self.place = [*self.keys, BUCKET]
+        self.spec: WindowSpec = Window.partitionBy(*self.place).orderBy("_step")
 
     def open(self, df: DataFrame) -> DataFrame:
         size = F.lit(float(self.bucket_steps))

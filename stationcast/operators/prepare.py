@@ -59,7 +59,7 @@ def prepare_series(
     reach = max([*rolling_windows, windows.SPIKE_ROWS, windows.FLATLINE_ROWS])
     halo = Halo(keys, grid_step(F.col(ts), freq_seconds), reach, 0, bucket_steps)
 
-    def prepared(opened: DataFrame, spec: WindowSpec) -> DataFrame:
+    def prepared(opened: DataFrame, spec: WindowSpec, place: list[str]) -> DataFrame:
         flags = quality.range_flags(variables)
         flags |= windows.spike_flags(spec, variables)
         flags |= windows.flatline_flags(spec, variables)
@@ -74,13 +74,13 @@ def prepare_series(
             out = out.withColumns(encoding.wind_direction_columns(F.col("wdir_deg")))
         if rolling_windows:
             columns = [c for c in ROLLING_VARIABLES if c in out.columns]
-            out = windows.apply_rolling(out, spec, columns, rolling_windows, min_periods=min_periods)
+            out = windows.apply_rolling(out, spec, columns, rolling_windows, min_periods=min_periods, place=place)
         return out
 
-    on = halo.close(prepared(halo.open(grid.where(~F.col("off_axis"))), halo.spec))
+    on = halo.close(prepared(halo.open(grid.where(~F.col("off_axis"))), halo.spec, halo.place))
     # every other row is a window of its own; it may lack the time or key that a bucket needs
-    alone = grid.where("off_axis").withColumn("_row", F.monotonically_increasing_id())
-    off = prepared(alone, Window.partitionBy("_row").orderBy("_row")).drop("_row")
+    alone = grid.where("off_axis").withColumn("_alone", F.monotonically_increasing_id())
+    off = prepared(alone, Window.partitionBy("_alone").orderBy("_alone"), ["_alone"]).drop("_alone")
     out = on.unionByName(off)
     # merged steps hold the rows off the axis too and are all on their own
     return resample(out.drop("off_axis"), resample_seconds, keys, ts) if resample_seconds else out

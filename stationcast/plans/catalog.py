@@ -1473,3 +1473,25 @@ def user_grid_rolling(spark, sf_dir):
         F.max("temp_c_roll144_max").alias("max144"),
         F.avg("temp_c_roll144_std").alias("std144"),
     )
+
+
+@register(
+    "rolling_any_window",
+    _USER_SQL
+    + f""", rolled AS (SELECT station_id, avg(temp_c) OVER {_user_roll(1009)} AS m, min(temp_c) OVER {_user_roll(1009)} AS lo,
+    max(temp_c) OVER {_user_roll(1009)} AS hi, stddev_samp(temp_c) OVER {_user_roll(1009)} AS s, max(temp_c) OVER {_user_roll(101)} AS x FROM grid)
+    SELECT station_id, count(m) AS n, round(avg(m) + 3.7e-9, 6) + 0.0 AS mean, round(avg(lo) + 3.7e-9, 6) + 0.0 AS low,
+    round(avg(hi) + 3.7e-9, 6) + 0.0 AS high, round(avg(s) + 3.7e-9, 6) + 0.0 AS std, round(avg(x) + 3.7e-9, 6) + 0.0 AS high101
+    FROM rolled GROUP BY 1""",
+)
+def rolling_any_window(spark, sf_dir):
+    """A week of ten-minute steps and one more, and another prime: neither is put together from a shorter window."""
+    out = windows.rolling_features(fx.user_grid(spark, sf_dir), ["temp_c"], [101, 1009], 600, min_periods=1)
+    return out.groupBy("station_id").agg(
+        F.count("temp_c_roll1009_mean").alias("n"),
+        F.avg("temp_c_roll1009_mean").alias("mean"),
+        F.avg("temp_c_roll1009_min").alias("low"),
+        F.avg("temp_c_roll1009_max").alias("high"),
+        F.avg("temp_c_roll1009_std").alias("std"),
+        F.avg("temp_c_roll101_max").alias("high101"),
+    )

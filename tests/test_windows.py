@@ -76,6 +76,29 @@ def test_lags_leads_and_rolling_equal_pandas(spark, bucket):
             np.testing.assert_allclose(got[rolling_column("temp_c", w, stat)], getattr(rolled, stat)(), atol=1e-9)
 
 
+@pytest.mark.parametrize("bucket", [53, 1000])
+def test_long_windows_of_any_length_equal_pandas(spark, bucket):
+    """Put together from blocks, whose edges no bucket edge has to meet; rows missing and values far from zero."""
+    values = [None if i % 11 == 3 or 60 < i < 130 else v and v + 1e6 for i, v in enumerate(noisy(300))]
+    df = series(spark, values).unionByName(series(spark, noisy(20, 2), "s2"))
+    lengths = [29, 53, 61]
+    out = windows.rolling_features(df, ["temp_c"], [5, *lengths, 2 * 29], 600, min_periods=2, bucket_steps=bucket)
+    for station, own in (("s1", values), ("s2", noisy(20, 2))):
+        got = frame(out.where(f"station_id = '{station}'"))
+        s = pd.Series(own, dtype=float)
+        for w in (5, *lengths, 58):
+            rolled = s.shift(1).rolling(w, min_periods=2)
+            for stat in windows.STATS:
+                want = rolled.apply(np.nanstd, kwargs={"ddof": 1}, raw=True) if stat == "std" else getattr(rolled, stat)()
+                np.testing.assert_allclose(got[rolling_column("temp_c", w, stat)], want, atol=1e-7)
+
+
+def test_long_windows_shuffle_once(spark):
+    df = series(spark, noisy(50))
+    plan = windows.rolling_features(df, ["temp_c"], [29, 31], 600)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_full_window_is_the_default(spark):
     got = frame(windows.rolling_features(series(spark, [1, 2, None, 4, 5, 6, 7]), ["temp_c"], [3], 600, stats=["mean"]))
     assert got["temp_c_roll3_mean"].dropna().tolist() == [5.0]
