@@ -3,18 +3,20 @@
 One scan adds up ``ZᵀZ`` of ``Z = [features, label, 1]`` per key and fold block.
 Every fold and every penalty is then solved from those small matrices, so the
 rows are read once however many fits are needed, and nothing that grows with the
-rows leaves the tasks.
+rows leaves the tasks.  Wide matrices are added up in tiles, pairs of feature blocks,
+each by a scan of the columns of its two blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +27,7 @@ from stationcast.session import stage
 
 # Penalties tried, weakest first.
 RIDGE_ALPHAS = (0.1, 1.0, 10.0, 100.0)
-MAX_FEATURES = 4_096  # a Gram matrix then takes at most 134 MB
+_TILE = 2_048  # features of a block; a tile of two blocks takes at most 34 MB
 _HELD_BYTES = 256 * 1024 * 1024
 # Partial matrices are added up in two steps, over groups of so many rows and input splits.
 _SALTS = 64
@@ -37,62 +39,92 @@ def gram_statistics(
     features: Sequence[str],
     label: str,
     group: Sequence[str],
+    tile: int | None = None,
+    n_features: int | None = None,
 ) -> DataFrame:
-    """(group, row, values): row ``row`` of ``ZᵀZ`` summed per group."""
-    if len(features) > MAX_FEATURES:
-        raise ValueError(f"{len(features)} features; Gram statistics take at most {MAX_FEATURES}")
+    """(group, row, col, values): row ``row`` of ``ZᵀZ`` summed per group, from column ``col`` on.
+
+    ``ZᵀZ`` is cut into tiles of ``tile`` by ``tile`` entries, of which those on and above
+    the diagonal are given.  A tile needs the columns of its two blocks of features alone,
+    so a task holds one tile per group whatever the number of features, and a table of
+    ``b`` blocks reads each column ``b`` times.  Missing values are refused.
+
+    Thousands of named columns make plans that Spark is slow to optimise.  With
+    ``n_features`` the one name in ``features`` is an array column of so many values;
+    arrays of another length are refused.
+    """
+    tile = tile or _TILE
     group = list(group)
-    n_keys, width = len(group), len(features) + 2
-    flat = df.select(
-        *[ref(k) for k in group],
-        *[ref(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)],
-        ref(label).cast("double").alias("_y"),
-    )
+    n_keys = len(group)
+    width = (n_features or len(features)) + 2
+    blocks = [range(i, min(i + tile, width)) for i in range(0, width, tile)]
+    last = [ref(label).cast("double"), F.lit(1.0)]
+
+    def packed(block: range) -> Column:
+        tail = last[max(block.start - (width - 2), 0) : max(block.stop - (width - 2), 0)]
+        if n_features is None:
+            return F.array(*[ref(c).cast("double") for c in features[block.start : block.stop]], *tail)
+        (name,) = features
+        vector = F.when(F.size(ref(name)) == n_features, ref(name).cast("array<double>"))
+        own = F.slice(vector, block.start + 1, max(min(block.stop, n_features) - block.start, 0))
+        own = F.coalesce(own, F.array(F.lit(None).cast("double")))  # refused as a missing value below
+        return F.concat(own, F.array(*tail)) if tail else own
+
+    # One array per block: plans stay short, and tiles still read no columns of other blocks.
+    flat = df.select(*[ref(k) for k in group], *[packed(b).alias(f"z{b.start}") for b in blocks])
     key_fields = [flat.schema[k] for k in group]
-    partial_schema = T.StructType([*key_fields, T.StructField("row", T.IntegerType()), T.StructField("values", T.ArrayType(T.DoubleType()))])
+    place = [T.StructField("row", T.IntegerType()), T.StructField("col", T.IntegerType())]
+    partial_schema = T.StructType([*key_fields, *place, T.StructField("values", T.ArrayType(T.DoubleType()))])
     # Which task and which of its releases a partial comes from: partials add up in that order.
     placed_schema = T.StructType([*partial_schema, T.StructField("part", T.LongType())])
 
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, np.ndarray] = {}
-        release_no = TaskContext.get().partitionId() << 32
-        key_types: list[pa.DataType] = []
-
-        def release() -> Iterator[pa.RecordBatch]:
-            for key, total in held.items():
-                columns = [pa.array([k] * width, type=t) for k, t in zip(key, key_types, strict=True)]
-                columns.append(pa.array(np.arange(width, dtype=np.int32)))
-                columns.append(pa.array(list(total), type=pa.list_(pa.float64())))
-                columns.append(pa.array([release_no] * width, type=pa.int64()))
-                yield pa.RecordBatch.from_arrays(columns, names=[*group, "row", "values", "part"])
-            held.clear()
-
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            key_types = [batch.schema.field(i).type for i in range(n_keys)]
-            z = np.ones((batch.num_rows, width))
-            for j in range(width - 1):
-                z[:, j] = batch.column(n_keys + j).to_numpy(zero_copy_only=False)
-            if np.isnan(z).any():
-                raise ValueError("missing values among features or label; drop incomplete rows first")
-            keys = list(zip(*[batch.column(i).to_pylist() for i in range(n_keys)], strict=True))
-            codes, uniques = pd.factorize(pd.Series(keys, dtype=object))
-            for code, key in enumerate(uniques):
-                part = z[codes == code]
-                held[key] = held.get(key, 0.0) + part.T @ part
-            # Sums add up again later, so they may be let go at any time.
-            if len(held) * width * width * 8 > _HELD_BYTES:
-                yield from release()
-                release_no += 1
-        yield from release()
+    def tile_sums(upper: range, right: range) -> DataFrame:
+        sides = [upper] if upper == right else [upper, right]
+        high, wide = len(upper), len(right)
+
+        def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[tuple, np.ndarray] = {}
+            release_no = TaskContext.get().partitionId() << 32
+            key_types: list[pa.DataType] = []
+
+            def release() -> Iterator[pa.RecordBatch]:
+                for key, total in held.items():
+                    out = [pa.array([k] * high, type=t) for k, t in zip(key, key_types, strict=True)]
+                    out.append(pa.array(np.arange(upper.start, upper.stop, dtype=np.int32)))
+                    out.append(pa.array(np.full(high, right.start, dtype=np.int32)))
+                    ends = pa.array(np.arange(high + 1, dtype=np.int32) * wide)
+                    out.append(pa.ListArray.from_arrays(ends, pa.array(total.ravel())))
+                    out.append(pa.array([release_no] * high, type=pa.int64()))
+                    yield pa.RecordBatch.from_arrays(out, names=[*group, "row", "col", "values", "part"])
+                held.clear()
+
+            for batch in batches:
+                if batch.num_rows == 0:
+                    continue
+                key_types = [batch.schema.field(i).type for i in range(n_keys)]
+                flats = [batch.column(n_keys + i).flatten().to_numpy(zero_copy_only=False) for i in range(len(sides))]
+                if any(np.isnan(v).any() for v in flats):
+                    raise ValueError("missing values among features or label; drop incomplete rows first")
+                parts = [v.reshape(-1, len(b)) for v, b in zip(flats, sides, strict=True)]
+                codes, uniques = _key_codes([batch.column(i) for i in range(n_keys)], batch.num_rows)
+                for code, key in enumerate(uniques):
+                    own = codes == code
+                    held[key] = held.get(key, 0.0) + parts[0][own].T @ parts[-1][own]
+                # Sums add up again later, so they may be let go at any time.
+                if len(held) * high * wide * 8 > _HELD_BYTES:
+                    yield from release()
+                    release_no += 1
+            yield from release()
+
+        return flat.select(*[ref(k) for k in group], *[f"z{b.start}" for b in sides]).mapInArrow(add_up, placed_schema)
 
     def total(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["row", "part"], kind="stable")
-        rows, place = np.unique(pdf["row"].to_numpy(), return_inverse=True)
-        sums = np.zeros((len(rows), width))
-        np.add.at(sums, place, np.stack(pdf["values"].to_numpy()))
-        out = pdf.iloc[[0] * len(rows)][[*group, "row"]].reset_index(drop=True)
+        rows, at = np.unique(pdf["row"].to_numpy(), return_inverse=True)
+        values = np.stack(pdf["values"].to_numpy())
+        sums = np.zeros((len(rows), values.shape[1]))
+        np.add.at(sums, at, values)
+        out = pdf.iloc[[0] * len(rows)][[*group, "row", "col"]].reset_index(drop=True)
         out["row"] = rows
         out["values"] = list(sums)
         out["part"] = int(pdf["part"].min())
@@ -100,15 +132,39 @@ def gram_statistics(
 
     chunk = F.floor(F.col("row") / F.lit(float(_ROWS_TOGETHER)))
     salt = F.pmod(F.spark_partition_id(), F.lit(_SALTS))
-    partials = flat.mapInArrow(add_up, placed_schema).withColumn("_chunk", chunk).withColumn("_salt", salt)
-    salted = partials.groupBy(*group, "_chunk", "_salt").applyInPandas(total, placed_schema)
-    return salted.withColumn("_chunk", chunk).groupBy(*group, "_chunk").applyInPandas(total, placed_schema).drop("part")
+    tiles = [tile_sums(upper, right) for i, upper in enumerate(blocks) for right in blocks[i:]]
+    partials = reduce(DataFrame.unionByName, tiles).withColumn("_chunk", chunk).withColumn("_salt", salt)
+    salted = partials.groupBy(*group, "_chunk", "col", "_salt").applyInPandas(total, placed_schema)
+    return salted.withColumn("_chunk", chunk).groupBy(*group, "_chunk", "col").applyInPandas(total, placed_schema).drop("part")
+
+
+def _key_codes(columns: Sequence[pa.Array], n: int) -> tuple[np.ndarray, list[tuple]]:
+    """A number per row for its key, and the keys by number; nulls are a key like any other."""
+    codes = np.zeros(n, dtype=np.int64)
+    for column in columns:
+        coded = column.dictionary_encode(null_encoding="encode")
+        # numbered anew after each column, so that the numbers stay below the number of rows
+        codes = codes * len(coded.dictionary) + coded.indices.to_numpy(zero_copy_only=False)
+        codes = np.unique(codes, return_inverse=True)[1]
+    _, first = np.unique(codes, return_index=True)
+    return codes, list(zip(*[column.take(pa.array(first)).to_pylist() for column in columns], strict=True)) or [()]
+
+
+def _square(pdf: pd.DataFrame) -> np.ndarray:
+    """The whole matrix from the rows of its tiles on and above the diagonal."""
+    width = int(pdf["row"].max()) + 1
+    out = np.empty((width, width))
+    for row, col, values in zip(pdf["row"], pdf["col"], pdf["values"], strict=True):
+        out[row, col : col + len(values)] = values
+        if col > row:
+            out[col : col + len(values), row] = values
+    return out
 
 
 def _blocks(pdf: pd.DataFrame, block: str | None) -> list[np.ndarray]:
     if block is None:
-        return [np.stack(pdf.sort_values("row")["values"].to_numpy())]
-    return [np.stack(g.sort_values("row")["values"].to_numpy()) for _, g in pdf.groupby(block, sort=True)]
+        return [_square(pdf)]
+    return [_square(g) for _, g in pdf.groupby(block, sort=True)]
 
 
 class _Ridge:
@@ -156,7 +212,8 @@ def fit_ridge_cv(
     """One ridge model per key; the penalty is chosen on expanding folds.
 
     ``df`` holds the train rows, features already scaled.  The first penalty with
-    the least mean fold RMSE wins; with too few rows for folds the last is used.
+    the least mean fold RMSE wins; with too few rows for folds the last is used.  The task
+    that solves a key holds the matrices of its folds, the square of the features each.
     """
     if not alphas:
         raise ValueError("at least one alpha is needed")
@@ -175,7 +232,7 @@ def fit_ridge_cv(
     kinds = {f.name: f.dataType for f in gram.schema.fields}
     shift_rows = shift.select(
         *keys, F.lit(0).cast(kinds["_folds"]).alias("_folds"), F.lit(-1).cast(kinds["fold_block"]).alias("fold_block"),
-        F.lit(-1).alias("row"), F.col("_shift").alias("values"),
+        F.lit(-1).alias("row"), F.lit(0).alias("col"), F.col("_shift").alias("values"),
     )
     penalties = [float(a) for a in alphas]
 

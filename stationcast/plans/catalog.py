@@ -1495,3 +1495,20 @@ def rolling_any_window(spark, sf_dir):
         F.avg("temp_c_roll1009_std").alias("std"),
         F.avg("temp_c_roll101_max").alias("high101"),
     )
+
+
+@register(
+    "gram_tiles",
+    """WITH z AS (SELECT l_returnflag, [l_quantity, l_discount, l_tax, l_linenumber, l_quantity * l_discount, 1.0]::DOUBLE[] AS v FROM lineitem)
+    SELECT l_returnflag, (a.i)::INTEGER AS i, (b.j)::INTEGER AS j, count(*) AS n, round(avg(v[a.i + 1] * v[b.j + 1]) + 3.7e-9, 6) + 0.0 AS mean
+    FROM z, range(6) a(i), range(6) b(j) WHERE b.j >= a.i GROUP BY ALL""",
+)
+def gram_tiles(spark, sf_dir):
+    """Mean products of all pairs of features, label and one, added up in tiles of four by four."""
+    names = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", *names, (F.col("l_quantity") * F.col("l_discount")).alias("y"))
+    gram = linear.gram_statistics(rows, names, "y", ["l_returnflag"], tile=4)
+    entries = gram.select("l_returnflag", F.col("row").alias("i"), F.posexplode("values").alias("_at", "sum"), "col")
+    upper = entries.select("l_returnflag", "i", (F.col("col") + F.col("_at")).alias("j"), "sum").where("j >= i")
+    rows_of = upper.where("i = 5 and j = 5").select("l_returnflag", F.round("sum").cast("bigint").alias("n"))
+    return upper.join(rows_of, "l_returnflag").select("l_returnflag", "i", "j", "n", (F.col("sum") / F.col("n")).alias("mean"))

@@ -4,6 +4,8 @@ import math
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from conftest import START, series
 from pyspark.sql import functions as F
@@ -268,8 +270,62 @@ def test_linear_models_refuse_missing_values(spark):
         linear.fit_ols(df, ["temp_c"], "y").collect()
     with pytest.raises(ValueError, match="alpha"):
         linear.fit_ridge_cv(df, ["temp_c"], "y", alphas=())
-    with pytest.raises(ValueError, match="features"):
-        linear.gram_statistics(df, ["temp_c"] * 5_000, "y", ["station_id"])
+
+
+def wide_rows(spark, n, width, seed=0):
+    """``n`` rows of ``width`` features in one column x, their label y, and both as arrays."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(3.0, 1.0, (n, width))
+    y = x[:, :5] @ np.arange(1.0, 6.0) + rng.normal(0.0, 0.1, n)
+    times = pd.date_range("2024-01-01", periods=n, freq="10min")
+    pdf = pd.DataFrame({"station_id": "a", "ts_utc": times, "x": list(x), "y": y})
+    return spark.createDataFrame(pdf, "station_id string, ts_utc timestamp, x array<double>, y double"), x, y
+
+
+def test_gram_of_five_thousand_features(spark):
+    width = 5_000
+    df, x, y = wide_rows(spark, 30, width)
+    gram = linear.gram_statistics(df, ["x"], "y", ["station_id"], n_features=width)
+    got = gram.where("row % 1250 = 1 or row = 5000").toPandas()
+    z = np.column_stack([x, y, np.ones(len(x))])
+    for row, col, values in zip(got["row"], got["col"], got["values"]):
+        np.testing.assert_allclose(values, z[:, row] @ z[:, col : col + len(values)], rtol=1e-12)
+    # four features, the label and the row of ones, each in the tiles from the diagonal on
+    assert sorted(zip(got["row"], got["col"])) == [
+        (1, 0), (1, 2048), (1, 4096), (1251, 0), (1251, 2048), (1251, 4096), (2501, 2048), (2501, 4096), (3751, 2048), (3751, 4096), (5000, 4096), (5001, 4096),
+    ]
+
+
+def test_vectors_of_another_length_are_refused(spark):
+    df, x, y = wide_rows(spark, 3, 6)
+    # the last tile holds the label and the ones alone
+    got = linear.gram_statistics(df, ["x"], "y", ["station_id"], tile=3, n_features=6).toPandas()
+    z = np.column_stack([x, y, np.ones(3)])
+    np.testing.assert_allclose(linear._square(got), z.T @ z, rtol=1e-12)
+    with pytest.raises(Exception, match="missing values"):
+        linear.gram_statistics(df, ["x"], "y", ["station_id"], tile=3, n_features=7).collect()
+
+
+def test_ridge_and_ols_are_the_same_in_tiles(spark, monkeypatch):
+    df, x, y = wide_rows(spark, 60, 40)
+    names = [f"x{i}" for i in range(40)]
+    df = df.select("*", *[F.col("x")[i].alias(n) for i, n in enumerate(names)])
+    whole = linear.fit_ridge_cv(df, names, "y").first()
+    monkeypatch.setattr(linear, "_TILE", 16)
+    tiled = linear.fit_ridge_cv(df, names, "y").first()
+    assert tiled["alpha"] == whole["alpha"]
+    np.testing.assert_allclose(tiled["coefficients"], whole["coefficients"], atol=1e-9)
+    np.testing.assert_allclose(tiled["cv_rmse"], whole["cv_rmse"], rtol=1e-9)
+    free = linear.fit_ols(df, names, "y").first()
+    want, *_ = np.linalg.lstsq(np.column_stack([x, np.ones(60)]), y, rcond=None)
+    np.testing.assert_allclose([*free["coefficients"], free["y_offset"]], want, atol=1e-8)
+
+
+def test_keys_are_numbered_with_nulls():
+    a, b = pa.array(["x", None, "x", "y", None]), pa.array([1, 2, 1, 1, 2])
+    codes, keys = linear._key_codes([a, b], 5)
+    assert [keys[c] for c in codes] == [("x", 1), (None, 2), ("x", 1), ("y", 1), (None, 2)]
+    assert linear._key_codes([], 3)[1] == [()]
 
 
 def test_forest_fits_saves_and_scores(spark, regression, tmp_path):
