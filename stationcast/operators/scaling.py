@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stationcast.functions.names import ref
-from stationcast.operators.buckets import bucket_offsets, keys_list, lookup_join, time_bucket
+from stationcast.operators.buckets import keys_list, lookup_join, time_bucket
+from stationcast.session import stage
 
 METHODS = ("standard", "minmax", "robust")
-_VALUE_BUCKETS = 65_536
-_SKETCH = 1_000
+_DIGITS = 6_000  # leading digits of values per factor of e
 _STRETCH_SECONDS = 10 * 86_400
 PARAMETERS = ("mean", "scale", "min", "median", "iqr")
 
@@ -33,6 +34,21 @@ def _or_one(width: Column) -> Column:
     return F.when(width == 0, F.lit(1.0)).otherwise(width)
 
 
+def _digit(value: Column) -> Column:
+    """A whole number that never falls as ``value`` grows; NaN comes last, as Spark orders it.
+
+    The logarithm of the magnitude in steps of ``1 / _DIGITS``, signed: about 4,000 digits
+    for each factor of two, and at most some 17 million in all.  The logarithm of the
+    JVM's strict mathematics never falls, which is all that is needed of it.
+    """
+    place = F.floor(F.least(F.ln(F.abs(value)) + 746.0, F.lit(1_456.0)) * float(_DIGITS))
+    return (
+        F.when(F.isnan(value), F.lit(1_457 * _DIGITS).cast("bigint"))
+        .when(value == 0, F.lit(0).cast("bigint"))
+        .otherwise(F.when(value > 0, place).otherwise(-place))
+    )
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -41,97 +57,65 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles: (keys, column, <name>...), exact at any size.
 
-    Pass one brackets the wanted quantiles of every column by a sketch, so that
-    outliers do not widen the buckets; pass two counts values in narrow buckets of
-    the bracket (reduced inside each task); pass three orders only the values of
-    the few buckets that hold a wanted rank.  Rows are joined with one small row
-    per key before they are unfolded into columns, and no task holds a whole series.
+    Radix selection by two scans.  The first counts values by their leading digit
+    (``_digit``), the second counts the distinct values of the few digits that hold a
+    wanted rank.  Both are reduced inside each task, so a constant series of any length
+    leaves a row per task, and no task holds a series.  The wanted digits, at most two a
+    quantile for each key and column, are stored in between: Spark sees how small they are
+    and leaves the rows of the second scan where they are, or salts them by time.
+    Missing values are left out; a column without any value of a key gives no row.
     """
     keys = keys_list(keys)
     group = [*keys, "_i"]
-    places = range(len(columns))
-    narrow = df.select(*keys, *[ref(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
-    values = [f"_v{i}" for i in places]
-    reach = 3.0 / _SKETCH  # the sketch is off by at most one part in _SKETCH
-    outer = [max(0.0, min(quantiles.values()) - reach), min(1.0, max(quantiles.values()) + reach)]
-
-    def bracket(v: str) -> Column:
-        ends = F.percentile_approx(v, outer, _SKETCH)
-        return F.struct(ends[0].alias("lo"), ends[1].alias("hi"), F.count(v).alias("n"))
-
-    ends = narrow.groupBy(*keys).agg(F.array(*[bracket(v) for v in values]).alias("_ends"))
-
-    def cell(i: int) -> Column:
-        value, end = F.col(f"_v{i}"), F.col("_ends")[i]
-        # About 64 values per bucket, and no more buckets than a task can count.
-        buckets = F.greatest(F.lit(1.0), F.least(F.lit(float(_VALUE_BUCKETS)), F.floor(end["n"] / F.lit(64.0)).cast("double")))
-        width = end["hi"] - end["lo"]
-        place = (
-            F.when(value < end["lo"], F.lit(-1.0))
-            .when(value > end["hi"], buckets + 1.0)
-            .when(width > 0, F.floor((value - end["lo"]) / width * buckets).cast("double"))
-            .otherwise(F.lit(0.0))
-        )
-        return F.struct(F.lit(i).alias("_i"), place.cast("bigint").alias("_vb"), value.alias("value"))
-
-    def cells(rows: DataFrame, wanted: Callable[[Column], Column]) -> DataFrame:
-        kept = F.filter(F.array(*[cell(i) for i in places]), wanted)
-        return rows.select(*keys, F.explode(kept).alias("_c")).select(*keys, "_c.*")
-
-    with_ends = lookup_join(narrow, ends, keys, values)
-    per_bucket = cells(with_ends, lambda c: c["value"].isNotNull()).groupBy(*group, "_vb").agg(F.count(F.lit(1)).alias("_n_in"))
-    located = bucket_offsets(per_bucket, group, "_vb", ["_n_in"])
-    sizes = ends.select(*keys, F.posexplode("_ends").alias("_i", "_e")).select(*group, F.col("_e.n").alias("_n")).where("_n > 0")
-    ranks = F.array(
-        *[
-            F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), (F.floor((F.col("_n") - 1) * q) + side + 1).alias("rank"))
-            for name, q in quantiles.items()
-            for side in (0, 1)
-        ]
-    )
-    hits = (
-        located.join(sizes.select(*group, F.explode(ranks).alias("_w")), group)
-        .where((F.col("_w.rank") > F.col("_n_in_before")) & (F.col("_w.rank") <= F.col("_n_in_before") + F.col("_n_in")))
-        .groupBy(*group, "_vb")
-        .agg(F.collect_list(F.struct("_w.name", "_w.side", (F.col("_w.rank") - F.col("_n_in_before")).alias("rank"))).alias("_wanted"))
-    )
-    # Per key: the wanted buckets of each column, by column position.
-    per_column = hits.groupBy(*group).agg(F.collect_list("_vb").alias("_vbs"))
-    per_key = per_column.groupBy(*keys).agg(F.collect_list(F.struct("_i", "_vbs")).alias("_l"))
-    by_place = F.transform(
-        F.sequence(F.lit(0), F.lit(len(columns) - 1)),
-        lambda j: F.flatten(F.transform(F.filter("_l", lambda e: e["_i"] == j), lambda e: e["_vbs"])),
-    )
-    targets = ends.join(per_key.select(*keys, by_place.alias("_hits")), keys)
-    near = cells(
-        lookup_join(narrow, targets, keys, values, how="inner"),
-        lambda c: c["value"].isNotNull() & F.array_contains(F.get(F.col("_hits"), c["_i"]), c["_vb"]),
-    )
-    counted = near.groupBy(*group, "_vb", "value").agg(F.count(F.lit(1)).alias("_k"))
-    running = Window.partitionBy(*group, "_vb").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    found = (
-        counted.join(hits, [*group, "_vb"])
-        .select(*group, "value", "_k", F.sum("_k").over(running).alias("_upto"), "_wanted")
-        .select(*group, "value", "_k", "_upto", F.explode("_wanted").alias("_w"))
-        .where((F.col("_w.rank") <= F.col("_upto")) & (F.col("_w.rank") > F.col("_upto") - F.col("_k")))
+    values = [f"_v{i}" for i in range(len(columns))]
+    times = [f.name for f in df.schema.fields if f.name not in keys and isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
+    narrow = df.select(
+        *keys, *[ref(c).alias(f"_t{i}") for i, c in enumerate(times)], *[ref(c).cast("double").alias(v) for c, v in zip(columns, values, strict=True)]
     )
 
-    def at(name: str, side: int) -> Column:
-        return F.max(F.when((F.col("_w.name") == name) & (F.col("_w.side") == side), F.col("value")))
+    def unfolded(rows: DataFrame, cells: Column) -> DataFrame:
+        each = rows.select(*keys, F.posexplode(cells).alias("_i", "_c")).select(*group, "_c.*")
+        return each.where(F.col("value").isNotNull()).withColumn("_d", _digit(F.col("value")))
 
-    points = found.groupBy(*group).agg(
-        *[at(name, side).alias(f"_{name}_{side}") for name in quantiles for side in (0, 1)]
+    ranks = {
+        (name, side): F.floor((F.col("_n") - 1) * F.lit(q)) + side + 1 for name, q in quantiles.items() for side in (0, 1)
+    }
+
+    def holds(rank: Column) -> Column:
+        return (rank > F.col("_before")) & (rank <= F.col("_before") + F.col("_k"))
+
+    whole = Window.partitionBy(*group)
+    running = whole.orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
+    located = (
+        unfolded(narrow, F.array(*[F.struct(F.col(v).alias("value")) for v in values])).groupBy(*group, "_d").agg(F.count(F.lit(1)).alias("_k"))
+        .select(*group, "_d", "_k", (F.sum("_k").over(running) - F.col("_k")).alias("_before"), F.sum("_k").over(whole).alias("_n"))
+    )
+    wanted = reduce(Column.__or__, [holds(rank) for rank in ranks.values()])
+    hits = stage(located.where(wanted).drop("_k"), "quantile-digits")
+    # one entry per wanted digit and column
+    per_key = hits.groupBy(*keys).agg(F.collect_list(F.struct("_i", "_d", "_before", "_n")).alias("_l"))
+    by_place = F.transform(F.sequence(F.lit(0), F.lit(len(columns) - 1)), lambda j: F.filter("_l", lambda e: e["_i"] == j))
+    placed = lookup_join(narrow, per_key.select(*keys, by_place.alias("_hits")), keys, [f"_t{i}" for i in range(len(times))] or values, "inner")
+    # each value beside the wanted digits of its own column
+    beside = F.zip_with(F.array(*values), "_hits", lambda v, h: F.struct(v.alias("value"), h.alias("_own")))
+    met = unfolded(placed, beside).withColumn("_h", F.get(F.filter("_own", lambda e: e["_d"] == F.col("_d")), F.lit(0)))
+    near = met.where(F.col("_h").isNotNull()).select(*group, "_d", "_h._before", "_h._n", "value")
+    counted = near.groupBy(*group, "_d", "_before", "_n", "value").agg(F.count(F.lit(1)).alias("_k"))
+    upto = F.sum("_k").over(Window.partitionBy(*group, "_d").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    # By key and column, which suffices for the running counts and for the points below.
+    found = counted.repartition(*[F.col(k) for k in group]).withColumn("_before", F.col("_before") + upto - F.col("_k"))
+    points = found.groupBy(*group, "_n").agg(
+        *[F.max(F.when(holds(rank), F.col("value"))).alias(f"_{name}_{side}") for (name, side), rank in ranks.items()]
     )
 
     def between(name: str, q: float) -> Column:
         low, high = F.col(f"_{name}_0"), F.coalesce(F.col(f"_{name}_1"), F.col(f"_{name}_0"))
         spot = (F.col("_n") - 1) * F.lit(q)
-        return (low + (high - low) * (spot - F.floor(spot))).alias(name)
+        # an infinite value is not weighed with itself
+        return F.when(low == high, low).otherwise(low + (high - low) * (spot - F.floor(spot))).alias(name)
 
     names = F.array(*[F.lit(c) for c in columns])
-    return sizes.join(points, group).select(
-        *keys, F.get(names, F.col("_i")).alias("column"), *[between(name, q) for name, q in quantiles.items()]
-    )
+    return points.select(*keys, F.get(names, F.col("_i")).alias("column"), *[between(name, q) for name, q in quantiles.items()])
 
 
 def fit_scaler(
@@ -261,12 +245,15 @@ def _with_parameters(df: DataFrame, params: DataFrame, columns: Sequence[str], k
     return lookup_join(df, per_key, keys, spread_on)
 
 
-def _parameter(i: int, part: str) -> Column:
-    checked = F.when(
-        F.coalesce(F.col("_missing"), F.lit(True)),
-        F.raise_error(F.lit("scaler has no parameters for a wanted column")).cast("double"),
-    )
-    return checked.otherwise(F.col("_p")[i][part]) if i == 0 and part == "w" else F.col("_p")[i][part]
+def _parameter(i: int, part: str) -> str:
+    """SQL text: hundreds of columns made of single calls take many seconds to put together."""
+    if i == 0 and part == "w":
+        return "CASE WHEN coalesce(_missing, true) THEN CAST(raise_error('scaler has no parameters for a wanted column') AS DOUBLE) ELSE _p[0].w END"
+    return f"_p[{i}].{part}"
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def apply_scaler(
@@ -280,12 +267,12 @@ def apply_scaler(
     keys = keys_list(keys)
     joined = _with_parameters(df, params, columns, keys, spread_on)
     index = {c: i for i, c in enumerate(columns)}
-    return joined.select(
-        *[
-            ((ref(c).cast("double") - _parameter(index[c], "c")) / _parameter(index[c], "w")).alias(c) if c in index else ref(c)
-            for c in df.columns
-        ]
-    )
+
+    def scaled(c: str) -> str:
+        i = index[c]
+        return f"(CAST({_quoted(c)} AS DOUBLE) - {_parameter(i, 'c')}) / ({_parameter(i, 'w')}) AS {_quoted(c)}"
+
+    return joined.selectExpr(*[scaled(c) if c in index else _quoted(c) for c in df.columns])
 
 
 def inverse_scale(
@@ -301,5 +288,5 @@ def inverse_scale(
     name = values or column
     joined = _with_parameters(df, params, [column], keys, spread_on)
     return joined.select(
-        *[(ref(c) * _parameter(0, "w") + _parameter(0, "c")).alias(c) if c == name else ref(c) for c in df.columns]
+        *[(ref(c) * F.expr(_parameter(0, "w")) + F.expr(_parameter(0, "c"))).alias(c) if c == name else ref(c) for c in df.columns]
     )

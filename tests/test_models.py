@@ -105,6 +105,47 @@ def test_quantiles_are_exact_on_skewed_values(spark):
         assert got[name] == pytest.approx(np.percentile(values, q), rel=1e-12)
 
 
+def test_quantiles_of_any_doubles_and_keys(spark):
+    rng = np.random.default_rng(6)
+    columns = {
+        "wide": rng.normal(size=600) * 10.0 ** rng.integers(-300, 300, 600),
+        "signed": np.concatenate([rng.normal(size=300), np.zeros(150), np.full(150, -0.0)]),
+        "near": 101_325 + rng.normal(size=600),  # some thousand values of one leading digit
+        "ends": np.concatenate([np.full(200, -np.inf), [5e-324, -5e-324, 1.7e308], np.arange(197.0), np.full(200, np.inf)]),
+        "flat": np.full(600, 7.25),
+    }
+    rows = [
+        ("a" if i % 3 else "b", START + timedelta(minutes=i), *[None if i % 7 == 0 and c == "signed" else float(v[i]) for c, v in columns.items()], None)
+        for i in range(600)
+    ]
+    schema = "station_id string, ts_utc timestamp, " + ", ".join(f"{c} double" for c in columns) + ", empty double"
+    df = spark.createDataFrame(rows, schema)
+    wanted = {"low": 0.0, "a": 0.25, "b": 0.5, "c": 0.75, "high": 1.0}
+    got = {(r["station_id"], r["column"]): r for r in scaling.exact_quantiles(df, [*columns, "empty"], wanted).collect()}
+    assert set(got) == {(k, c) for k in "ab" for c in columns}  # nothing for a column without values
+    for (key, column), r in got.items():
+        own = np.sort([row[2 + list(columns).index(column)] for row in rows if row[0] == key and row[2 + list(columns).index(column)] is not None])
+        for name, q in wanted.items():
+            spot = (len(own) - 1) * q
+            low, high = own[int(spot)], own[min(int(spot) + 1, len(own) - 1)]
+            expected = low if low == high else low + (high - low) * (spot - int(spot))
+            assert r[name] == pytest.approx(expected, rel=1e-12, abs=0, nan_ok=True), (key, column, name)
+    assert scaling.exact_quantiles(df.limit(0), ["near"], wanted).collect() == []
+
+
+def test_quantiles_leave_the_rows_where_they_are(spark):
+    df = spark.range(200_000).select(
+        (F.col("id") % 3).alias("station_id"), F.timestamp_seconds(F.col("id") * 600).alias("ts_utc"), F.lit(3.5).alias("flat"),
+        (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003).alias("even"),
+    )
+    out = scaling.exact_quantiles(df, ["flat", "even"], {"a": 0.25, "b": 0.5, "c": 0.75})
+    got = out.collect()
+    assert len(got) == 6 and {r["b"] for r in got if r["column"] == "flat"} == {3.5}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # of 400,000 values only counts of the wanted digits are moved
+    assert plan.count("Exchange") - plan.count("ReusedExchange") <= 5 and "SortMergeJoin" not in plan
+
+
 # --- sequences --------------------------------------------------------------
 
 
