@@ -15,6 +15,7 @@ from stationcast.operators.features import make_supervised, select_feature_colum
 from stationcast.operators.scaling import METHODS, apply_scaler, fit_scaler, fit_target_scaler, scalable_columns
 from stationcast.operators.splits import chronological_split, split_boundaries, split_metadata
 from stationcast.session import new_path, stage
+from stationcast.sources.run_store import begin_run, read_run
 from stationcast.sources.tables import write_metrics, write_per_horizon, write_predictions
 
 PER_SERIES_MODELS = ("ridge", "linear_regression")
@@ -94,34 +95,49 @@ def evaluate_run(predictions: DataFrame, options: ExperimentOptions) -> DataFram
 
 
 def fit_predict(
-    name: str, train: DataFrame, test: DataFrame, features: list[str], label: str, options: ExperimentOptions
+    name: str, train: DataFrame, test: DataFrame, features: list[str], label: str, options: ExperimentOptions,
+    keep: str | None = None,
 ) -> DataFrame:
-    """Test predictions of one model: linear ones per series, ensembles over all series."""
+    """Test predictions of one model: linear ones per series, ensembles over all series.
+
+    With ``keep`` the fitted model is stored in that folder: linear ones as a table with
+    their feature names, which the predictions then read, ensembles as Spark ML stores them.
+    """
     keys = list(options.keys)
+    if name in POOLED_MODELS:
+        ensemble = trees.fit_model(train, features, label, name, options.seed)
+        if keep:
+            trees.save_model(ensemble, keep)
+        return trees.score(test, ensemble, features)
     if name == "ridge":
         models = linear.fit_ridge_cv(train, features, label, keys, options.ts)
-        return linear.predict_linear(test, models, features, keys, [options.ts])
-    if name == "linear_regression":
+    else:
         models = linear.fit_ols(train, features, label, keys)
-        return linear.predict_linear(test, models, features, keys, [options.ts])
-    return trees.score(test, trees.fit_model(train, features, label, name, options.seed), features)
+    if keep:
+        models = models.withColumn("features", F.lit(features))
+        models.write.mode("errorifexists").parquet(keep)
+        models = train.sparkSession.read.schema(models.schema).parquet(keep)
+    return linear.predict_linear(test, models, features, keys, [options.ts])
 
 
 def run_experiment(prepared: DataFrame, options: ExperimentOptions, output: str | None = None) -> DataFrame:
     """Run all horizons and models; returns the metrics with skill scores.
 
-    Written under ``output``: predictions (by model and horizon), split metadata,
-    scalers, metrics.  A second run into one folder replaces what the first wrote of
-    its models and horizons.  The supervised table is written once for all horizons,
-    and the scaled table of a horizon once for all its models.
+    Stored under ``output``: predictions and fitted models (by model and horizon), split
+    metadata, scalers, metrics.  All of them are published together at the end, so a run
+    that fails leaves what was published before (``run_store.read_run``).  A second run
+    into one folder replaces what the first wrote of its models and horizons, and its
+    metrics take in the predictions that stay.  The supervised table is written once for
+    all horizons, and the scaled table of a horizon once for all its models.
     """
     spark = prepared.sparkSession
     output = output or new_path(spark, "experiment")
+    run = begin_run(spark, output)
     target, keys = options.target, list(options.keys)
     # rows in a fixed order within each file, so that fits add up alike in every run
     order = [*keys, options.ts]
     supervised = stage(supervised_all(prepared, options).sortWithinPartitions(*order), "supervised")
-    predictions_path = f"{output}/predictions"
+    predictions_path = run.folder("predictions")
     if options.baselines:
         write_predictions(baseline_experiment(supervised, options), predictions_path)
 
@@ -132,18 +148,21 @@ def run_experiment(prepared: DataFrame, options: ExperimentOptions, output: str
         rows = supervised.where(ref(y).isNotNull()).drop(*(others - {y}))
         split = _split(rows, options, keys)
         features = select_feature_columns(rows, y, not_features=keys)
-        write_per_horizon(split_metadata(split, y, features, keys, options.ts), label, f"{output}/split_metadata", "json")
+        write_per_horizon(split_metadata(split, y, features, keys, options.ts), label, run.folder("split_metadata"), "json")
         scaled_columns = scalable_columns(rows, features)
         scaler = stage(fit_scaler(split, scaled_columns, options.scaling, keys, ts=options.ts), "scaler")
-        write_per_horizon(scaler, label, f"{output}/scalers")
-        write_per_horizon(fit_target_scaler(split, y, options.scaling, keys, ts=options.ts), label, f"{output}/target_scalers")
+        write_per_horizon(scaler, label, run.folder("scalers"))
+        write_per_horizon(fit_target_scaler(split, y, options.scaling, keys, ts=options.ts), label, run.folder("target_scalers"))
+        for table in ("split_metadata", "scalers", "target_scalers"):
+            run.add(table, horizon_label=label)
         if not options.ml:
             continue
         scaled = apply_scaler(split, scaler, scaled_columns, keys, [options.ts])
         scaled = stage(scaled.sortWithinPartitions("split", *order), "scaled", ["split"])
         train, test = scaled.where(F.col("split") == "train"), scaled.where(F.col("split") == "test")
         for name in options.ml:
-            scored = fit_predict(name, train, test, features, y, options)
+            scored = fit_predict(name, train, test, features, y, options, run.folder("models", name, label))
+            run.add("models", name, label)
             write_predictions(
                 scored.select(
                     *keys,
@@ -158,6 +177,12 @@ def run_experiment(prepared: DataFrame, options: ExperimentOptions, output: str
                 ),
                 predictions_path,
             )
-    metrics = evaluate_run(spark.read.parquet(predictions_path), options)
-    write_metrics(metrics, f"{output}/metrics")
+    if options.baselines or options.ml:
+        run.add_written("predictions", spark.read.parquet(predictions_path))
+    predictions = read_run(spark, output, "predictions", attempt=run)
+    metrics = evaluate_run(predictions, options)
+    for kind in ("csv", "json"):
+        run.add(f"metrics/{kind}")
+    write_metrics(metrics, f"{output}/metrics", f"attempt={run.attempt}")
+    run.publish()
     return metrics

@@ -33,7 +33,7 @@ from stationcast.operators import (
 from stationcast.plans import fixtures as fx
 from stationcast.plans.sql import CALENDAR, FEATURES, INTEGERS, SCORES, lags, query, rolled, rounded
 from stationcast.session import new_path, stage
-from stationcast.sources import station_csv, synthetic, tables
+from stationcast.sources import run_store, station_csv, synthetic, tables
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -982,6 +982,26 @@ def load_predictions(spark, sf_dir):
     return tables.load_predictions(spark, path, "climatology", "h06", rows.schema)
 
 
+@register(
+    "published_run",
+    query(
+        f"""SELECT {_PREDICTED}, {rounded('y_true')}, {rounded('y_pred')} FROM (SELECT * EXCLUDE (y_pred),
+        CASE WHEN model = 'climatology' THEN y_true ELSE y_pred END AS y_pred FROM predictions)""",
+        ("predictions",),
+    ),
+)
+def published_run(spark, sf_dir):
+    """Two published runs, the second of one model alone, and a third that never came to its end."""
+    path = new_path(spark, "runs")
+    rows = fx.predictions(spark, sf_dir).drop("target")
+    run_store.publish_table(spark, path, "predictions", rows)
+    later = rows.where("model = 'climatology'").withColumn("y_pred", F.col("y_true"))
+    run_store.publish_table(spark, path, "predictions", later)
+    broken = run_store.begin_run(spark, path)
+    tables.write_predictions(rows.withColumn("y_pred", F.lit(0.0)), broken.folder("predictions"))
+    return run_store.read_run(spark, path, "predictions", schema=rows.schema).select(*rows.columns)
+
+
 # --- comparison tables ------------------------------------------------------
 
 H = tuple(fx.HORIZONS)

@@ -51,16 +51,19 @@ def load_predictions(
     return usable_predictions(rows)
 
 
-def write_metrics(metrics: DataFrame, path: str) -> None:
-    """The same rows as CSV and as JSON, where missing values are explicit nulls."""
+def write_metrics(metrics: DataFrame, path: str, part: str = "") -> None:
+    """The same rows as CSV and as JSON, where missing values are explicit nulls.
+
+    ``part`` names a folder below ``csv`` and ``json``, for runs that keep theirs apart.
+    """
     clean = metrics.select(
         *[
             F.when(~F.isnan(F.col(c)), F.col(c)).alias(c) if t in ("double", "float") else F.col(c)
             for c, t in metrics.dtypes
         ]
     )
-    clean.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
-    clean.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/json")
+    clean.write.mode("overwrite").option("header", True).csv(f"{path}/csv/{part}")
+    clean.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/json/{part}")
 
 
 def read_metrics(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:

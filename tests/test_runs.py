@@ -9,10 +9,11 @@ from conftest import START
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
-from stationcast.operators import compare, runs
+from stationcast.operators import compare, experiment, runs
 from stationcast.operators.experiment import ExperimentOptions, run_experiment
 from stationcast.operators.prepare import prepare_series
 from stationcast.plans import catalog
+from stationcast.sources import run_store
 
 METRICS = "target string, horizon_label string, horizon_steps int, model string, model_family string, mae double, rmse double, mape double, n_test long, skill_score_persistence double"
 
@@ -162,6 +163,29 @@ def test_experiment_writes_everything(spark, station, tmp_path):
     assert len(set(h01.values())) == 1
 
 
+def test_failed_experiment_leaves_the_one_before(spark, station, tmp_path, monkeypatch):
+    options = ExperimentOptions(horizons={"m10": 1}, optional_horizons={}, lags=(1,), baselines=("persistence",), ml=("linear_regression",))
+    path = str(tmp_path / "run")
+    columns = ["station_id", "ts_utc", "temp_c", "rh_pct"]
+    metrics = run_experiment(station.select(*columns), options, path).collect()
+    before = sorted(map(str, run_store.read_run(spark, path, "predictions").collect()))
+    assert {r["model"] for r in run_store.read_run(spark, path, "metrics/json").collect()} == {"persistence", "linear_regression"}
+
+    # the stored model, applied to the stored scaler's columns, is the one that made the predictions
+    model = run_store.read_run(spark, path, "models", model="linear_regression").first()
+    assert len(model["features"]) == len(model["coefficients"]) and model["station_id"] == "s1"
+
+    def fails(*_):
+        raise OSError("disk is gone")
+
+    monkeypatch.setattr(experiment, "write_metrics", fails)
+    with pytest.raises(OSError, match="disk is gone"):
+        run_experiment(station.select(*columns).withColumn("temp_c", F.col("temp_c") * 2), options, path)
+    assert sorted(map(str, run_store.read_run(spark, path, "predictions").collect())) == before
+    got = {(r["model"], r["mae"]) for r in run_store.read_run(spark, path, "metrics/json").collect()}
+    assert got == {(r["model"], r["mae"]) for r in metrics}
+
+
 def test_option_checks():
     with pytest.raises(ValueError, match="sum to 1"):
         ExperimentOptions(train=0.5)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from stationcast.functions.timeparse import local_to_utc, parse_wall_clock
 from stationcast.functions.units import clean_numeric, to_canonical
-from stationcast.sources import station_csv, tables
+from stationcast.sources import run_store, station_csv, tables
 from stationcast.sources.synthetic import synthetic_station
+from stationcast.sources.tables import write_metrics, write_per_horizon, write_predictions
 
 TZ = "Europe/Athens"
 LONG_NAMES = {
@@ -241,3 +242,56 @@ def test_ingest_report_counts_rows_off_the_axis(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Date (Europe/Athens);temp (°C)\n" + body, encoding="utf-8")
     read = station_csv.station_rows(spark, str(tmp_path), mapping(SHORT_NAMES), TZ, "s", unreadable=True)
     assert [tuple(r)[2:] for r in station_csv.ingest_report(read, freq_seconds=600).collect()] == [(6, 4, 1, 1, 1)]
+
+
+# --- runs that appear whole or not at all -----------------------------------
+
+
+def test_runs_are_published_whole(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    make = lambda *rows: spark.createDataFrame(rows, "model string, horizon_label string, y double")
+
+    def seen(**of):
+        return {(r["model"], r["horizon_label"], r["y"]) for r in run_store.read_run(spark, path, "predictions", **of).collect()}
+
+    with pytest.raises(LookupError):
+        seen()
+    run_store.publish_table(spark, path, "predictions", make(("1", "h01", 1.0), ("1", "h06", 2.0), ("m", "h01", 3.0)))
+    assert seen() == {("1", "h01", 1.0), ("1", "h06", 2.0), ("m", "h01", 3.0)}
+    # written, and even whole, but not published
+    broken = run_store.begin_run(spark, path)
+    write_predictions(make(("1", "h01", -1.0), ("new", "h01", -1.0)), broken.folder("predictions"))
+    broken.add_written("predictions", spark.read.parquet(broken.folder("predictions")))
+    assert seen() == {("1", "h01", 1.0), ("1", "h06", 2.0), ("m", "h01", 3.0)}
+    assert seen(attempt=broken) == {("1", "h01", -1.0), ("new", "h01", -1.0), ("1", "h06", 2.0), ("m", "h01", 3.0)}
+    # only what the later run wrote is replaced
+    last = run_store.publish_table(spark, path, "predictions", make(("1", "h06", 7.0)))
+    assert seen() == {("1", "h01", 1.0), ("1", "h06", 7.0), ("m", "h01", 3.0)}
+    assert seen(model="1", horizon_label="h06") == {("1", "h06", 7.0)}
+    assert {r["attempt"] for r in run_store.read_run(spark, path, "predictions", model="1", horizon_label="h06").collect()} == {last}
+    with pytest.raises(run_store.RunConflict):
+        broken.publish()
+    assert seen() == {("1", "h01", 1.0), ("1", "h06", 7.0), ("m", "h01", 3.0)}
+    with pytest.raises(LookupError):
+        seen(model="new")
+
+
+def test_tables_of_a_run_are_published_together(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    schema = "horizon_label string, mae double"
+    for value in (1.5, 2.5):
+        run = run_store.begin_run(spark, path)
+        metrics = spark.createDataFrame([("h01", value), ("h06", None)], schema)
+        write_metrics(metrics, f"{path}/metrics", f"attempt={run.attempt}")
+        write_per_horizon(metrics.drop("horizon_label").limit(1), "h01", run.folder("scalers"))
+        run.add("metrics/csv")
+        run.add("metrics/json")
+        run.add("scalers", horizon_label="h01")
+        if value < 2:
+            run.publish()
+    # the second attempt wrote all of its tables, but no manifest
+    for name in ("metrics/csv", "metrics/json"):
+        got = {(r["horizon_label"], r["mae"]) for r in run_store.read_run(spark, path, name, schema=schema).collect()}
+        assert got == {("h01", 1.5), ("h06", None)}, name
+    assert [r["mae"] for r in run_store.read_run(spark, path, "scalers").collect()] == [1.5]
+    assert {r["name"] for r in run_store.current_entries(spark, path).collect()} == {"metrics/csv", "metrics/json", "scalers"}
