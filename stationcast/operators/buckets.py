@@ -97,7 +97,10 @@ class Halo:
         spread = stepped.withColumn(BUCKET, F.explode(F.sequence(first, last)))
         # Named here so that a partitioning by station alone, left over from an
         # earlier join, is never taken as good enough for these windows.
-        return spread.repartition(*[F.col(k) for k in self.keys], F.col(BUCKET))
+        # The number is given: rows added for gaps compress to almost nothing, and Spark
+        # would merge partitions by those bytes into tasks whose sorts spill.
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return spread.repartition(parts, *[F.col(k) for k in self.keys], F.col(BUCKET))
 
     def close(self, df: DataFrame) -> DataFrame:
         home = F.floor(F.col("_step") / F.lit(float(self.bucket_steps)))

@@ -69,6 +69,43 @@ def time_axis(
     )
 
 
+def _unfolded(plain: DataFrame, freq_seconds: int, keys: list[str], ts: str, bucket_steps: int) -> DataFrame:
+    """The whole axis with the rows on it, and ``gap``.
+
+    Only the rows and one mark per bucket of the axis are shuffled: each of them unfolds to
+    the steps up to the next one after that, so the axis itself is neither moved nor sorted.
+    """
+    freq = freq_seconds * 1_000_000
+    size = F.lit(float(bucket_steps))
+    axis = _bounds(plain, keys, ts, freq_seconds)
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k) == F.col(f"_axis_{k}")
+    away = F.unix_micros(F.col(ts)) - F.col("_lo")
+    on = F.pmod(away, F.lit(freq)) == 0
+    rows = plain.join(axis.withColumnsRenamed({k: f"_axis_{k}" for k in keys}), same).where(on).withColumn("_s", F.floor(away / F.lit(float(freq))))
+    rows = rows.withColumn("_b", F.floor(F.col("_s") / size)).withColumn("_present", F.lit(True)).drop(ts, *[f"_axis_{k}" for k in keys])
+    marks = axis.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("_last") / size))))
+    marks = marks.withColumn("_s", F.col("_b") * bucket_steps).withColumn("_present", F.lit(False))
+    # the number is given for the same reason as in ``time_axis``
+    parts = int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = [*[F.col(k) for k in keys], F.col("_b")]
+    spread = rows.unionByName(marks, allowMissingColumns=True).repartition(parts, *place)
+    end = F.least(F.col("_b") * bucket_steps + (bucket_steps - 1), F.col("_last")) + 1
+    following = F.coalesce(F.lead("_s").over(Window.partitionBy(*place).orderBy("_s", "_present")), end)
+    # a row stands for its own step even where another row has the same; a mark does not
+    stop = F.when(F.col("_present"), F.greatest(F.col("_s"), following - 1)).when(following > F.col("_s"), following - 1)
+    stretches = spread.withColumn("_stop", stop).where(F.col("_stop").isNotNull())
+    steps = stretches.withColumn("_step", F.explode(F.sequence("_s", "_stop")))
+    here = F.col("_present") & (F.col("_step") == F.col("_s"))
+    return steps.select(
+        *keys,
+        F.timestamp_micros(F.col("_lo") + F.col("_step") * freq).alias(ts),
+        *[F.when(here, ref(c)).alias(c) for c in plain.columns if c not in {*keys, ts}],
+        (~here).alias(GAP_COLUMN),
+    )
+
+
 def insert_gaps(
     df: DataFrame,
     freq_seconds: int,
@@ -84,10 +121,8 @@ def insert_gaps(
     ``off_axis`` tells them from the others.
     """
     keys = keys_list(keys)
-    axis = time_axis(df, freq_seconds, keys, ts, bucket_steps)
     plain = df.drop(GAP_COLUMN)
-    present = plain.withColumn("_present", F.lit(True))
-    full = axis.join(present, [*keys, ts], "left").withColumn(GAP_COLUMN, F.col("_present").isNull()).drop("_present")
+    full = _unfolded(plain, freq_seconds, keys, ts, bucket_steps)
     if not keep_off_axis:
         return full
     stray = off_axis_rows(plain, freq_seconds, keys, ts).withColumn(GAP_COLUMN, F.lit(False))

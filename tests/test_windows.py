@@ -259,3 +259,15 @@ def test_resample_rules(spark):
     assert got["gap"].tolist() == [False, False]
     last = frame(resample(df, 1200, how={"temp_c": "last"}))
     assert last["temp_c"].tolist() == [1.0, 2.0]
+
+
+def test_gaps_are_inserted_where_the_rows_are(spark):
+    """The axis is neither shuffled nor sorted, rows that share a time all stay, rows without a key do not match."""
+    rows = series(spark, [1, None, None, 4, 4.5, 6], "a").where("temp_c is not null")
+    twice = rows.unionByName(rows.where("temp_c = 4")).unionByName(series(spark, [9, 9, 9], None).where("temp_c > 0"))
+    gaps = insert_gaps(twice, 600, bucket_steps=2)
+    got = frame(gaps.where("station_id is not null"), ["ts_utc", "temp_c"])
+    assert got["temp_c"].fillna(-1).tolist() == [1, -1, -1, 4, 4, 4.5, 6] and got["gap"].tolist() == [False, True, True, False, False, False, False]
+    assert gaps.where("station_id is null and gap and temp_c is null").count() == 3
+    plan = gaps._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode(sequence(_s" in plan and "Exchange" not in plan[: plan.index("Generate explode(sequence(_s")]
