@@ -12,9 +12,11 @@ length: by the length itself short texts scatter more than long ones, by its squ
 slight lean of the models adds up in very long texts. The power, the figure where the score
 is 0.5, and the slope there come from labelled texts that the models have not counted.
 
-Counts grow with the labelled texts; the model that is sent to the tasks does not. Of the
-strings that share a slot of a table of fixed size the most frequent one stays, and the mass
-of the others goes to the lower order, so every distribution still adds up to one.
+Counts grow with the labelled texts, and both models hold all of them, as tables that Spark
+smooths order by order. What is sent to the tasks is bounded: the most frequent string of
+each slot of a table of fixed size, and the most frequent of the others and of the contexts.
+Strings of a text that these leave open are looked up in the whole tables by a join, so a
+score does not depend on what fits.
 
 Defined results: null and empty texts get the score of a figure of zero; a null key has no
 label; a key with two labels counts with both; repeated rows count each; without labelled
@@ -26,14 +28,15 @@ stay as they are.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationcast.llm import text as tx
+from stationcast.llm.jaccard import text_digest
 from stationcast.session import stage
 
 ORDER = 5
@@ -41,6 +44,8 @@ ORDER = 5
 SHARED = 2
 #: Slots of the table of each order: primes for hashed orders, all byte strings for the lowest.
 SLOTS = {1: 1 << 8, 2: 1 << 16, 3: 262_139, 4: 1_048_573, 5: 1_048_573}
+#: Strings without a slot of their own, and contexts, that are sent along for each order, at most.
+MOST_MORE = 1 << 20
 #: Labelled texts that the cut is chosen on, at most, and one of how many labelled texts is set aside.
 MOST_CUT_ROWS, CUT_SHARE = 8192, 4
 #: Labels that are broadcast, by a count; more are joined by a shuffle.
@@ -125,24 +130,40 @@ def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 @dataclass(frozen=True)
 class Level:
-    """Strings of one order by slot (``key``, -1 where empty, and ``ratio``), contexts in order (``context``, ``backoff``)."""
+    """What tasks hold of one order: strings by slot (``key``, -1 where empty, and ``ratio``), others in order
+    (``more``), contexts in order (``context``, ``backoff``); and whether these are all strings, all contexts."""
 
     key: np.ndarray
     ratio: np.ndarray
     context: np.ndarray
     backoff: np.ndarray
+    more: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
+    more_ratio: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.float32))
+    all_strings: bool = True
+    all_contexts: bool = True
+
+
+#: Of one order all strings (``key, times, ratio``) and all contexts (``context, times, backoff``).
+Tables = tuple[DataFrame, DataFrame]
 
 
 @dataclass(frozen=True)
 class Model:
+    """``tables`` are given where the levels do not hold all of them."""
+
     levels: tuple[Level, ...]
     power: float = 1.0
     cut: float = 0.0
     slope: float = 1.0
+    tables: tuple[Tables, ...] = ()
 
     def ratios(self, found: np.ndarray) -> np.ndarray:
         """log P(toxic) - log P(ordinary) of the last byte of each string, after the others."""
-        out = np.zeros(len(found))
+        return self.settled(found)[0]
+
+    def settled(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same, zero for strings that the levels leave open, and which these are."""
+        out, unknown = np.zeros(len(found)), np.zeros(len(found), dtype=bool)
         todo, left = np.arange(len(found)), found.astype(np.int64)
         for k in range(len(self.levels), 0, -1):
             level = self.levels[k - 1]
@@ -150,26 +171,40 @@ class Model:
             slot = left % len(level.key)
             hit = level.key[slot] == left
             out[todo[hit]] += level.ratio[slot[hit]]
+            taken = level.key[slot[~hit]] >= 0  # an empty slot has no string at all
             todo, left = todo[~hit], left[~hit]
+            if len(level.more):
+                at = np.minimum(np.searchsorted(level.more, left), len(level.more) - 1)
+                hit = level.more[at] == left
+                out[todo[hit]] += level.more_ratio[at[hit]]
+                todo, left, taken = todo[~hit], left[~hit], taken[~hit]
             if not len(todo):
                 break
+            if not level.all_strings:
+                unknown[todo[taken]] = True
+                todo, left = todo[~taken], left[~taken]
+            if not level.all_contexts:
+                known = np.isin(left >> 8, level.context)
+                unknown[todo[~known]] = True
+                todo, left = todo[known], left[known]
             out[todo] += looked_up(level.context, level.backoff, left >> 8)
-        return out
+        out[unknown] = 0
+        return out, unknown
 
-    def differences(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Differences of the texts' log-likelihoods, and their lengths."""
+    def differences(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Differences of the texts' log-likelihoods and their lengths; text and string of every place left open."""
         stream, zeros = plain_stream(texts)
         total, n = np.zeros(len(zeros)), np.zeros(len(zeros), dtype=np.int64)
+        owners, opens = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for begin in range(0, len(stream), _STEP):
             at, found = strings(stream, zeros, begin, min(begin + _STEP, len(stream)))
             owner = np.searchsorted(zeros, at) - 1
-            total += np.bincount(owner, weights=self.ratios(found), minlength=len(zeros))
+            values, unknown = self.settled(found)
+            total += np.bincount(owner, weights=values, minlength=len(zeros))
             n += np.bincount(owner, minlength=len(zeros))
-        return total, n
-
-    def scores(self, texts: pa.Array) -> np.ndarray:
-        figures = normalised(*self.differences(texts), self.power)
-        return 1 / (1 + np.exp(-np.clip((figures - self.cut) / self.slope, -50, 50)))
+            owners.append(owner[unknown])
+            opens.append(found[unknown].astype(np.int64))
+        return total, n, np.concatenate(owners), np.concatenate(opens)
 
 
 def normalised(total: np.ndarray, n: np.ndarray, power: float) -> np.ndarray:
@@ -198,7 +233,7 @@ def orders(counts: DataFrame) -> Iterator[tuple[int, DataFrame]]:
 
 
 def kept_strings(level: DataFrame, k: int) -> DataFrame:
-    """The most frequent string of each slot, with the totals of its context over all strings."""
+    """The most frequent string of each slot, with the totals of its context over all strings; for ``fit`` alone."""
     context = F.shiftright("key", 8)
     same = Window.partitionBy(context)  # at most 256 rows
     whole = level.select(
@@ -209,7 +244,10 @@ def kept_strings(level: DataFrame, k: int) -> DataFrame:
 
 
 def fit(counts: DataFrame) -> tuple[Level, ...]:
-    """The levels of both models. The driver holds at most ``SLOTS`` rows of each order."""
+    """Levels of bounded size without tables beside them: strings that lose their slot go to the lower order.
+
+    ``train`` does not use it; its models hold every string. The driver holds at most ``SLOTS`` rows of each order.
+    """
     names = ("ordinary", "toxic")
     tables = {}
     for k, level in orders(stage(counts, "strings")):
@@ -222,10 +260,10 @@ def fit(counts: DataFrame) -> tuple[Level, ...]:
             once, twice = seen[f"{c}1"], seen[f"{c}2"]
             off.append(min(max(once / (once + 2 * twice), 0.1), 0.95) if once else 0.5)
         tables[k] = {c: x[by] for c, x in columns.items()} | {"off": off}
-    return smoothed(tables)
+    return bounded(tables)
 
 
-def smoothed(tables: dict[int, dict]) -> tuple[Level, ...]:
+def bounded(tables: dict[int, dict]) -> tuple[Level, ...]:
     """Interpolated Kneser-Ney, order by order from the lowest; what a string does not keep goes to the order below."""
     levels: list[Level] = []
     known: list[tuple] = []  # of each order: keys, probabilities of both classes, contexts, their backoff masses
@@ -263,6 +301,76 @@ def smoothed(tables: dict[int, dict]) -> tuple[Level, ...]:
     return tuple(levels)
 
 
+def slot_winners(table: DataFrame, k: int) -> DataFrame:
+    """The most frequent string of each slot; ``Level.more`` and the whole table have the others."""
+    best = F.max_by(F.struct("key", "ratio"), F.struct("times", "key"))
+    return table.groupBy((F.col("key") % SLOTS[k]).alias("slot")).agg(best.alias("s")).select("s.*")
+
+
+def smoothed(counts: DataFrame) -> tuple[Tables, ...]:
+    """Interpolated Kneser-Ney, order by order from the lowest; what the strings of a context give up goes to the order below."""
+    names = ("ordinary", "toxic")
+    by_order = dict(orders(stage(counts, "strings")))
+    out: list[Tables] = []
+    lower = None
+    for k in range(1, ORDER + 1):
+        level = by_order[k]
+        seen = level.agg(*[F.count(F.when(F.col(c) == n, 1)).alias(f"{c}{n}") for c in names for n in (1, 2)]).first()
+        off = {}
+        for c in names:
+            once, twice = seen[f"{c}1"], seen[f"{c}2"]
+            off[c] = min(max(once / (once + 2 * twice), 0.1), 0.95) if once else 0.5
+
+        def given_up(c: str) -> Column:
+            """Every string of the context gives up the same; a class without the context all of it."""
+            return F.greatest(F.when(F.col(f"all_{c}") > 0, F.lit(off[c]) * F.col(f"kinds_{c}") / F.col(f"all_{c}")).otherwise(1.0), F.lit(1e-9))
+
+        sums = [F.sum(c).alias(f"all_{c}") for c in names] + [F.count(F.when(F.col(c) > 0, 1)).alias(f"kinds_{c}") for c in names]
+        grouped = level.groupBy(F.shiftright("key", 8).alias("context")).agg(*sums)
+        contexts = grouped.select("*", *[given_up(c).alias(f"mass_{c}") for c in names], (F.col("all_ordinary") + F.col("all_toxic")).alias("times"))
+        contexts = stage(contexts.withColumn("backoff", F.log("mass_toxic") - F.log("mass_ordinary")), f"contexts-{k}")
+        rows = level.withColumn("context", F.shiftright("key", 8)).join(contexts.drop("times"), "context")
+        if lower is None:
+            rows = rows.select("*", *[F.lit(1 / 256).alias(f"below_{c}") for c in names])
+        else:
+            below = lower.select(F.col("key").alias("shorter"), *[F.col(f"chance_{c}").alias(f"below_{c}") for c in names])
+            rows = rows.join(below, F.col("key").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)) == F.col("shorter"))
+
+        def chance(c: str) -> Column:
+            own = F.greatest(F.col(c) - F.lit(off[c]), F.lit(0.0)) / F.greatest(F.col(f"all_{c}"), F.lit(1))
+            return own + F.col(f"mass_{c}") * F.col(f"below_{c}")
+
+        rows = rows.select("key", (F.col("ordinary") + F.col("toxic")).alias("times"), *[chance(c).alias(f"chance_{c}") for c in names])
+        lower = stage(rows.withColumn("ratio", F.log("chance_toxic") - F.log("chance_ordinary")), f"smoothed-{k}")
+        out.append((lower.select("key", "times", "ratio"), contexts.select("context", "times", "backoff")))
+    return tuple(out)
+
+
+def held(table: DataFrame, contexts: DataFrame, k: int) -> Level:
+    """The driver and the tasks hold at most ``SLOTS`` and twice ``MOST_MORE`` rows of an order."""
+
+    def columns(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        arrow = rows.toArrow()
+        keys, values = (arrow[c].to_numpy() for c in rows.columns)
+        order = np.argsort(keys)
+        return keys[order].astype(np.int64), values[order].astype(np.float64)
+
+    best = stage(slot_winners(table, k), f"kept-{k}")
+    first, ratios = columns(best)
+    others = table.join(best.select("key"), "key", "left_anti")
+    more, more_ratio = columns(others.orderBy(F.desc("times"), "key").limit(MOST_MORE).select("key", "ratio"))
+    context, backoff = columns(contexts.orderBy(F.desc("times"), "context").limit(MOST_MORE).select("context", "backoff"))
+    key, ratio = np.full(SLOTS[k], -1, dtype=np.int64), np.zeros(SLOTS[k], dtype=np.float32)
+    slot = first % SLOTS[k]
+    key[slot], ratio[slot] = first, ratios
+    complete = table.count() == len(first) + len(more), contexts.count() == len(context)
+    return Level(key, ratio, context, backoff, more, more_ratio.astype(np.float32), *complete)
+
+
+def levels_of(tables: tuple[Tables, ...]) -> tuple[Level, ...]:
+    return tuple(held(*t, k) for k, t in enumerate(tables, 1))
+
+
 def choose_cut(figures: np.ndarray, toxic: np.ndarray) -> tuple[int, float, float]:
     """Labelled texts on the wrong side of the best cut, the cut, and a slope that puts the classes' medians far from it."""
     order = np.argsort(-figures, kind="stable")
@@ -303,39 +411,86 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
         share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
         share = 0.5 if share is None else min(max(share, 0.01), 0.99)
         return Model((), cut=-float(np.log(share / (1 - share))))
-    levels = fit(counted)
+    tables = smoothed(counted)
+    levels = levels_of(tables)
+    whole = all(level.all_strings and level.all_contexts for level in levels)
+    model = Model(levels, tables=() if whole else tables)
     cut_rows = F.broadcast(known.join(aside, "doc").distinct())  # at most two labels a key
-    found = differences(texts.join(cut_rows, "doc").select("toxic", "text"), Model(levels)).toArrow()
+    found = measured(texts.join(cut_rows, "doc").select("toxic", "text"), model, "text").select("toxic", "_total", "_n").toArrow()
     toxic = found["toxic"].to_numpy(zero_copy_only=False).astype(bool)
     if toxic.all() or not toxic.any():
-        return Model(levels)
-    return Model(levels, *best_power(found["total"].to_numpy(), found["n"].to_numpy(), toxic))
+        return model
+    power, cut, slope = best_power(found["_total"].to_numpy(), found["_n"].to_numpy(), toxic)
+    return replace(model, power=power, cut=cut, slope=slope)
 
 
-def differences(rows: DataFrame, model: Model) -> DataFrame:
-    """``toxic, total, n`` of labelled rows (``toxic, text``)."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("toxic", pa.bool_()), ("total", pa.float64()), ("n", pa.int64())])
+def measured(rows: DataFrame, model: Model, text: str) -> DataFrame:
+    """``rows`` with ``_total`` and ``_n``: the difference of a text's log-likelihoods, and its length."""
+    if model.tables:
+        return _measured_by_join(rows, model, text)
+    at = rows.columns.index(text)
+    sent = rows.sparkSession.sparkContext.broadcast(model)  # its size is bounded by SLOTS and MOST_MORE
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", _total double, _n bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tx.small_batches(batches, at, 2 << 20):
+            total, n, _, _ = sent.value.differences(batch.column(at))
+            columns = [*batch.columns, pa.array(total, type=pa.float64()), pa.array(n, type=pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "_total", "_n"])
+
+    return rows.mapInArrow(run, out)
+
+
+def _measured_by_join(rows: DataFrame, model: Model, text: str) -> DataFrame:
+    """The same for a model that tasks hold in part: strings left open come from its tables, once for each different text."""
+    sent = rows.sparkSession.sparkContext.broadcast(replace(model, tables=()))
+    schema = pa.schema(
+        [("digest", pa.binary()), ("total", pa.float64()), ("_n", pa.int64()), ("open", pa.list_(pa.int64())), ("places", pa.list_(pa.int64()))]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tx.small_batches(batches, 1, 2 << 20):
-            total, n = sent.value.differences(batch.column(1))
-            yield tx.table_rows({"toxic": batch.column(0), "total": total, "n": n}, schema)
+            total, n, owner, found = sent.value.differences(batch.column(1))
+            order = np.lexsort((found, owner))
+            owner, found = owner[order], found[order]
+            new = np.ones(len(found), dtype=bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])
+            first = np.flatnonzero(new)
+            places = np.diff(np.append(first, len(found)))
+            ends = np.append(0, np.cumsum(np.bincount(owner[first], minlength=len(n)))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x, type=pa.int64())) for x in (found[first], places)]
+            yield tx.table_rows({"digest": batch.column(0), "total": total, "_n": n, "open": lists[0], "places": lists[1]}, schema)
+
+    named = rows.select(text_digest(F.col(f"`{text}`")).alias("digest"), F.col(f"`{text}`").alias("text"))
+    said = named.mapInArrow(run, "digest binary, total double, _n bigint, open array<bigint>, places array<bigint>")
+    texts = stage(said, "text-figures").dropDuplicates(["digest"])  # equal texts have equal figures
+    left = texts.select("digest", F.explode(F.arrays_zip("open", "places")).alias("s")).select("digest", F.col("s.open").alias("string"), "s.places")
+    values = _from_tables(left.select("string").distinct(), model.tables)
+    # whole numbers add up the same in any order
+    sums = left.join(values, "string").groupBy("digest").agg((F.sum(F.round(F.col("value") * 2.0**32).cast("bigint") * F.col("places")) / 2.0**32).alias("rest"))
+    figures = texts.join(sums, "digest", "left").select(
+        F.col("digest").alias("_digest"), (F.col("total") + F.coalesce("rest", F.lit(0.0))).alias("_total"), "_n"
+    )
+    return rows.withColumn("_digest", text_digest(F.col(f"`{text}`"))).join(figures, "_digest").drop("_digest")
 
-    return rows.mapInArrow(run, "toxic boolean, total double, n bigint")
+
+def _from_tables(wanted: DataFrame, tables: tuple[Tables, ...]) -> DataFrame:
+    """``string, value``: the log-ratio of every wanted string by all orders of the whole model."""
+    rows = wanted.select("string", F.lit(0.0).alias("value"), F.lit(False).alias("found"))
+    for k in range(len(tables), 0, -1):
+        table, contexts = tables[k - 1]
+        last = F.col("string").bitwiseAND(F.lit((1 << 8 * k) - 1))
+        rows = rows.join(table.select("key", "ratio"), last == F.col("key"), "left")
+        rows = rows.join(contexts.select("context", "backoff"), F.shiftright(last, 8) == F.col("context"), "left")
+        more = F.when(~F.col("found"), F.coalesce("ratio", "backoff", F.lit(0.0))).otherwise(0.0)
+        rows = rows.select("string", (F.col("value") + more).alias("value"), (F.col("found") | F.col("ratio").isNotNull()).alias("found"))
+    return rows.select("string", "value")
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a column ``name``, 0 to 1, higher for toxic texts."""
     kept = [c for c in docs.columns if c.lower() != name.lower()]
-    at = kept.index(text)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by SLOTS
-    base = docs.select(*[F.col(f"`{c}`") for c in kept])
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + f", `{name}` double"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tx.small_batches(batches, at, 2 << 20):
-            scores = pa.array(sent.value.scores(batch.column(at)), type=pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, name])
-
-    return base.mapInArrow(run, out)
+    rows = measured(docs.select(*[F.col(f"`{c}`") for c in kept]), model, text)
+    figure = F.col("_total") / F.pow(F.greatest("_n", F.lit(1)), F.lit(model.power))
+    steps = F.greatest(F.least((figure - F.lit(model.cut)) / F.lit(model.slope), F.lit(50.0)), F.lit(-50.0))
+    return rows.select(*[F.col(f"`{c}`") for c in kept], (1 / (1 + F.exp(-steps))).alias(name))

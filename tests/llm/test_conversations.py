@@ -315,3 +315,22 @@ def test_cut_between_the_classes():
     assert (wrong, cut) == (1, 2.5) and slope == pytest.approx(3.5 / 8)
     power, _, _ = kneser_ney.best_power(np.array([4.0, 40.0, 2.0, 20.0]), np.array([4, 1600, 4, 1600]), np.array([True, True, False, False]))
     assert power == 0.5
+
+
+def test_no_string_is_lost_where_slots_and_tasks_hold_few(spark, monkeypatch):
+    """97 slots an order and a handful of others give the scores that room for all gives."""
+    rows = labelled(60)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(100, "new words, never counted"), (101, None), (100, rows[0][1])], "doc_id bigint, text string")
+    known = spark.createDataFrame([(i, b) for i, _, b in rows], "doc_id bigint, toxic boolean")
+
+    def scores():
+        return sorted((r.doc_id, r.score) for r in kneser_ney.score(docs, kneser_ney.train(docs, known)).collect())
+
+    want = scores()
+    monkeypatch.setattr(kneser_ney, "SLOTS", dict.fromkeys(range(1, 6), 97))
+    for more in (1 << 20, 7):
+        if more == 7:
+            monkeypatch.setattr(kneser_ney, "MOST_MORE", more)
+        got = scores()
+        assert [i for i, _ in got] == [i for i, _ in want]
+        np.testing.assert_allclose([x for _, x in got], [x for _, x in want], atol=1e-4)
