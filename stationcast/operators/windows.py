@@ -6,10 +6,14 @@ opens one and applies all of them inside it.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stationcast.functions.names import lag_column, ref, rolling_column, target_column
 from stationcast.functions.quality import RESTING_AT_ZERO, flag_name, true_or_false
@@ -23,6 +27,8 @@ FLATLINE_ROWS = 18
 _MAX_PARTS = 16
 # Longer windows that are no multiple of a shorter one are put together from blocks.
 _MOST_DIRECT = 24
+# Rows gathered before whole partitions of a window are worked on, and cells of one step of that work.
+_GATHERED, _CELLS = 1 << 16, 1 << 20
 
 
 def _halo(df_keys, ts: str, freq_seconds: int, lookback: int, lookahead: int, bucket_steps: int | None) -> Halo:
@@ -195,6 +201,128 @@ def _join_blocks(
     return _merged_states(lagged, columns, window, [name("older"), name("newer")], spread, extremes)
 
 
+def _running(x: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Count, mean, squared deviations and extremes of rows 0..i of every column."""
+    n = np.cumsum(valid, axis=0).astype(float)
+    m, q = np.zeros_like(x), np.zeros_like(x)
+    mean, square = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    for i in range(len(x)):  # all blocks at once; a difference of sums would lose digits
+        away = np.where(valid[i], x[i] - mean, 0.0)
+        mean = mean + away / np.maximum(n[i], 1)
+        square = square + np.where(valid[i], away * (x[i] - mean), 0.0)
+        m[i], q[i] = mean, square
+    bad = valid & np.isnan(x)
+    # not-a-number is above all others
+    lo = np.minimum.accumulate(np.where(valid & ~bad, x, np.inf), axis=0)
+    hi = np.maximum.accumulate(np.where(valid, x, -np.inf), axis=0)
+    return n, m, q, lo, hi, np.cumsum(bad, axis=0).astype(float)
+
+
+def _slid(x: np.ndarray, valid: np.ndarray, begins: np.ndarray, lengths: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Count, mean, squared deviations, least and largest of the ``window`` rows before each row of its partition.
+
+    Partitions are cut into blocks of ``window`` rows. Any window is the end of one block and
+    the start of the next, so a running state from either end takes one step a row.
+    """
+    width = min(window, int(lengths.max()))
+    blocks = -(-lengths // width)
+    first = np.cumsum(blocks) - blocks
+    inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    at = np.repeat(begins, lengths) + inside
+    row, column = inside % width, np.repeat(first, lengths) + inside // width
+    cells, held = np.zeros((width, blocks.sum())), np.zeros((width, blocks.sum()), dtype=bool)
+    cells[row, column], held[row, column] = x[at], valid[at]
+    head, tail = _running(cells, held), [s[::-1] for s in _running(cells[::-1], held[::-1])]
+    empty = (0.0, 0.0, 0.0, np.inf, -np.inf, 0.0)
+    newer = [np.where(row > 0, s[row - 1, column], e) for s, e in zip(head, empty)]
+    full = (inside >= width) & (width == window)  # a shorter width has a single block
+    older = [np.where(full, s[row, column - 1], e) for s, e in zip(tail, empty)]
+    (n1, m1, q1, lo1, hi1, bad1), (n2, m2, q2, lo2, hi2, bad2) = older, newer
+    n = n1 + n2
+    m = (n1 * m1 + n2 * m2) / np.maximum(n, 1)
+    q = q1 + q2 + np.where(n1 > 0, n1 * (m1 - m) ** 2, 0.0) + np.where(n2 > 0, n2 * (m2 - m) ** 2, 0.0)
+    bad = bad1 + bad2
+    lo = np.where(bad == n, np.nan, np.minimum(lo1, lo2))
+    return n, m, q, lo, np.where(bad > 0, np.nan, np.maximum(hi1, hi2))
+
+
+def _partition_starts(table: pa.Table, place: Sequence[str]) -> np.ndarray:
+    """First rows of the partitions of ``table``, whose rows come partition by partition."""
+    new = np.zeros(table.num_rows, dtype=bool)
+    new[0] = True
+    for name in place:
+        column = table.column(name)
+        a, b = column.slice(1), column.slice(0, len(column) - 1)
+        differs = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+        new[1:] |= differs.to_numpy()
+    return np.flatnonzero(new)
+
+
+def _by_blocks(
+    df: DataFrame,
+    place: Sequence[str],
+    order: str,
+    columns: Sequence[str],
+    windows: Sequence[int],
+    spread: bool,
+    extremes: bool,
+) -> DataFrame:
+    """States of windows of any length over doubles, for rows that are partitioned by ``place`` already.
+
+    Each partition is sorted once for all windows and goes through as a stream; a task holds
+    a few of the partitions of the window, which the halo bounds, at a time.
+    """
+    kinds = _kinds(spread, extremes)
+    made = [(w, c) for w in windows for c in columns]
+    names = [_state(k, w, c) for w, c in made for k in kinds]
+    types = {k: "bigint" if k == "n" else "double" for k in kinds}
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema]
+    out = ", ".join(fields + [f"`{_state(k, w, c)}` {types[k]}" for w, c in made for k in kinds])
+
+    def worked(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        lengths = np.diff(np.append(starts, table.num_rows))
+        values = {}
+        for c in columns:
+            column = table.column(c)
+            values[c] = pc.fill_null(column, 0.0).to_numpy(), pc.is_valid(column).to_numpy()
+        results = []
+        for w, c in made:
+            cells = np.cumsum(-(-lengths // w) * w) // _CELLS
+            cuts = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(starts)]
+            parts = [_slid(*values[c], starts[i:j], lengths[i:j], w) for i, j in zip(cuts[:-1], cuts[1:])]
+            state = dict(zip(("n", "m", "q", "lo", "hi"), (np.concatenate(x) for x in zip(*parts))))
+            none = state["n"] == 0
+            results += [
+                pa.array(state[k].astype(np.int64)) if k == "n" else pa.array(state[k], mask=none, from_pandas=False) for k in kinds
+            ]
+        whole = table.combine_chunks()
+        arrays = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in whole.columns]
+        done = pa.Table.from_arrays([*arrays, *results], names=[*table.column_names, *names])
+        yield from done.to_batches(max_chunksize=10_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < _GATHERED:
+                continue
+            table = pa.Table.from_batches(held)
+            starts = _partition_starts(table, place)
+            if len(starts) > 1:  # the last one may go on
+                yield from worked(table.slice(0, starts[-1]), starts[:-1])
+                table = table.slice(starts[-1])
+            held, rows = table.to_batches(), table.num_rows
+        if held:
+            table = pa.Table.from_batches(held)
+            yield from worked(table, _partition_starts(table, place))
+
+    return df.sortWithinPartitions(*[ref(c) for c in (*place, order)]).mapInArrow(run, out)
+
+
 def _join_parts(
     df: DataFrame,
     spec: WindowSpec,
@@ -235,8 +363,9 @@ def apply_rolling(
     144 steps per row.  A window that is a multiple of a shorter one is put
     together from lagged results of the shorter one instead (6 -> 18 -> 36 -> 144
     costs 6+3+2+4), on the same partitioning and sort.  Other windows longer than
-    ``_MOST_DIRECT`` rows are put together from blocks: two more sorts of each
-    partition, and a fixed number of steps per row whatever their length.
+    ``_MOST_DIRECT`` rows are put together from blocks, a fixed number of steps per
+    row whatever their length: doubles in one stream of each partition, all such windows
+    on one sort; other types by two more sorts a window.
     """
     unknown = set(stats) - set(STATS)
     if unknown:
@@ -254,11 +383,19 @@ def apply_rolling(
             for e in _direct_state(spec, c, w, spread, extremes)
         ],
     )
+    # windows of doubles that no shorter one leads to, and what is put together from these, are worked on last
+    doubles = all(isinstance(df.schema[c].dataType, T.DoubleType) for c in columns)
+    alone: list[int] = []
     for w, part in order:
-        if part is not None:
+        if doubles and (part in alone or (part is None and w > _MOST_DIRECT)):
+            alone.append(w)
+        elif part is not None:
             out = _join_parts(out, spec, columns, w, part, spread, extremes)
         elif w > _MOST_DIRECT:
             out = _join_blocks(out, spec, place, columns, w, spread, extremes)
+    if alone:
+        step = "_step" if "_step" in df.columns else place[-1]
+        out = _by_blocks(out, place, step, columns, alone, spread, extremes)
 
     def result(c: str, w: int, stat: str) -> Column:
         n = ref(_state("n", w, c))

@@ -1506,7 +1506,8 @@ def user_grid_rolling(spark, sf_dir):
 )
 def rolling_any_window(spark, sf_dir):
     """A week of ten-minute steps and one more, and another prime: neither is put together from a shorter window."""
-    out = windows.rolling_features(fx.user_grid(spark, sf_dir), ["temp_c"], [101, 1009], 600, min_periods=1)
+    rows = fx.user_grid(spark, sf_dir).select("station_id", "ts_utc", "temp_c")
+    out = windows.rolling_features(rows, ["temp_c"], [101, 1009], 600, min_periods=1)
     return out.groupBy("station_id").agg(
         F.count("temp_c_roll1009_mean").alias("n"),
         F.avg("temp_c_roll1009_mean").alias("mean"),

@@ -271,3 +271,31 @@ def test_gaps_are_inserted_where_the_rows_are(spark):
     assert gaps.where("station_id is null and gap and temp_c is null").count() == 3
     plan = gaps._jdf.queryExecution().executedPlan().toString()
     assert "Generate explode(sequence(_s" in plan and "Exchange" not in plan[: plan.index("Generate explode(sequence(_s")]
+
+
+def test_long_windows_sort_once_and_equal_plain_means(spark):
+    """Series of many lengths and buckets, with infinities and not-a-number in windows; one sort for all windows."""
+    parts = [series(spark, noisy(n, n), f"s{n}") for n in (1, 2, 30, 31, 95, 200)]
+    df = parts[0]
+    for p in parts[1:]:
+        df = df.unionByName(p)
+    df = df.unionByName(series(spark, [1.0, float("nan"), 3.0, None, float("inf"), *range(60)], "odd"))
+    for bucket in (40, 1000):
+        rolled = windows.rolling_features(df, ["temp_c"], [29, 31, 62], 600, min_periods=1, bucket_steps=bucket)
+        plan = rolled._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Sort") == 1 and "Window" not in plan
+        got = frame(rolled)
+        assert len(got) == df.count()
+        for name, rows in got.groupby("station_id"):
+            values = rows["temp_c"].to_numpy()
+            for w in (29, 31, 62):
+                for i in range(len(values)):
+                    seen = values[max(0, i - w) : i]
+                    if name != "odd":
+                        seen = seen[~np.isnan(seen)]
+                        want = [seen.mean(), seen.min(), seen.max()] if len(seen) else [np.nan] * 3
+                        found = [rows[rolling_column("temp_c", w, s)].iloc[i] for s in ("mean", "min", "max")]
+                        np.testing.assert_allclose(found, want, atol=1e-9)
+        odd = got[got.station_id == "odd"].reset_index()
+        assert np.isnan(odd["temp_c_roll29_max"][5]) and odd["temp_c_roll29_min"][5] == 1.0
+        assert odd["temp_c_roll29_mean"][34] == np.mean(range(29)) and odd["temp_c_roll29_max"][34] == 28
