@@ -26,7 +26,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is alike by 0.8 or more on five-word shingles."""
+    """One document of each group that is alike by 0.8 or more on five-word shingles.
+
+    SimHash groups, judged by exact similarity; then the alike pairs that the fingerprints leave apart.
+    """
     return simhash.keep_one_per_group(docs)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,8 @@ _LIGHT = 16
 _CELLS = 1 << 21
 #: Bytes of a digest of a set.
 DIGEST = 16
+#: Rows of a table that may be broadcast, by a count.
+_FEW = 500_000
 #: Sets among which frequent members are looked for, the count above which they are, and how many are kept.
 _SAMPLE = 8_000
 _OFTEN = 4
@@ -46,62 +48,108 @@ def named_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
 def class_rows(prints: DataFrame) -> DataFrame:
     """``fp, least, digest``: key and digest of the row that stands for each class of ``prints`` (``doc, digest, fp``).
 
-    The row of the smallest key, null last, and of the smallest digest among rows that share it.
+    The row of the smallest key, null last, and of the smallest digest among rows that share
+    it. Further columns of ``prints`` are alike within a class and follow.
     """
     least = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "digest"))
-    return prints.groupBy("fp").agg(least.alias("r")).select("fp", F.col("r.doc").alias("least"), "r.digest")
+    more = [c for c in prints.columns if c not in ("doc", "digest", "fp")]
+    rows = prints.groupBy("fp").agg(least.alias("r"), *[F.first(c).alias(c) for c in more])
+    return rows.select("fp", F.col("r.doc").alias("least"), "r.digest", *more)
 
 
 def class_sets(classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """``fp, set``: the distinct shingles, in order, of the document that stands for each class.
 
-    ``classes`` are those of ``class_rows``, ``texts`` those of ``named_texts``. Sets are made
-    once for each class.
+    ``classes`` are those of ``class_rows``, ``texts`` those of ``named_texts``. A set is made
+    once for each class; where a row is repeated, once in a partition at most. The texts are
+    not moved where the classes are few, by a count.
     """
     schema = pa.schema([("fp", pa.binary()), ("set", pa.list_(pa.int64()))])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # repeated rows have equal texts
         for batch in tx.small_batches(batches, "text", 2 << 20):
-            hashes, counts = shingles(batch.column(1), size)
-            ends = np.cumsum(counts)
-            own = [np.unique(hashes[e - c : e]).view(np.int64) for e, c in zip(ends, counts)]
-            yield tx.table_rows({"fp": batch.column(0), "set": own}, schema)
-
-    members = classes.select("fp", "least", F.col("digest").alias("own"))
+            fresh = {}
+            for i, fp in enumerate(batch.column(0).to_pylist()):
+                if fp not in seen:
+                    fresh[fp] = i
+                    seen.add(fp)
+            own = text_sets(batch.column(1).take(pa.array(fresh.values(), pa.int64())), size)
+            yield tx.table_rows({"fp": list(fresh), "set": [x.view(np.int64) for x in own]}, schema)
+
+    members = if_few(classes.select("fp", "least", F.col("digest").alias("own")))
     same = F.col("doc").eqNullSafe(F.col("least")) & (F.col("digest") == F.col("own"))
-    chosen = members.join(texts, same).groupBy("fp").agg(F.min("text").alias("text"))  # repeated rows have equal texts
-    return stage(chosen.mapInArrow(sets, "fp binary, set array<bigint>"), "shingle-sets")
+    return stage(texts.join(members, same).select("fp", "text").mapInArrow(sets, "fp binary, set array<bigint>"), "shingle-sets")
+
+
+def if_few(table: DataFrame) -> DataFrame:
+    """``table``, to be broadcast if it has at most ``_FEW`` rows."""
+    return F.broadcast(table) if table.limit(_FEW + 1).count() <= _FEW else table
+
+
+def text_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """The distinct shingles of each text, in order."""
+    hashes, counts = shingles(texts, size)
+    ends = np.cumsum(counts)
+    return [np.unique(hashes[e - c : e]) for e, c in zip(ends, counts)]
+
 
+def set_digest(members: np.ndarray) -> bytes:
+    """A digest of a set in order, zero for one without members."""
+    return hashlib.blake2b(members.tobytes(), digest_size=DIGEST).digest() if len(members) else bytes(DIGEST)
 
-def set_prints(docs: DataFrame, *, key: str, text: str, size: int) -> DataFrame:
-    """``doc, digest, fp`` per row: ``fp`` is a digest of the text's set of shingles, zero for texts without words."""
-    schema = pa.schema([("doc", pa.int64()), ("digest", pa.binary()), ("fp", pa.binary())])
 
-    def digest(members: np.ndarray) -> bytes:
-        return hashlib.blake2b(np.unique(members).tobytes(), digest_size=DIGEST).digest() if len(members) else bytes(DIGEST)
+def read_sets(texts: DataFrame, size: int) -> DataFrame:
+    """``fp, set`` of the texts of ``named_texts`` that have words, read where they lie; equal sets of a partition come once."""
+    schema = pa.schema([("fp", pa.binary()), ("set", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in tx.small_batches(batches, "text", 2 << 20):
-            hashes, counts = shingles(batch.column(2), size)
-            ends = np.cumsum(counts)
-            fps = [digest(hashes[e - c : e]) for e, c in zip(ends, counts)]
-            yield tx.table_rows({"doc": batch.column(0), "digest": batch.column(1), "fp": fps}, schema)
+            fresh = {}
+            for x in text_sets(batch.column(0), size):
+                if len(x) and (fp := set_digest(x)) not in seen:
+                    fresh[fp] = x.view(np.int64)
+                    seen.add(fp)
+            yield tx.table_rows({"fp": list(fresh), "set": list(fresh.values())}, schema)
+
+    return texts.select("text").mapInArrow(run, "fp binary, set array<bigint>")
+
 
-    return named_texts(docs, key, text).mapInArrow(run, "doc bigint, digest binary, fp binary")
+def set_prints(docs: DataFrame, *, key: str, text: str, words: int, **more: Callable[[list[np.ndarray]], list[bytes]]) -> DataFrame:
+    """``doc, digest, fp, size`` per row: a digest of the text's set of shingles, zero for texts without words, and its size.
+
+    Each of ``more`` makes a column of binaries from the sets.
+    """
+    names = ["doc", "digest", "fp", "size", *more]
+    whole = ("doc", "size")
+    schema = pa.schema([(c, pa.int64() if c in whole else pa.binary()) for c in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tx.small_batches(batches, "text", 2 << 20):
+            own = text_sets(batch.column(2), words)
+            made = {"doc": batch.column(0), "digest": batch.column(1), "fp": [set_digest(x) for x in own], "size": [len(x) for x in own]}
+            yield tx.table_rows(made | {c: make(own) for c, make in more.items()}, schema)
+
+    return named_texts(docs, key, text).mapInArrow(run, ", ".join(f"{c} {'bigint' if c in whole else 'binary'}" for c in names))
+
+
+def sampled(classes: DataFrame) -> DataFrame:
+    """About ``_SAMPLE`` of the classes, by hash."""
+    rows = classes.count()
+    return classes if rows <= _SAMPLE else classes.filter(F.pmod(F.xxhash64("fp"), F.lit(1_000_000)) < int(1_000_000 * _SAMPLE / rows) + 1)
 
 
 def _frequent(held: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Members of many sets of a sample of about ``_SAMPLE``, by hash, and in how many; at most ``_MOST_FREQUENT``."""
-    rows = held.count()
-    some = held if rows <= _SAMPLE else held.filter(F.pmod(F.xxhash64("fp"), F.lit(1_000_000)) < int(1_000_000 * _SAMPLE / rows) + 1)
-    counts = some.select(F.explode("set").alias("member")).groupBy("member").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > _OFTEN)
+    """Members of many of the sets, and in how many; at most ``_MOST_FREQUENT``."""
+    counts = held.select(F.explode("set").alias("member")).groupBy("member").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > _OFTEN)
     found = counts.orderBy(F.desc("n"), "member").limit(_MOST_FREQUENT).toArrow()
     members, n = np.asarray(found["member"]).astype(np.int64), np.asarray(found["n"]).astype(np.int64)
     order = np.argsort(members)
     return members[order], n[order]
 
 
-def prefixes(held: DataFrame, similarity: float) -> DataFrame:
+def prefixes(held: DataFrame, similarity: float, some: DataFrame | None = None) -> DataFrame:
     """``bucket, fp, early, size, left``: for each set as many of its members, rarest first, as any set alike must share one of.
 
     Two sets of that similarity share at least ``similarity`` times the size of either, so
@@ -109,9 +157,10 @@ def prefixes(held: DataFrame, similarity: float) -> DataFrame:
     order does; that of the frequencies in a sample keeps common passages out of the
     prefixes. In the smaller set the first shared member has at least ``2 s / (1 + s)`` of
     its size left, itself included: ``early`` marks those places, one of which a bucket needs.
-    ``size`` is the set's and ``left`` what it has from that member on.
+    ``size`` is the set's and ``left`` what it has from that member on. ``some`` are the
+    sets in which members are counted, by default a sample of ``held``.
     """
-    frequent = held.sparkSession.sparkContext.broadcast(_frequent(held))
+    frequent = held.sparkSession.sparkContext.broadcast(_frequent(sampled(held) if some is None else some))
     schema = pa.schema([("bucket", pa.int64()), ("fp", pa.binary()), ("early", pa.bool_()), ("size", pa.int32()), ("left", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,6 +196,37 @@ def prefixes(held: DataFrame, similarity: float) -> DataFrame:
     return held.select("fp", "set").mapInArrow(run, "bucket bigint, fp binary, early boolean, size int, left int")
 
 
+def bin_counts(sets: list[np.ndarray]) -> list[bytes]:
+    """How many members of each set fall into each of a power of two of bins, four to eight to a bin; 255 says that or more."""
+    out = []
+    for x in sets:
+        bins = 1 << max(3, (len(x) // 4).bit_length() - 1)
+        n = np.bincount((x & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
+        out.append(np.minimum(n, 255).astype(np.uint8).tobytes())
+    return out
+
+
+def maybe_alike(counts: list[bytes], sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Which sets may be ``similarity`` alike to another one, by their bins: all that are, and few others.
+
+    Two sets share no more members of a bin than the smaller of its counts. The counts of
+    the one with more bins are added up to as many as the other has.
+    """
+    found = np.zeros(len(counts), dtype=bool)
+    width = np.array([len(x) for x in counts])
+    for bins in np.unique(width):
+        rows = np.flatnonzero(width >= bins)
+        table = np.array([np.frombuffer(counts[r], dtype=np.uint8).reshape(-1, bins).sum(axis=0, dtype=np.int64) for r in rows])
+        for i in np.flatnonzero(width[rows] == bins):
+            low = np.minimum(table, table[i])
+            most = low.sum(axis=1) + np.where((low >= 255).any(axis=1), sizes[rows[i]], 0)  # full bins may hold any number
+            near = most * (1 + similarity) >= similarity * (sizes[rows] + sizes[rows[i]]) - 1e-6
+            near[i] = False
+            found[rows[near]] = True
+            found[rows[i]] |= near.any()
+    return found
+
+
 def alike(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """All pairs ``i < j`` of sets, each without repeats, that are at least ``similarity`` alike."""
     n = len(sets)

@@ -25,7 +25,22 @@ from pyspark.sql import functions as F
 
 from stationcast.llm import text as tx
 from stationcast.llm.components import components
-from stationcast.llm.jaccard import alike, class_rows, class_sets, named_texts, prefixes, set_prints, shingles, text_digest
+from stationcast.llm.jaccard import (
+    DIGEST,
+    alike,
+    bin_counts,
+    class_rows,
+    class_sets,
+    if_few,
+    maybe_alike,
+    named_texts,
+    prefixes,
+    read_sets,
+    sampled,
+    set_prints,
+    shingles,
+    text_digest,
+)
 from stationcast.session import stage
 
 #: Rows of a bucket that are compared in one block; larger buckets are cut into tiles of this size.
@@ -35,6 +50,9 @@ _BLOCK = 512
 #: Rows of a bucket table that may be broadcast, by a count.
 _FEW = 100_000
 
+#: Bits in which fingerprints of near-duplicates may differ to be judged as a group first.
+RADIUS = 3
+
 #: Two ends and a cost for each linked pair of a block.
 Links = tuple[np.ndarray, np.ndarray, np.ndarray]
 
@@ -383,16 +401,8 @@ def _other_places(rows: DataFrame, roots: DataFrame, most: int) -> DataFrame:
     return known.join(mixed, "bucket").select("bucket", "fp", F.explode(tiles).alias("tile")).select(F.xxhash64("bucket", "tile").alias("place"), "fp")
 
 
-def sure_links(dealt: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
-    """Links ``a, b`` of classes in a ``bucket`` whose sets are at least ``similarity`` alike, spanning forests.
-
-    ``dealt`` has ``bucket, fp``, ``held`` the sets (``fp, set``), which come along with the
-    rows. Pairs are judged by their exact similarity before a forest is taken. First every
-    class is compared in its largest bucket alone, in tiles that share one member; that joins
-    most copies. Then only buckets that still hold several components are compared, each
-    pair of different components in them, so the links have all components of the pairs
-    that hold, and a bucket of one group of copies costs its rows and not their pairs.
-    """
+def _judged(placed: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """Links ``a, b`` of classes of one ``place`` whose sets (``held``) are at least ``similarity`` alike, spanning forests."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def links(fps: list[bytes], sets: list[np.ndarray]) -> tuple[list[bytes], list[bytes]]:
@@ -405,6 +415,7 @@ def sure_links(dealt: DataFrame, held: DataFrame, similarity: float) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fps: list[bytes] = []
         sets: list[np.ndarray] = []
+        seen: set[bytes] = set()
         at = None
         for batch in batches:
             a: list[bytes] = []
@@ -415,22 +426,83 @@ def sure_links(dealt: DataFrame, held: DataFrame, similarity: float) -> DataFram
                     x, y = links(fps, sets)
                     a += x
                     b += y
-                    fps, sets, at = [], [], place
-                fps.append(fp)
-                sets.append(flat[ends[k] : ends[k + 1]])
+                    fps, sets, at, seen = [], [], place, set()
+                if fp not in seen:
+                    seen.add(fp)
+                    fps.append(fp)
+                    sets.append(flat[ends[k] : ends[k + 1]])
             if a:
                 yield tx.table_rows({"a": a, "b": b}, schema)
             sets = [x.copy() for x in sets]  # lets the batch go
         x, y = links(fps, sets)
         yield tx.table_rows({"a": x, "b": y}, schema)
 
-    def compared(placed: DataFrame) -> DataFrame:
-        rows = _by_place(placed.join(held, "fp").select("place", "fp", "set"))
-        return stage(rows.mapInArrow(run, "a binary, b binary"), "sure-links")
+    rows = _by_place(placed.join(held, "fp").select("place", "fp", "set"))
+    return stage(rows.mapInArrow(run, "a binary, b binary"), "sure-links")
+
+
+def _hopeful(placed: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """The rows ``place, fp`` of ``placed`` that may be alike to another of their place, by ``counts`` and ``size`` of the classes."""
+    schema = pa.schema([("place", pa.int64()), ("fp", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: dict[bytes, tuple[bytes, int]] = {}
+        at = None
+
+        def hopeful() -> list[bytes]:
+            if len(group) < 2:
+                return []
+            counts, sizes = zip(*group.values())
+            return [fp for fp, x in zip(group, maybe_alike(counts, np.array(sizes), similarity)) if x]
+
+        for batch in batches:
+            places: list[int] = []
+            fps: list[bytes] = []
+            for place, fp, counts, size in zip(*[c.to_pylist() for c in batch.columns]):
+                if place != at:
+                    kept = hopeful()
+                    places += [at] * len(kept)
+                    fps += kept
+                    group, at = {}, place
+                group[fp] = counts, size
+            yield tx.table_rows({"place": places, "fp": fps}, schema)
+        kept = hopeful()
+        yield tx.table_rows({"place": [at] * len(kept), "fp": kept}, schema)
+
+    rows = _by_place(placed.join(classes.select("fp", "counts", "size"), "fp").select("place", "fp", "counts", "size"))
+    return rows.mapInArrow(run, "place bigint, fp binary")
 
+
+def sure_links(dealt: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """Links ``a, b`` of classes in a ``bucket`` whose sets are at least ``similarity`` alike, spanning forests.
+
+    ``dealt`` has ``bucket, fp``, ``held`` the sets (``fp, set``), which come along with the
+    rows. Pairs are judged by their exact similarity before a forest is taken. First every
+    class is compared in its largest bucket alone, in tiles that share one member; that joins
+    most copies. Then only buckets that still hold several components are compared, each
+    pair of different components in them, so the links have all components of the pairs
+    that hold, and a bucket of one group of copies costs its rows and not their pairs.
+    """
     rows = _shared_buckets(dealt, similarity)
-    first = compared(_first_places(rows, TILE // 4))
-    return first.unionByName(compared(_other_places(rows, components(first), TILE // 4)))
+    first = _judged(_first_places(rows, TILE // 4), held, similarity)
+    return first.unionByName(_judged(_other_places(rows, components(first), TILE // 4), held, similarity))
+
+
+def _sketch(sets: list[np.ndarray]) -> list[bytes]:
+    """64-bit SimHash fingerprints of sets of hashes, big-endian."""
+    counts = np.array([len(x) for x in sets], dtype=np.int64)
+    made = majority(np.concatenate([*sets, np.zeros(0, dtype=np.uint64)])[:, None], counts)
+    packed = made.astype(">u8").tobytes()
+    return [packed[8 * i : 8 * i + 8] for i in range(len(sets))]
+
+
+def _groups_by_simhash(classes: DataFrame, radius: int) -> DataFrame:
+    """``bucket, fp`` of the classes whose fingerprints (``sketch``) are linked to another class's, within ``radius`` bits."""
+    values = stage(classes.select(F.col("sketch").alias("fp")).distinct(), "simhashes")
+    roots = components(near_fingerprints(values, radius, pigeonhole_groups(64, radius)))
+    rows = classes.join(roots, F.col("sketch") == F.col("node"), "left").select(F.xxhash64(F.coalesce("root", "sketch")).alias("bucket"), "fp")
+    several = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+    return stage(rows.join(several, "bucket"), "simhash-groups")
 
 
 def near_fingerprints(fps: DataFrame, radius: int, groups: list[list[int]]) -> DataFrame:
@@ -467,10 +539,11 @@ def near_duplicate_groups(
     """Documents whose sets of ``size``-word shingles are at least ``similarity`` alike, as components.
 
     Exact up to collisions of 64-bit hashes: ``fp`` is a digest of the set, so a class holds
-    equal sets; two sets that are alike share a shingle of their prefixes, which are the
-    buckets; and all pairs of a bucket are judged by the exact similarity. A distance of
-    fingerprints only estimates it and decides nothing here. Texts without words form a
-    group of their own.
+    equal sets. SimHash fingerprints within ``RADIUS`` bits make the groups that are judged
+    first; two alike sets that they leave apart share a shingle of their prefixes, which are
+    buckets. All pairs of a group or a bucket are judged by the exact similarity: a distance
+    of fingerprints, which only estimates it, joins or parts nothing by itself. Texts without
+    words form a group of their own.
     """
     prints, named = _near_classes(docs, key, text, size, similarity)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -479,12 +552,30 @@ def near_duplicate_groups(
 
 
 def _near_classes(docs: DataFrame, key: str, text: str, size: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """The rows' classes (``doc, digest, fp``), and of each class its row and component (``fp, least, digest, root``)."""
-    prints = stage(set_prints(docs, key=key, text=text, size=size), "prints")
-    classes = stage(class_rows(prints), "set-classes")
-    held = class_sets(classes, named_texts(docs, key, text), size)
-    roots = components(sure_links(prefixes(held, similarity), held, similarity)).withColumnRenamed("node", "fp")
-    return prints, stage(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "near-classes")
+    """The rows' classes (``doc, digest, fp``), and of each class its row and component (``fp, least, digest, root``).
+
+    SimHash fingerprints of the sets are linked within ``RADIUS`` bits, and the pairs of their
+    groups are judged by exact similarity. Alike sets whose fingerprints differ by more share
+    a member of their prefixes: buckets that still hold several components are judged too.
+    Prefixes are made where the texts lie, and sets only of classes that may be alike to
+    another of their place by the counts of their members in bins, a bound without misses.
+    """
+    texts = named_texts(docs, key, text)
+    prints = stage(set_prints(docs, key=key, text=text, words=size, sketch=_sketch, counts=bin_counts), "prints")
+    rows = stage(class_rows(prints), "set-classes")
+    classes = rows.filter(F.col("fp") != F.lit(bytes(DIGEST)))
+
+    def judged(placed: DataFrame) -> DataFrame:
+        placed = stage(_hopeful(placed, classes, similarity), "places")
+        wanted = classes.join(placed.select("fp").distinct(), "fp", "left_semi")
+        return _judged(placed, class_sets(wanted, texts, size), similarity)
+
+    first = judged(_first_places(_groups_by_simhash(classes, RADIUS), TILE // 4))
+    dealt = prefixes(read_sets(texts, size), similarity, class_sets(sampled(classes), texts, size))
+    rest = judged(_other_places(_shared_buckets(dealt, similarity), components(first), TILE // 4))
+    roots = components(first.unionByName(rest)).withColumnRenamed("node", "fp")
+    named = rows.select("fp", "least", "digest").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return prints, stage(named, "near-classes")
 
 
 def keep_one_per_group(
@@ -497,12 +588,18 @@ def keep_one_per_group(
     digest; of rows that repeat both, one stays. Rows of another text that share its key are
     judged by their own text. Documents without any word are no copies of each other and stay.
     """
-    _, named = _near_classes(docs, key, text, size, similarity)
+    prints, named = _near_classes(docs, key, text, size, similarity)
     best = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "digest"))
     kept = named.groupBy("root").agg(best.alias("r")).select(F.col("r.least").alias("_kept_key"), F.col("r.digest").alias("_kept_text"))
-    said = F.col(f"`{text}`")
-    wordy = F.coalesce(said.rlike(tx.WORD), F.lit(False))
-    marked = docs.withColumn("_key", F.col(f"`{key}`").cast("bigint")).withColumn("_text", text_digest(said))
-    same = F.col("_key").eqNullSafe(F.col("_kept_key")) & (F.col("_text") == F.col("_kept_text"))
-    first = marked.filter(wordy).join(kept, same, "left_semi").dropDuplicates(["_key", "_text"])
-    return first.unionByName(marked.filter(~wordy)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # what goes, and what stays but comes repeatedly; all other rows stay as they are, unmoved where those are few
+    times = prints.filter(F.col("fp") != F.lit(bytes(DIGEST))).groupBy("doc", "digest").agg(F.count(F.lit(1)).alias("n"))
+    known = F.col("doc").eqNullSafe(F.col("_kept_key")) & (F.col("digest") == F.col("_kept_text"))
+    marks = times.join(kept, known, "left").withColumn("_goes", F.col("_kept_text").isNull()).filter("_goes or n > 1")
+    marks = stage(marks.select(F.col("doc").alias("_doc"), F.col("digest").alias("_digest"), "_goes"), "marks")
+    same = F.col("_key").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_digest"))
+    marked = docs.withColumn("_key", F.col(f"`{key}`").cast("bigint")).withColumn("_text", text_digest(F.col(f"`{text}`")))
+    left = marked.join(if_few(marks), same, "left_anti")
+    repeated = marks.filter(~F.col("_goes"))
+    if not repeated.isEmpty():
+        left = left.unionByName(marked.join(if_few(repeated), same, "left_semi").dropDuplicates(["_key", "_text"]))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -302,6 +302,46 @@ def test_kept_rows_against_brute_force(spark, monkeypatch, seed):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_near_duplicates_go_through_simhash(spark, monkeypatch):
+    """The groups of linked fingerprints are judged; sets are made of few texts, though all share a rare shingle."""
+    linked, made = [], []
+    near, sets = simhash.near_fingerprints, simhash.class_sets
+
+    def links(fps, radius, groups):
+        linked.append((fps.count(), radius))
+        return near(fps, radius, groups)
+
+    def held(classes, texts, size):
+        made.append(classes.count())
+        return sets(classes, texts, size)
+
+    monkeypatch.setattr(simhash, "near_fingerprints", links)
+    monkeypatch.setattr(simhash, "class_sets", held)
+    rng = np.random.default_rng(14)
+    rows = [(i, "five words all texts share " + " ".join(f"u{x}" for x in rng.integers(0, 1 << 40, 300))) for i in range(60)]
+    rows += [(60 + i, rows[i][1] + " more") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(df).collect()}
+    assert got == {i: i % 60 for i in range(63)}
+    assert linked == [(63, simhash.RADIUS)]
+    assert sorted(made)[0] <= 6 and sum(made) <= 63 + 6  # those of the sample and of the pairs that are judged
+
+
+def test_bins_miss_no_alike_sets():
+    rng = np.random.default_rng(15)
+    sets = []
+    for _ in range(40):
+        base = rng.integers(0, 1 << 63, int(rng.integers(1, 900))).astype(np.uint64)
+        if rng.random() < 0.3:
+            base = base << np.uint64(12)  # one bin holds them all
+        sets += [np.unique(base), np.unique(np.append(base[: int(len(base) * rng.uniform(0.3, 1)) + 1], np.uint64(7)))]
+    for similarity in (0.2, 0.5, 0.8):
+        got = jaccard.maybe_alike(jaccard.bin_counts(sets), np.array([len(x) for x in sets]), similarity)
+        i, j = jaccard.alike(sets, similarity)
+        assert len(i) and got[i].all() and got[j].all()
+        assert similarity < 0.8 or got.sum() < len(sets)
+
+
 def test_fingerprints_of_neighbours(docs, none):
     rows = [r for r in TEXTS]
     got = fingerprints.fingerprint_documents(docs).collect()
