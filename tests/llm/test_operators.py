@@ -394,6 +394,45 @@ def test_repeats_over_tiles(spark, monkeypatch):
     assert set(got) == set(range(30)) and min(got.values()) >= 260
 
 
+@pytest.mark.parametrize("keep_first", [True, False])
+@pytest.mark.parametrize("tile", [2, 4096])
+def test_large_anchors_in_parts(spark, monkeypatch, tile, keep_first):
+    """Many near copies of a passage, with repeated rows; rows made stay in proportion to them."""
+    monkeypatch.setattr(suffix_dedup, "TILE", tile)
+    length, rng = 200, np.random.default_rng(16)
+    base = "".join(rng.choice(list("abcdefgh"), 700))
+    rows = []
+    for i in range(24):
+        mine = list(base)
+        for at in rng.integers(0, 700, int(rng.integers(0, 5))):
+            mine[at] = "X"
+        rows.append((i, "".join(mine[int(rng.integers(0, 80)) :])))
+    seen, count = set(), collections.Counter(t[p : p + length] for _, t in rows for p in range(len(t) - length + 1))
+    want = {}
+    for i, t in rows:
+        cover = bytearray(len(t))
+        for p in range(len(t) - length + 1):
+            x = t[p : p + length]
+            if (x in seen) if keep_first else count[x] > 1:
+                cover[p : p + length] = b"\1" * length
+        for p in range(len(t) - length + 1):
+            if keep_first and t.find(t[p : p + length]) < p:
+                cover[p : p + length] = b"\1" * length
+            seen.add(t[p : p + length])
+        want[i] = sum(cover)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc"]: r["n_removed"] for r in suffix_dedup.dedup_report(df, length=length, keep_first=keep_first).collect()}
+    assert got == want
+
+
+def test_contexts_are_ordered_as_strings():
+    """A block sorts its contexts, not all their bytes as suffixes."""
+    strings = [b"abc", b"abd", b"ab", b"x", b"abc"]
+    order, shared = suffix_dedup.common_prefixes(strings, np.array([0, 0, 0, 0, 1]))
+    assert [strings[i] for i in order] == [b"ab", b"abc", b"abd", b"x", b"abc"]
+    assert shared.tolist() == [-1, 2, 2, 0, -1]
+
+
 def test_removed_spans_hold_whole_characters(docs):
     cut = suffix_dedup.remove_repeats(docs, length=200)
     assert cut.columns == docs.columns and cut.count() == len(TEXTS)
