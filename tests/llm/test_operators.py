@@ -425,6 +425,24 @@ def test_large_anchors_in_parts(spark, monkeypatch, tile, keep_first):
     assert got == want
 
 
+def test_only_anchors_that_occur_again_are_stored(spark, monkeypatch):
+    kept = {}
+    plain = suffix_dedup.stage
+    monkeypatch.setattr(suffix_dedup, "stage", lambda df, name, *a: kept.setdefault(name, plain(df, name, *a)))
+    rng = np.random.default_rng(3)
+    alone = [(i, "".join(rng.choice(list("abcdefgh "), 2000))) for i in range(20)]
+    shared = "".join(rng.choice(list("abcdefgh "), 600))
+    rows = [*alone, *[(100 + i, shared) for i in range(30)], (200, "x" + shared), (201, shared + "y"), (None, shared)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    got = {r["doc"]: r["n_removed"] for r in suffix_dedup.dedup_report(df, keep_first=False).collect()}
+    assert got == {i: 0 if i is not None and i < 100 else 600 for i, _ in rows}
+    stored = kept["anchors"].groupBy("doc").count().collect()
+    assert {r["doc"] for r in stored} == {i for i, _ in rows if i is None or i >= 100}
+    # every anchor of the copies is there once, however they were dealt
+    own = suffix_dedup._anchor_rows(suffix_dedup._keys(df, "doc_id", "text"), suffix_dedup.LENGTH)
+    assert kept["anchors"].count() == own.filter("doc is null or doc >= 100").count()
+
+
 def test_contexts_are_ordered_as_strings():
     """A block sorts its contexts, not all their bytes as suffixes."""
     strings = [b"abc", b"abd", b"ab", b"x", b"abc"]
