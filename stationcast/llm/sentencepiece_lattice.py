@@ -2,7 +2,7 @@
 
 Texts are cut into chunks that no piece of the model spans: at every space, which becomes
 the first character of what follows, at line feeds and, if no piece of the model goes on
-there, after Latin letters that something else follows. Distinct chunks of the corpus are
+there, after Latin letters that something else follows. Distinct chunks are
 encoded once: all their substrings up to the length of the longest piece that begins with
 the same three characters are exploded, joined to the piece table, the matches (edges) grouped by chunk, and the best path folded from left
 to right with the higher-order ``aggregate``: for each end the best score over all edges
@@ -12,8 +12,11 @@ Viterbi search of a unigram model over the pieces of the file. Of a file whose s
 merge ranks it takes the pieces and ids, with log-probabilities made from the ranks; such
 ids decode to the same text, but are not always those that merging in order gives.
 
-Encoded chunks are then laid over the texts: the ``MOST_CHUNKS`` most frequent ones in a
-table of fixed size that is broadcast, the others, if there are more, joined by chunk.
+Encoded chunks are then laid over the texts, in one way for every size. The most frequent ones
+of a bounded sample of the texts, ``MOST_CHUNKS`` at most, are encoded first and broadcast; which
+ones these are changes no result. Texts are taken in packs of about ``_PACK_BYTES``; every chunk
+of a pack that is not in the table is encoded once for the corpus, and the pack, compressed,
+meets its own by a join. So a text is moved once and packed, and only rare chunks beside it.
 
 A chunk of over ``LONG`` characters (a line of Chinese, a run of digits or spaces) is not cut
 either: it has no place in the tables and gets the same search, in time linear in its length,
@@ -25,10 +28,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,16 +50,20 @@ FINE_CHUNK = f"\\n|\u2581+{_OTHER}*[{_LATIN}]*|{_OTHER}+[{_LATIN}]*|[{_LATIN}]+"
 _RUN = CHUNK
 #: Characters of a chunk that is encoded once for the whole corpus; longer ones hardly repeat.
 LONG = 64
-#: Chunks hashed and bytes of text laid over at a time in a task.
-_AT_ONCE = 1 << 16
-_BATCH_BYTES = 512 << 10
+#: Chunks hashed at a time in a task.
+_AT_ONCE = 1 << 18
+#: Text that is packed and laid over at a time, about.
+_PACK_BYTES = 2 << 20
+_PACKING = pa.Codec("zstd", compression_level=6)
 #: Chunks that one task encodes, about.
 _TASK_CHUNKS = 50_000
 UNKNOWN_PENALTY = 10.0
 #: A substring that begins with this many characters need be no longer than the longest piece that does.
 HEAD = 3
 #: Chunks in the broadcast table, at most; about 20 bytes each.
-MOST_CHUNKS = 2_000_000
+MOST_CHUNKS = 500_000
+#: Text from which the chunks of the table are chosen, about; all texts are encoded, whatever it holds.
+SAMPLE_BYTES = 128 << 20
 
 # The kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
@@ -289,40 +297,108 @@ class ChunkTable:
 
 
 def chunk_hashes(chunks: pa.Array) -> np.ndarray:
-    data, offsets = tx.batch_bytes(chunks)
+    data, offsets = tx.batch_bytes(pc.replace_substring(chunks, SPACE, " "))
     return tx.content_hashes(data, offsets[:-1], offsets[1:])
 
 
-def _places(texts: list[str | None], known: ChunkTable, chunks: re.Pattern) -> tuple[np.ndarray, list[int], dict[int, str]]:
-    """Places in the table of all chunks of the texts, how many each text has, and the chunks not in it by position.
+_OTHER_KIND, _LATIN_KIND, _MARK_KIND, _LINE_KIND, _LATIN_LEAD = range(5)
+#: Kinds of first bytes; those of two-byte Latin letters are told from others by their second.
+_KINDS = np.full(256, _OTHER_KIND, dtype=np.uint8)
+_KINDS[[*range(65, 91), *range(97, 123)]] = _LATIN_KIND
+_KINDS[32], _KINDS[10] = _MARK_KIND, _LINE_KIND
+_KINDS[0xC3:0xCA] = _LATIN_LEAD
 
-    Chunks are hashed ``_AT_ONCE`` at a time and then let go, so a long text needs little more than its places.
-    """
-    places: list[np.ndarray] = [np.zeros(0, np.int32)]
-    counts: list[int] = []
-    missing: dict[int, str] = {}
-    held: list[str] = []
-    done = 0
-
-    def look_up() -> None:
-        nonlocal done
-        found = known.find(chunk_hashes(pa.array(held, pa.large_string())))
-        missing.update((done + int(i), held[i]) for i in np.flatnonzero(found < 0))
-        places.append(found.astype(np.int32))
-        done += len(held)
-        held.clear()
-
-    for t in texts:
-        before = done + len(held)
-        matches = chunks.finditer(SPACE + t.replace(" ", SPACE)) if t else iter(())
-        while part := [m[0] for m in islice(matches, _AT_ONCE)]:
-            held += part
-            if len(held) >= _AT_ONCE:
-                look_up()
-        counts.append(done + len(held) - before)
-    if held:
-        look_up()
-    return np.concatenate(places), counts, missing
+
+def spaced(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes and offsets of the texts as ``marked`` makes them, with a space for every mark."""
+    texts = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), SPACE, " ")
+    space, nothing = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
+    return tx.batch_bytes(pc.if_else(pc.equal(texts, nothing), texts, pc.binary_join_element_wise(space, texts, nothing)))
+
+
+def cut_chunks(data: np.ndarray, offsets: np.ndarray, fine: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the chunks of spaced texts, and how many each text has: ``FINE_CHUNK`` or ``CHUNK`` over bytes."""
+    kind = _KINDS[data]
+    lead = np.flatnonzero(kind == _LATIN_LEAD)
+    first, second = data[lead], data[lead + 1]
+    other = (first == 0xC3) & ((second == 0x97) | (second == 0xB7)) | (first == 0xC9) & (second > 0x8F)
+    kind[lead] = kind[lead + 1] = np.where(other, _OTHER_KIND, _LATIN_KIND)
+    opens = np.zeros(len(data), dtype=bool)
+    now, before = kind[1:], kind[:-1]
+    opens[1:] = (now == _LINE_KIND) | (before == _LINE_KIND) | (now == _MARK_KIND) & (before != _MARK_KIND)
+    if fine:
+        opens[1:] |= (now == _OTHER_KIND) & (before == _LATIN_KIND)
+    opens[offsets[:-1][offsets[:-1] < len(data)]] = True
+    starts = np.flatnonzero(opens)
+    return starts, np.append(starts[1:], len(data)), np.diff(np.searchsorted(starts, offsets))
+
+
+@dataclass(frozen=True)
+class Cut:
+    """The chunks of a batch of texts and their places in a table, -1 where there is none."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    counts: np.ndarray
+    places: np.ndarray
+    rare: np.ndarray
+    rare_at: np.ndarray
+
+    @staticmethod
+    def of(texts: pa.Array, known: ChunkTable, fine: bool) -> Cut:
+        """``rare`` has the hashes of the chunks without a place, each once, ``rare_at`` one chunk of each."""
+        data, offsets = spaced(texts)
+        starts, ends, counts = cut_chunks(data, offsets, fine)
+        places = np.full(len(starts), -1, dtype=np.int32)
+        hashes, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for i in range(0, len(starts), _AT_ONCE):
+            low, high = starts[i : i + _AT_ONCE], ends[i : i + _AT_ONCE]
+            found = tx.content_hashes(data[low[0] : high[-1]], low - low[0], high - low[0])
+            places[i : i + _AT_ONCE] = known.find(found)
+            out = np.flatnonzero(places[i : i + _AT_ONCE] < 0)
+            own, where = np.unique(found[out], return_index=True)
+            hashes.append(own)
+            at.append(out[where] + i)
+        rare, where = np.unique(np.concatenate(hashes), return_index=True)
+        return Cut(data, starts, ends, counts, places, rare, np.concatenate(at)[where])
+
+    def chunk(self, i: int) -> str:
+        return self.data[self.starts[i] : self.ends[i]].tobytes().decode().replace(" ", SPACE)
+
+    def hashes(self, at: np.ndarray) -> np.ndarray:
+        return tx.content_hashes(self.data, self.starts[at], self.ends[at])
+
+
+def pack_mark(texts: pa.Array) -> int:
+    """Packs of other texts have other marks; equal packs have the same chunks, so they may share one."""
+    data, offsets = tx.batch_bytes(texts)
+    mark = xxhash.xxh64(offsets.tobytes())
+    mark.update(data.tobytes())
+    return mark.intdigest() - (1 << 63)
+
+
+def pack(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=_PACKING)) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def frequent_chunks(docs: DataFrame, text: str, key: str, pattern: str, most: int) -> DataFrame:
+    """``chunk, n`` of the chunks met most often in the sample, ``most`` at most; all or none of equal counts."""
+    column = F.col(f"`{text}`")
+    size = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    mark = F.xxhash64(column, *[F.col(f"`{c}`").cast("string") for c in docs.columns if c == key])
+    sample = docs.filter(F.pmod(mark, F.lit(size // SAMPLE_BYTES + 1)) == 0)
+    counts = stage(chunk_counts(sample, text, pattern), "chunks")
+    least, total = 1 << 62, 0
+    for n, chunks in counts.groupBy("n").agg(F.count(F.lit(1))).orderBy(F.desc("n")).collect():  # a row per count, a few thousand
+        total += chunks
+        if total > most:
+            break
+        least = n
+    return counts.filter(F.col("n") >= least)
 
 
 def encode(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", most_chunks: int = MOST_CHUNKS) -> DataFrame:
@@ -333,71 +409,69 @@ def encode(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "t
     """
     spark = docs.sparkSession
     pattern = model.chunk_pattern()
-    cut = re.compile(pattern)
-    encoded = stage(encode_chunks(stage(chunk_counts(docs, text, pattern), "chunks"), model), "encoded-chunks")
-    total = encoded.count()
-    frequent = encoded.orderBy(F.desc("n"), "chunk").limit(most_chunks) if total > most_chunks else encoded
-    table = spark.sparkContext.broadcast(ChunkTable.of(frequent))
+    fine = pattern == FINE_CHUNK
+    table = spark.sparkContext.broadcast(ChunkTable.of(encode_chunks(frequent_chunks(docs, text, key, pattern, most_chunks), model)))
     long = spark.sparkContext.broadcast(LongChunks.of(model))
     kept = [c for c in docs.columns if c.lower() != "ids"]
     base = docs.select(*[F.col(f"`{c}`") for c in kept])
     at = kept.index(text)
     spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    if total <= most_chunks:
-        return base.mapInArrow(_lay(table, long, cut, at, None), f"{spec}, ids array<int>")
-    # rows whose chunks are not all in the table bring the others with them, joined by chunk
-    row = F.struct(*[F.col(f"`{c}`") for c in kept])
-    mark = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")))
-    keyed = base.select(row.alias("row"), mark.alias("mark"))
-    schema = pa.schema([("mark", pa.int64()), ("chunk", pa.string())])
+    schema = pa.schema([("pack", pa.int64()), ("chunk", pa.string())])
+    packed = pa.schema([("pack", pa.int64()), ("rows", pa.binary())])
 
     def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tx.small_batches(batches, 1, _BATCH_BYTES):
-            _, counts, out = _places(batch.column(1).to_pylist(), table.value, cut)
-            out = {i: c for i, c in out.items() if len(c) <= LONG}
-            owner = np.asarray(batch.column(0))[np.searchsorted(np.cumsum(counts), list(out), side="right")]
-            pairs = set(zip(owner.tolist(), out.values()))
-            yield tx.table_rows({"mark": [m for m, _ in pairs], "chunk": [c for _, c in pairs]}, schema)
-
-    needed = keyed.select("mark", f"row.{text}").mapInArrow(missing, "mark bigint, chunk string").distinct()
-    per = needed.join(encoded.select("chunk", "ids"), "chunk").groupBy("mark").agg(F.collect_list(F.struct("chunk", "ids")).alias("more"))
-    joined = keyed.join(per, "mark", "left").select("row.*", "more")
-    return joined.mapInArrow(_lay(table, long, cut, at, len(kept)), f"{spec}, ids array<int>")
-
-
-def _lay(table, long, cut: re.Pattern, at: int, more: int | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: ChunkTable = table.value
-        for batch in tx.small_batches(batches, at, _BATCH_BYTES):
-            found, counts, missing = _places(batch.column(at).to_pylist(), known, cut)
-            ends = np.cumsum(counts)
-            own: list[np.ndarray] = []
-            for row, (end, count) in enumerate(zip(ends.tolist(), counts)):
-                place = found[end - count : end]
-                if (place < 0).any():
-                    extra = {m["chunk"]: m["ids"] for m in batch.column(more)[row].as_py() or []} if more is not None else {}
-                    parts = []
-                    for i, p in enumerate(place.tolist(), end - count):
-                        if p >= 0:
-                            parts.append(known.ids[known.begins[p] : known.begins[p + 1]])
-                        elif len(missing[i]) > LONG:
-                            parts.append(long.value.ids(missing[i]))
-                        else:
-                            parts.append(np.array(extra[missing[i]], dtype=np.uint32))
-                    own.append(np.concatenate(parts))
-                    continue
-                begin = known.begins[place].astype(np.int64)
-                sizes = known.begins[place + 1].astype(np.int64) - begin
-                shift = np.cumsum(sizes) - sizes
-                own.append(known.ids[np.repeat(begin - shift, sizes) + np.arange(sizes.sum())])
-            flat = np.concatenate(own).astype(np.int32) if own else np.zeros(0, np.int32)
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            columns = [c for i, c in enumerate(batch.columns) if i != more]
-            names = [x for i, x in enumerate(batch.schema.names) if i != more]
-            yield pa.RecordBatch.from_arrays([*columns, ids], names=[*names, "ids"])
-
-    return run
+        for batch in tx.small_batches(batches, at, _PACK_BYTES):
+            cut = Cut.of(batch.column(at), table.value, fine)
+            chunks = [c for c in map(cut.chunk, cut.rare_at.tolist()) if len(c) <= LONG]
+            yield tx.table_rows({"pack": [pack_mark(batch.column(at))] * len(chunks), "chunk": chunks}, schema)
+
+    def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tx.small_batches(batches, at, _PACK_BYTES):
+            yield tx.table_rows({"pack": [pack_mark(batch.column(at))], "rows": [pack(batch)]}, packed)
+
+    needed = base.mapInArrow(missing, "pack bigint, chunk string")
+    rare = stage(needed.groupBy("chunk").agg(F.collect_set("pack").alias("packs")), "rare-chunks")
+    coded = encode_chunks(rare.select("chunk", F.lit(1).alias("n")), model)
+    own = coded.join(rare, "chunk").select(F.explode("packs").alias("pack"), "chunk", "ids")
+    more = own.groupBy("pack").agg(F.collect_list(F.struct("chunk", "ids")).alias("more"))
+    joined = base.mapInArrow(packs, "pack bigint, rows binary").join(more, "pack", "left").select("rows", "more")
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, chunks in zip(*batch.columns):
+                with pa.ipc.open_stream(rows.as_buffer()) as stream:
+                    for part in stream:
+                        yield _with_ids(part, at, chunks.values, table.value, long.value, fine)
+
+    return joined.mapInArrow(lay, f"{spec}, ids array<int>")
+
+
+def _with_ids(batch: pa.RecordBatch, at: int, more: pa.StructArray | None, known: ChunkTable, long: LongChunks, fine: bool) -> pa.RecordBatch:
+    """The batch and its ids, from the table, from ``more`` and, for long chunks, by the search.
+
+    A chunk in neither is searched too: packs that come in another order when Spark reads them again have others' chunks.
+    """
+    cut = Cut.of(batch.column(at), known, fine)
+    ids_of: dict[int, np.ndarray] = {}
+    if more is not None and len(cut.rare):
+        lists = more.field("ids")
+        flat, begins = np.asarray(lists.values), np.asarray(lists.offsets)
+        ids_of = {h: flat[b:e] for h, b, e in zip(chunk_hashes(more.field("chunk")).tolist(), begins[:-1].tolist(), begins[1:].tolist())}
+    extra = [ids_of[h] if h in ids_of else long.ids(cut.chunk(i)) for h, i in zip(cut.rare.tolist(), cut.rare_at.tolist())]
+    ids = np.concatenate([known.ids.astype(np.int32), *extra], dtype=np.int32, casting="unsafe")
+    begins = np.concatenate([known.begins.astype(np.int64), len(known.ids) + np.cumsum([len(x) for x in extra], dtype=np.int64)])
+    out = np.flatnonzero(cut.places < 0)
+    places = cut.places.astype(np.int64)
+    for i in range(0, len(out), _AT_ONCE):
+        some = out[i : i + _AT_ONCE]
+        places[some] = len(known.hashes) + np.searchsorted(cut.rare, cut.hashes(some))
+    first = begins[places]
+    sizes = begins[places + 1] - first
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    flat = ids[np.repeat(first - ends[:-1], sizes) + np.arange(ends[-1])]
+    offsets = ends[np.concatenate([[0], np.cumsum(cut.counts)])].astype(np.int32)
+    column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+    return pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "ids"])
 
 
 def decode(rows: DataFrame, model: Model, *, ids: str = "ids", name: str = "decoded") -> DataFrame:

@@ -688,6 +688,47 @@ def test_long_runs_are_not_cut(spark, model, most):
         assert sum(model.scores[i] for i in r["ids"]) == pytest.approx(best, abs=1e-3), r["text"]
 
 
+def test_chunks_are_cut_as_the_pattern_says():
+    rng = np.random.default_rng(3)
+    signs = list("aZ9 \n\t.éÀÿ×÷ŁǅɏɐȀ▁▂日😀Ωß\u00bf\u00c0") + [" ", "\n", "a"]
+    texts = ["".join(rng.choice(signs, n)) for n in rng.integers(0, 60, 400)] + [None, "", " ", "▁", "\n", "x\n", "\ny"]
+    for pattern in (sentencepiece_lattice.CHUNK, sentencepiece_lattice.FINE_CHUNK):
+        data, offsets = sentencepiece_lattice.spaced(pa.array(texts))
+        starts, ends, counts = sentencepiece_lattice.cut_chunks(data, offsets, pattern == sentencepiece_lattice.FINE_CHUNK)
+        got = iter(data[b:e].tobytes().decode().replace(" ", "▁") for b, e in zip(starts, ends))
+        for t, count in zip(texts, counts):
+            assert list(itertools.islice(got, count)) == (re.findall(pattern, "▁" + t.replace(" ", "▁")) if t else [])
+        assert next(got, None) is None
+
+
+def test_one_way_for_every_size(spark, model, monkeypatch):
+    """Neither the table's size nor the sample changes ids or plan; texts cross the join packed."""
+    texts = [f"line {i % 7} of {i} words,\nrare{i * i} été " * (i % 5) for i in range(300)] + [None, "", "7" * 90 + " x"] * 2
+    df = spark.createDataFrame([(i % 290, t, i) for i, t in enumerate(texts)], "doc_id bigint, text string, n int")
+    ids, plans = [], []
+    for most, sample in ((10**6, 1 << 27), (10**6, 500), (20, 1 << 27), (0, 1 << 27)):
+        monkeypatch.setattr(sentencepiece_lattice, "SAMPLE_BYTES", sample)
+        monkeypatch.setattr(sentencepiece_lattice, "_PACK_BYTES", 3000)
+        encoded = sentencepiece_lattice.encode(df, model, most_chunks=most)
+        assert encoded.columns == ["doc_id", "text", "n", "ids"]
+        ids.append(sorted((r["n"], r["doc_id"], r["text"], r["ids"]) for r in encoded.collect()))
+        plans.append(re.findall("Join|Aggregate|MapInArrow|Generate", encoded._jdf.queryExecution().optimizedPlan().toString()))
+    assert len(ids[0]) == len(texts) and all(x == ids[0] for x in ids) and all(x == plans[0] for x in plans)
+    joined = encoded._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1]
+    assert "rows#" in joined and "more#" in joined
+
+
+def test_packs_of_another_order_still_encode(spark, model):
+    """Chunks that the join did not bring are searched where they are met."""
+    known = sentencepiece_lattice.ChunkTable(np.zeros(0, np.uint64), np.zeros(1, np.uint32), np.zeros(0, np.uint16))
+    long = sentencepiece_lattice.LongChunks.of(model)
+    batch = pa.RecordBatch.from_pydict({"text": ["two words", None, "日本語\n words"]})
+    out = sentencepiece_lattice._with_ids(batch, 0, None, known, long, True)
+    want = sentencepiece_lattice.encode(spark.createDataFrame([(t,) for t in batch.to_pydict()["text"]], "text string"), model)
+    found = {r["text"]: r["ids"] for r in want.collect()}
+    assert out.to_pydict()["ids"] == [found[t] for t in batch.to_pydict()["text"]]
+
+
 def test_long_search_equals_the_fold(spark, model):
     chunks = spark.createDataFrame([("▁" + "ab1" * 9, 1), ("日本😀x" * 4, 1), ("▁▁▁▁▁the", 1), ("information", 2)], "chunk string, n bigint")
     long = sentencepiece_lattice.LongChunks.of(model)
