@@ -51,12 +51,12 @@ _RUN = CHUNK
 #: Characters of a chunk that is encoded once for the whole corpus; longer ones hardly repeat.
 LONG = 64
 #: Chunks hashed at a time in a task.
-_AT_ONCE = 1 << 18
+_AT_ONCE = 1 << 16
 #: Text that is packed and laid over at a time, about.
 _PACK_BYTES = 2 << 20
 _PACKING = pa.Codec("zstd", compression_level=6)
 #: Chunks that one task encodes, about.
-_TASK_CHUNKS = 50_000
+_TASK_CHUNKS = 25_000
 UNKNOWN_PENALTY = 10.0
 #: A substring that begins with this many characters need be no longer than the longest piece that does.
 HEAD = 3
@@ -424,10 +424,12 @@ def encode(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "t
             cut = Cut.of(batch.column(at), table.value, fine)
             chunks = [c for c in map(cut.chunk, cut.rare_at.tolist()) if len(c) <= LONG]
             yield tx.table_rows({"pack": [pack_mark(batch.column(at))] * len(chunks), "chunk": chunks}, schema)
+        pa.default_memory_pool().release_unused()  # idle workers stay while other stages need the memory
 
     def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tx.small_batches(batches, at, _PACK_BYTES):
             yield tx.table_rows({"pack": [pack_mark(batch.column(at))], "rows": [pack(batch)]}, packed)
+        pa.default_memory_pool().release_unused()
 
     needed = base.mapInArrow(missing, "pack bigint, chunk string")
     rare = stage(needed.groupBy("chunk").agg(F.collect_set("pack").alias("packs")), "rare-chunks")
