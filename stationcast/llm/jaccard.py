@@ -21,8 +21,10 @@ _CELLS = 1 << 21
 DIGEST = 16
 #: Rows of a table that may be broadcast, by a count.
 _FEW = 500_000
-#: Sets among which frequent members are looked for, the count above which they are, and how many are kept.
+#: Sets among which frequent members are looked for: so many, or this part of a large table's rows, so that members are
+#: found from one number of sets on however many there are; the count above which they are frequent, and how many are kept.
 _SAMPLE = 8_000
+_SHARE = 32
 _OFTEN = 4
 _MOST_FREQUENT = 200_000
 
@@ -116,84 +118,90 @@ def read_sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "fp binary, set array<bigint>")
 
 
-def set_prints(docs: DataFrame, *, key: str, text: str, words: int, **more: Callable[[list[np.ndarray]], list[bytes]]) -> DataFrame:
+def set_prints(
+    docs: DataFrame,
+    *,
+    key: str,
+    text: str,
+    words: int,
+    prefix: Callable[[list[np.ndarray]], list[np.ndarray]] | None = None,
+    **more: Callable[[list[np.ndarray]], list[bytes]],
+) -> DataFrame:
     """``doc, digest, fp, size`` per row: a digest of the text's set of shingles, zero for texts without words, and its size.
 
-    Each of ``more`` makes a column of binaries from the sets.
+    Each of ``more`` makes a column of binaries from the sets, ``prefix`` one of members
+    (``prefix``), which is empty where a set comes again in a partition.
     """
-    names = ["doc", "digest", "fp", "size", *more]
-    whole = ("doc", "size")
-    schema = pa.schema([(c, pa.int64() if c in whole else pa.binary()) for c in names])
+    kinds = {"doc": ("bigint", pa.int64()), "digest": ("binary", pa.binary()), "fp": ("binary", pa.binary()), "size": ("bigint", pa.int64())}
+    kinds |= {c: ("binary", pa.binary()) for c in more}
+    if prefix is not None:
+        kinds["prefix"] = ("array<bigint>", pa.list_(pa.int64()))
+    schema = pa.schema([(c, kind) for c, (_, kind) in kinds.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in tx.small_batches(batches, "text", 2 << 20):
             own = text_sets(batch.column(2), words)
             made = {"doc": batch.column(0), "digest": batch.column(1), "fp": [set_digest(x) for x in own], "size": [len(x) for x in own]}
-            yield tx.table_rows(made | {c: make(own) for c, make in more.items()}, schema)
+            made |= {c: make(own) for c, make in more.items()}
+            if prefix is not None:
+                fresh = []
+                for fp, x in zip(made["fp"], own):
+                    fresh.append(x[:0] if fp in seen else x)
+                    seen.add(fp)
+                made["prefix"] = [x.view(np.int64) for x in prefix(fresh)]
+            yield tx.table_rows(made, schema)
 
-    return named_texts(docs, key, text).mapInArrow(run, ", ".join(f"{c} {'bigint' if c in whole else 'binary'}" for c in names))
+    return named_texts(docs, key, text).mapInArrow(run, ", ".join(f"{c} {kind}" for c, (kind, _) in kinds.items()))
 
 
-def sampled(classes: DataFrame) -> DataFrame:
-    """About ``_SAMPLE`` of the classes, by hash."""
-    rows = classes.count()
-    return classes if rows <= _SAMPLE else classes.filter(F.pmod(F.xxhash64("fp"), F.lit(1_000_000)) < int(1_000_000 * _SAMPLE / rows) + 1)
+def sampled(texts: DataFrame) -> DataFrame:
+    """About ``_SAMPLE`` of the texts of ``named_texts``, or one of ``_SHARE`` if that is more, by hash."""
+    rows = texts.count()
+    most = max(_SAMPLE, rows // _SHARE)
+    return texts if rows <= most else texts.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * most / rows) + 1)
 
 
-def _frequent(held: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Members of many of the sets, and in how many; at most ``_MOST_FREQUENT``."""
-    counts = held.select(F.explode("set").alias("member")).groupBy("member").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > _OFTEN)
+def frequent_members(held: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Members of many of the sets (``fp, set``; rows of one ``fp`` count once), and in how many; at most ``_MOST_FREQUENT``."""
+    members = held.dropDuplicates(["fp"]).select(F.explode("set").alias("member"))
+    counts = members.groupBy("member").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > _OFTEN)
     found = counts.orderBy(F.desc("n"), "member").limit(_MOST_FREQUENT).toArrow()
-    members, n = np.asarray(found["member"]).astype(np.int64), np.asarray(found["n"]).astype(np.int64)
+    members, n = np.asarray(found["member"]).astype(np.int64).view(np.uint64), np.asarray(found["n"]).astype(np.int64)
     order = np.argsort(members)
     return members[order], n[order]
 
 
-def prefixes(held: DataFrame, similarity: float, some: DataFrame | None = None) -> DataFrame:
-    """``bucket, fp, early, size, left``: for each set as many of its members, rarest first, as any set alike must share one of.
+def set_prefixes(sets: list[np.ndarray], similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """Of each set as many members, rarest first, as any set alike must share one of.
 
     Two sets of that similarity share at least ``similarity`` times the size of either, so
     in one order of all members the first of those they share lies in both prefixes. Any
-    order does; that of the frequencies in a sample keeps common passages out of the
-    prefixes. In the smaller set the first shared member has at least ``2 s / (1 + s)`` of
-    its size left, itself included: ``early`` marks those places, one of which a bucket needs.
-    ``size`` is the set's and ``left`` what it has from that member on. ``some`` are the
-    sets in which members are counted, by default a sample of ``held``.
+    order does; that of the frequencies in a sample (``frequent_members``) keeps common
+    passages out of the prefixes.
     """
-    frequent = held.sparkSession.sparkContext.broadcast(_frequent(sampled(held) if some is None else some))
-    schema = pa.schema([("bucket", pa.int64()), ("fp", pa.binary()), ("early", pa.bool_()), ("size", pa.int32()), ("left", pa.int32())])
+    members, n = frequent
+    out = []
+    for own in sets:
+        take = len(own) - math.ceil(similarity * len(own)) + 1 if len(own) else 0
+        if len(members) and len(own):
+            at = np.minimum(np.searchsorted(members, own), len(members) - 1)
+            own = own[np.argsort(np.where(members[at] == own, n[at], 0), kind="stable")]
+        out.append(own[:take])
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        members, n = frequent.value
-        share = 2 * similarity / (1 + similarity)
-        for batch in batches:
-            fps = batch.column(0).to_pylist()
-            flat, ends = np.asarray(batch.column(1).values), np.asarray(batch.column(1).offsets)
-            buckets: list[np.ndarray] = []
-            early: list[np.ndarray] = []
-            sizes: list[np.ndarray] = []
-            lefts: list[np.ndarray] = []
-            for k in range(len(fps)):
-                own = flat[ends[k] : ends[k + 1]]
-                take = len(own) - math.ceil(similarity * len(own)) + 1 if len(own) else 0
-                if len(members):
-                    at = np.minimum(np.searchsorted(members, own), len(members) - 1)
-                    own = own[np.lexsort((own, np.where(members[at] == own, n[at], 0)))]
-                buckets.append(own[:take])
-                left = len(own) - np.arange(len(buckets[-1]))
-                early.append(left >= share * len(own) - 1e-6)  # roundings only let more pass
-                sizes.append(np.full(len(left), len(own)))
-                lefts.append(left)
-            counts = np.array([len(x) for x in buckets])
-            places = pa.array(np.repeat(np.arange(len(fps)), counts))
-            if len(fps):
-                numbers = {"early": early, "size": sizes, "left": lefts}
-                yield tx.table_rows(
-                    {"bucket": np.concatenate(buckets), "fp": batch.column(0).take(places), **{c: np.concatenate(x) for c, x in numbers.items()}},
-                    schema,
-                )
-
-    return held.select("fp", "set").mapInArrow(run, "bucket bigint, fp binary, early boolean, size int, left int")
+
+def dealt_prefixes(prints: DataFrame, similarity: float) -> DataFrame:
+    """``bucket, fp, early, size, left`` for each member of the column ``prefix`` of ``set_prints``.
+
+    In the smaller of two alike sets the first shared member has at least ``2 s / (1 + s)``
+    of its size left, itself included: ``early`` marks those places, one of which a bucket
+    needs. ``size`` is the set's and ``left`` what it has from that member on.
+    """
+    share = 2 * similarity / (1 + similarity)
+    rows = prints.select("fp", F.col("size").cast("int").alias("size"), F.posexplode("prefix").alias("at", "bucket"))
+    left = F.col("size") - F.col("at")
+    return rows.select("bucket", "fp", (left >= F.col("size") * share - 1e-6).alias("early"), "size", left.alias("left"))  # roundings only let more pass
 
 
 def bin_counts(sets: list[np.ndarray]) -> list[bytes]:
@@ -207,23 +215,37 @@ def bin_counts(sets: list[np.ndarray]) -> list[bytes]:
 
 
 def maybe_alike(counts: list[bytes], sizes: np.ndarray, similarity: float) -> np.ndarray:
-    """Which sets may be ``similarity`` alike to another one, by their bins: all that are, and few others.
+    """Which sets may be ``similarity`` alike to another one, by their sizes and bins: all that are, and few others.
 
     Two sets share no more members of a bin than the smaller of its counts. The counts of
-    the one with more bins are added up to as many as the other has.
+    the one with more bins are added up to as many as the other has. Larger sets have no
+    fewer bins, so each set is compared with the next larger ones, up to the size that an
+    alike one may have.
     """
     found = np.zeros(len(counts), dtype=bool)
-    width = np.array([len(x) for x in counts])
+    order = np.argsort(sizes, kind="stable")
+    sizes = np.asarray(sizes, dtype=np.int64)[order]
+    width = np.array([len(counts[r]) for r in order])
+    ends = np.searchsorted(sizes, sizes / similarity + 1e-6, side="right")
     for bins in np.unique(width):
-        rows = np.flatnonzero(width >= bins)
-        table = np.array([np.frombuffer(counts[r], dtype=np.uint8).reshape(-1, bins).sum(axis=0, dtype=np.int64) for r in rows])
-        for i in np.flatnonzero(width[rows] == bins):
-            low = np.minimum(table, table[i])
-            most = low.sum(axis=1) + np.where((low >= 255).any(axis=1), sizes[rows[i]], 0)  # full bins may hold any number
-            near = most * (1 + similarity) >= similarity * (sizes[rows] + sizes[rows[i]]) - 1e-6
-            near[i] = False
-            found[rows[near]] = True
-            found[rows[i]] |= near.any()
+        first, after = np.searchsorted(width, [bins, bins + 1])
+        last = int(ends[first:after].max())
+        if last - first < 2:
+            continue
+        table = np.array([np.frombuffer(counts[r], dtype=np.uint8).reshape(-1, bins).sum(axis=0, dtype=np.int32) for r in order[first:last]])
+        full = (table >= 255).any()
+        for i in range(first, min(after, last)):
+            others = slice(i + 1, int(ends[i]))
+            if others.start >= others.stop:
+                continue
+            low = np.minimum(table[i + 1 - first : others.stop - first], table[i - first])
+            most = low.sum(axis=1, dtype=np.int64)
+            if full:
+                most = most + np.where((low >= 255).any(axis=1), sizes[i], 0)  # full bins may hold any number
+            near = most * (1 + similarity) >= similarity * (sizes[others] + sizes[i]) - 1e-6
+            if near.any():
+                found[order[others][near]] = True
+                found[order[i]] = True
     return found
 
 

@@ -31,12 +31,14 @@ from stationcast.llm.jaccard import (
     bin_counts,
     class_rows,
     class_sets,
+    dealt_prefixes,
+    frequent_members,
     if_few,
     maybe_alike,
     named_texts,
-    prefixes,
     read_sets,
     sampled,
+    set_prefixes,
     set_prints,
     shingles,
     text_digest,
@@ -298,6 +300,13 @@ def _forest(compare: Callable[[list[bytes]], Links]):
         bucket: list[bytes] = []
         at = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            places = np.asarray(batch.column(0))
+            opens = np.append(True, places[1:] != places[:-1])
+            opens[0] = at is None or places[0] != at
+            alone = opens[:-1] & opens[1:]  # the batch's last row may have others of its bucket behind it
+            batch = batch.filter(pa.array(np.append(~alone, True)))
             for place, fp in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if place != at:
                     if len(bucket) > 1:  # a bucket of one has nothing to compare
@@ -360,7 +369,8 @@ def _shared_buckets(dealt: DataFrame, similarity: float) -> DataFrame:
     pair shares they can.
     """
     sums = [F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("fp")).alias("lead")]
-    useful = F.col("n") > 1
+    sums += [F.max(F.xxhash64("fp")).alias("trail")]
+    useful = F.col("lead") < F.col("trail")  # copies of one class are none to compare
     if "early" in dealt.columns:
         sums += [F.max("early").alias("early"), F.min("size").alias("least"), F.max("size").alias("most"), F.min("left").alias("left")]
         sums += [F.sum("size").alias("both")]
@@ -388,17 +398,29 @@ def _first_places(rows: DataFrame, most: int) -> DataFrame:
 def _other_places(rows: DataFrame, roots: DataFrame, most: int) -> DataFrame:
     """``place, fp`` of the buckets that still hold several components.
 
-    Classes of a bucket's largest component are dealt to its tiles, all others go to every
-    tile: each pair of different components meets, and pairs of the largest need not.
+    A large bucket has tiles of its largest component's classes and tiles of all others, and
+    a place for each two tiles that are not both of the largest: each pair of different
+    components meets, pairs of the largest need not, and a bucket of many components costs
+    its pairs once or twice and not again for each tile.
     """
     known = rows.join(roots, F.col("fp") == F.col("node"), "left").select("bucket", "fp", F.coalesce("root", "fp").alias("root"))
     parts = known.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("major")
+        F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("major")
     )
-    mixed = mixed.filter("roots > 1").select("bucket", "major", F.ceil(F.col("n") / most).cast("int").alias("tiles"))
-    tiles = F.when(F.col("root") == F.col("major"), F.array(_tile(F.col("tiles")))).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1))
-    return known.join(mixed, "bucket").select("bucket", "fp", F.explode(tiles).alias("tile")).select(F.xxhash64("bucket", "tile").alias("place"), "fp")
+    tiles = [F.when(F.col("n") > 2 * most, F.ceil(n / most).cast("int")).otherwise(0) for n in (F.col("n") - F.col("most"), F.col("most"))]
+    mixed = mixed.filter("roots > 1").select("bucket", "major", tiles[0].alias("tiles"), tiles[1].alias("major_tiles"))
+
+    def place(kind: int, one: Column, other: Column) -> Column:
+        return F.xxhash64("bucket", F.lit(kind), one, other)
+
+    tile, major_tile = _tile(F.greatest("tiles", F.lit(1))), _tile(F.greatest("major_tiles", F.lit(1)))
+    of_major = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda x: place(1, x, major_tile))
+    with_others = F.transform(F.array_remove(F.sequence(F.lit(0), F.col("tiles") - 1), tile), lambda x: place(0, F.least(tile, x), F.greatest(tile, x)))
+    with_major = F.transform(F.sequence(F.lit(0), F.col("major_tiles") - 1), lambda x: place(1, tile, x))
+    several = F.when(F.col("root") == F.col("major"), of_major).otherwise(F.concat(with_others, with_major))
+    places = F.when(F.col("tiles") == 0, F.array(place(2, F.lit(0), F.lit(0)))).otherwise(several)
+    return known.join(mixed, "bucket").select(F.explode(places).alias("place"), "fp")
 
 
 def _judged(placed: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
@@ -557,12 +579,17 @@ def _near_classes(docs: DataFrame, key: str, text: str, size: int, similarity: f
     SimHash fingerprints of the sets are linked within ``RADIUS`` bits, and the pairs of their
     groups are judged by exact similarity. Alike sets whose fingerprints differ by more share
     a member of their prefixes: buckets that still hold several components are judged too.
-    Prefixes are made where the texts lie, and sets only of classes that may be alike to
-    another of their place by the counts of their members in bins, a bound without misses.
+    Prefixes are made with the digests, in one reading of the texts, and sets only of classes that
+    may be alike to another of their place by the counts of their members in bins, a bound without misses.
     """
     texts = named_texts(docs, key, text)
-    prints = stage(set_prints(docs, key=key, text=text, words=size, sketch=_sketch, counts=bin_counts), "prints")
-    rows = stage(class_rows(prints), "set-classes")
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_members(read_sets(sampled(texts), size)))
+    made = set_prints(
+        docs, key=key, text=text, words=size, sketch=_sketch, counts=bin_counts,
+        prefix=lambda sets: set_prefixes(sets, similarity, frequent.value),
+    )
+    prints = stage(made, "prints")
+    rows = stage(class_rows(prints.drop("prefix")), "set-classes")
     classes = rows.filter(F.col("fp") != F.lit(bytes(DIGEST)))
 
     def judged(placed: DataFrame) -> DataFrame:
@@ -571,7 +598,7 @@ def _near_classes(docs: DataFrame, key: str, text: str, size: int, similarity: f
         return _judged(placed, class_sets(wanted, texts, size), similarity)
 
     first = judged(_first_places(_groups_by_simhash(classes, RADIUS), TILE // 4))
-    dealt = prefixes(read_sets(texts, size), similarity, class_sets(sampled(classes), texts, size))
+    dealt = dealt_prefixes(prints, similarity)
     rest = judged(_other_places(_shared_buckets(dealt, similarity), components(first), TILE // 4))
     roots = components(first.unionByName(rest)).withColumnRenamed("node", "fp")
     named = rows.select("fp", "least", "digest").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))

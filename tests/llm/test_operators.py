@@ -342,6 +342,57 @@ def test_bins_miss_no_alike_sets():
         assert similarity < 0.8 or got.sum() < len(sets)
 
 
+def test_places_of_many_components_cost_their_pairs(spark):
+    """Every pair of different components meets, and a bucket of n classes is not compared n times n for each of its tiles."""
+    names = [f"{i:03d}".encode() for i in range(400)]
+    rows = spark.createDataFrame([(1, x) for x in names] + [(2, x) for x in names[295:310]], "bucket bigint, fp binary")
+    major = spark.createDataFrame([(x, names[300]) for x in names[300:]], "node binary, root binary")
+    places = collections.defaultdict(set)
+    for r in simhash._other_places(rows, major, 16).collect():
+        places[r["place"]].add(bytes(r["fp"]))
+    met = {p for x in places.values() for p in itertools.combinations(sorted(x), 2)}
+    assert all(p in met for p in itertools.combinations(names, 2) if p[0] < names[300])
+    assert sum(len(x) ** 2 for x in places.values()) <= 4 * len(names) ** 2
+    assert max(map(len, places.values())) < 100
+
+
+def test_prefixes_follow_the_frequencies_of_a_share(spark, monkeypatch):
+    """Alike sets share a member of their prefixes; passages of one text in a hundred are found in the sample of a large table."""
+    monkeypatch.setattr(jaccard, "_SAMPLE", 10)
+    monkeypatch.setattr(jaccard, "_SHARE", 4)
+    rng = np.random.default_rng(16)
+    texts = [" ".join(f"u{x}" for x in rng.integers(0, 1 << 40, 12)) + (" a passage that comes again" if i % 20 == 0 else "") for i in range(4000)]
+    named = jaccard.named_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "doc_id", "text")
+    some = jaccard.sampled(named)
+    assert 700 < some.count() < 1300
+    frequent = jaccard.frequent_members(jaccard.read_sets(some, 5).unionByName(jaccard.read_sets(some, 5)))
+    hashes, _ = jaccard.shingles(pa.array(["a passage that comes again"]), 5)
+    assert frequent[0].tolist() == hashes.tolist() and 20 < frequent[1][0] < 90
+    sets = jaccard.text_sets(pa.array(texts[:200] + [x + " more" for x in texts[:200]]), 5)
+    i, j = jaccard.alike(sets, 0.8)
+    found = jaccard.set_prefixes(sets, 0.8, frequent)
+    assert len(i) >= 190 and all(len(np.intersect1d(found[a], found[b])) for a, b in zip(i, j))
+    assert not any(hashes[0] in x for x in found)
+
+
+def test_blocks_of_buckets_across_batches():
+    """Buckets of one row are left out, and those that go on in another batch are whole."""
+    rng = np.random.default_rng(17)
+    buckets = np.sort(rng.integers(0, 300, 400))
+    fps = [int(x).to_bytes(8, "big") for x in rng.permutation(400)]
+    seen = []
+
+    def compare(block):
+        seen.extend(block)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    batch = pa.record_batch({"bucket": pa.array(buckets), "fp": pa.array(fps, pa.binary())})
+    cuts = [0, 1, 2, 2, 50, 51, 180, 399, 400]
+    list(simhash._forest(compare)(batch.slice(a, b - a) for a, b in itertools.pairwise(cuts)))
+    times = collections.Counter(buckets.tolist())
+    assert sorted(seen) == sorted(fp for x, fp in zip(buckets.tolist(), fps) if times[x] > 1)
+
+
 def test_fingerprints_of_neighbours(docs, none):
     rows = [r for r in TEXTS]
     got = fingerprints.fingerprint_documents(docs).collect()
